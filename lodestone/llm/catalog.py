@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate
+from lodestone.llm import decontaminate, language, packing, token_counts
 
-MODULES = (decontaminate,)
+MODULES = (packing, token_counts, decontaminate, language)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
