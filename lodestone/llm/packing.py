@@ -134,7 +134,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     counted = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs = spark.createDataFrame(plan_runs(counted, capacity), _RUN)
-    buckets = max(1, sum(counted.values()) // BUCKET_ROWS)
+    buckets = 32 + sum(counted.values()) // BUCKET_ROWS
     bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int"))
     sizes = bucketed.groupBy(F.col("length").alias("l"), F.col("bucket").alias("b")).agg(F.count("*").alias("n"))
     before = sizes.select("l", "b", (F.sum("n").over(Window.partitionBy("l").orderBy("b")) - F.col("n")).alias("before"))
