@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, language, packing, quality, token_counts
+from lodestone.llm import decontaminate, language, packing, quality, secrets, token_counts
 
-MODULES = (packing, token_counts, quality, decontaminate, language)
+MODULES = (packing, secrets, token_counts, quality, decontaminate, language)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

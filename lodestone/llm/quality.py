@@ -48,7 +48,8 @@ RULES = (
     Rule("shout_ratio", 0, 0.5, 10),
     Rule("capital_ratio", 0, 0.5, 10),
     Rule("stop_ratio", 0.03, 1, 60),
-    Rule("dup_line_ratio", 0, 0.3, 10),
+    Rule("dup_line_ratio", 0, 0.5, 10),
+    Rule("stutter_ratio", 0, 0.2, 10),
     Rule("repeat_ratio", 0, 0.2),
 )
 
@@ -76,12 +77,13 @@ def with_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint").alias("n_stop"),
+        F.size(F.expr("filter(words, (w, i) -> w = get(words, i - 1))")).cast("bigint").alias("n_stutter"),
         F.when(
             F.size("words") >= GRAM,
             F.expr(f"transform(sequence(1, size(words) - {GRAM - 1}), i -> xxhash64(slice(words, i, {GRAM})))"),
         ).alias("grams"),
     )
-    scalars = (*scalars, "n_words", "n_lines", "n_dup_lines", "n_stop")
+    scalars = (*scalars, "n_words", "n_lines", "n_dup_lines", "n_stop", "n_stutter")
     # only texts with a repeated window are sorted
     repeated = hashed.select(
         *scalars,
@@ -107,6 +109,7 @@ def metric(name: str) -> Column:
         "capital_ratio": ratio("n_capitals", "word_chars"),
         "stop_ratio": ratio("n_stop", "n_words"),
         "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "stutter_ratio": ratio("n_stutter", "n_words"),
         "repeat_ratio": ratio("n_repeat_words", "n_words"),
     }[name]
 
@@ -145,6 +148,7 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   length(regexp_replace(text, '[^!]', '', 'g')) AS n_shouts, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
   len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len(list_filter(words, lambda x, i: i > 1 AND x = words[i - 1])) AS n_stutter,
   len(list_filter(words, lambda x: list_contains(string_split('"""
     + " ".join(STOP_WORDS)
     + r"""', ' '), lower(x)))) AS n_stop
@@ -152,7 +156,7 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text,
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 20 AND n_symbols / word_chars <= 0.04 AND n_shouts / n_words <= 0.5
-  AND n_capitals / word_chars <= 0.5 AND (n_words < 60 OR n_stop / n_words >= 0.03) AND n_dup_lines / n_lines <= 0.3
-  AND n_repeat_words / n_words <= 0.2 AS kept FROM f
+  AND n_capitals / word_chars <= 0.5 AND (n_words < 60 OR n_stop / n_words >= 0.03) AND n_dup_lines / n_lines <= 0.5
+  AND n_stutter / n_words <= 0.2 AND n_repeat_words / n_words <= 0.2 AS kept FROM f
 """,
 }
