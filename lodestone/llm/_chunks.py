@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
 

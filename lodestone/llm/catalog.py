@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, language, licenses, packing, quality, secrets, substrings, token_counts
+from lodestone.llm import decontaminate, language, licenses, packing, quality, scoring, secrets, substrings, token_counts
 
-MODULES = (packing, substrings, secrets, token_counts, quality, decontaminate, licenses, language)
+MODULES = (scoring, packing, substrings, secrets, token_counts, quality, decontaminate, licenses, language)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
