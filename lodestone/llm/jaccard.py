@@ -46,8 +46,10 @@ SHINGLE = 3
 NUM, DEN = 90, 100
 GROWTH = 1.6
 SKETCH_BITS, SKETCH_WORDS = 256, 4
-LEAF = 512
-PIVOTS, LEVELS = 8, 5
+LEAF = 2048
+PIVOTS, LEVELS = 8, 3
+#: Regions are split by pivots while a member goes to so many of the new regions on average.
+WORTH = 2.0
 #: Bits of the filters of region keys; they only let rows through that cannot matter.
 FILTER_BITS = 1 << 25
 REGION_ROWS = 200_000
@@ -231,39 +233,52 @@ def _members(kept: DataFrame, bits: int, filter_) -> DataFrame:
 
 def _split_large(members: DataFrame, num: int, den: int) -> DataFrame:
     """Members of regions of LEAF or fewer; larger regions are split by pivots, and by blocks where pivots don't help."""
-    done = None
     # the greatest D of a link: the other set has at most n * den / num elements
     link = F.floor((F.col("n") + F.floor(F.col("n") * den / num)) * (den - num) / (den + num))
+    columns = ("key", "id", "n", *_SKETCH)
+    done = None
+
+    def add(rows: DataFrame) -> None:
+        nonlocal done
+        rows = rows.select(*columns)
+        done = rows if done is None else done.unionByName(rows)
+
     for level in range(LEVELS + 1):
         large = written(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LEAF), "large")
-        small = members.join(large, "key", "left_anti")
-        done = small if done is None else done.unionByName(small)
+        add(members.join(large, "key", "left_anti"))
         if large.isEmpty():
-            return done
+            break
         rest = members.join(large, "key")
-        if level == LEVELS:
-            blocks = F.ceil(F.col("size") / LEAF)
-            mine = F.pmod(F.xxhash64("id"), blocks)
-            pairs = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-            return done.unionByName(pairs.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "id", "n", *_SKETCH))
-        order = F.xxhash64("id", F.lit(level))
-        one = rest.groupBy("key", F.pmod(order, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(order.alias("o"), *_SKETCH)).alias("pivot"))
-        pivots = one.groupBy("key").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))  # PIVOTS at most
-        far = rest.join(pivots, "key").withColumn("far", F.transform("pivots", lambda p: sum((F.bit_count(F.col(s).bitwiseXOR(p[s])) for s in _SKETCH), F.lit(0))))
-        inside = F.filter(F.sequence(F.lit(0), F.size("far") - 1), lambda j: F.get(F.col("far"), j) <= F.array_min("far") + 2 * link)
-        regions = far.withColumn("region", F.explode(inside)).select(F.xxhash64("key", "region", F.lit(level)).alias("key"), "id", "n", *_SKETCH)
-        members = written(regions, "regions")
+        if level < LEVELS:
+            order = F.xxhash64("id", F.lit(level))
+            one = rest.groupBy("key", F.pmod(order, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(order.alias("o"), *_SKETCH)).alias("pivot"))
+            pivots = one.groupBy("key").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))  # PIVOTS at most
+            far = rest.join(pivots, "key").withColumn("far", F.transform("pivots", lambda p: sum((F.bit_count(F.col(s).bitwiseXOR(p[s])) for s in _SKETCH), F.lit(0))))
+            inside = F.filter(F.sequence(F.lit(0), F.size("far") - 1), lambda j: F.get(F.col("far"), j) <= F.array_min("far") + 2 * link)
+            far = far.withColumn("inside", inside)
+            useful = written(far.groupBy("key").agg(F.avg(F.size("inside")).alias("copies")).where(F.col("copies") <= WORTH).select("key"), "useful")
+            regions = far.join(useful, "key", "left_semi").withColumn("region", F.explode("inside"))
+            members = written(regions.select(F.xxhash64("key", "region", F.lit(level)).alias("key"), "id", "n", *_SKETCH), "regions")
+            rest = rest.join(useful, "key", "left_anti")
+        # what pivots cannot split: every two blocks of half a leaf meet
+        blocks = F.ceil(F.col("size") / (LEAF // 2))
+        pairs = rest.withColumn("mine", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        add(pairs.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))))
     return done
 
 
 def _near(n: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, distance) of the pairs i < j of a leaf that can be linked."""
-    i, j = np.triu_indices(len(n), 1)
-    ok = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
-    i, j = i[ok], j[ok]
-    far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-    ok = far <= reach(n[i] + n[j], num, den)
-    return i[ok], j[ok], far[ok]
+    found = []
+    for a in range(0, len(n), 256):  # bounds the memory of a leaf
+        rows = slice(a, a + 256)
+        far = np.bitwise_count(sketch[rows, None, :] ^ sketch[None, a:, :]).sum(axis=2, dtype=np.int64)
+        low, high = np.minimum(n[rows, None], n[None, a:]), np.maximum(n[rows, None], n[None, a:])
+        i, j = np.nonzero((far <= reach(low + high, num, den)) & (den * low >= num * high))
+        up = j > i
+        i, j = i[up], j[up]
+        found.append((a + i, a + j, far[i, j]))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, size: int) -> list[int]:
@@ -291,7 +306,7 @@ def _leaves(num: int, den: int, by_component: bool):
     def edges(key, rows):
         rows = rows.sort_by([("key", "ascending"), ("id", "ascending")])
         keys, ids, n = (rows.column(c).to_numpy() for c in ("key", "id", "n"))
-        sketch = np.stack([rows.column(s).to_numpy() for s in _SKETCH], axis=1)
+        sketch = np.stack([rows.column(s).to_numpy() for s in _SKETCH], axis=1).view(np.uint64)  # bit counts need unsigned
         part = rows.column("component").to_numpy() if by_component else None
         begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(keys)))

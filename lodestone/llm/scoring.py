@@ -24,7 +24,9 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +55,10 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     x[np.arange(len(data)) + np.repeat(np.arange(docs), np.diff(offsets))] = T.LOWER[data]
     code = x.copy()
     for d in range(1, DEPTH + 1):
-        past = np.zeros_like(x)
-        past[d:] = x[:-d]
-        for j in range(d):  # no context before a text's beginning
-            at = first[:-1] + j
-            past[at[at < len(x)]] = 0
-        code |= past << np.uint64(8 * d)
+        code[d:] |= x[:-d] << np.uint64(8 * d)
+    for j in range(DEPTH - 1, -1, -1):  # no context before a text's beginning
+        at = first[:-1] + j
+        code[at[at < first[1:]]] &= np.uint64((1 << (8 * (j + 1))) - 1)
     return code * np.uint64(_MUL), first
 
 
@@ -83,8 +83,8 @@ class _Counter:
 
     def add(self, keys: np.ndarray, weight: np.ndarray) -> None:
         """weight: per key 1 if it counts, 0 if it is only asked for."""
-        found, inverse = np.unique(keys, return_inverse=True)
-        counts = np.bincount(inverse, weight, len(found)).astype(np.int64)
+        codes, found = pd.factorize(keys)
+        counts = np.bincount(codes, weight, len(found)).astype(np.int64)
         self.keys, inverse = np.unique(np.concatenate([self.keys, found]), return_inverse=True)
         self.counts = np.bincount(inverse, np.concatenate([self.counts, counts]), len(self.keys)).astype(np.int64)
 
@@ -255,30 +255,37 @@ def _look_up(key, asked, model):
 def _score(folds: int):
     def score(key, texts, answers):
         ids, column = C.opened(texts)
-        found = {kind: _Counter() for kind in _KEYS}
-        pieces = []
-        for lo, hi, data, offsets in T.slices(column):
-            for kind in _KEYS:
-                found[kind].keys = np.union1d(found[kind].keys, _KEYS[kind](data, offsets)[0])
-            pieces.append((lo, hi, data, offsets))
+        pieces, sizes = [], []
+        for _, _, data, offsets in T.slices(column):
+            piece = {}
+            for kind, keys_of in _KEYS.items():
+                keys, first = keys_of(data, offsets)
+                codes, found = pd.factorize(keys)
+                piece[kind] = codes.astype(np.int32), found, first[:-1], np.diff(first)
+            pieces.append(piece)
+            sizes.append(np.diff(offsets))
         answers = answers.sort_by("shard")
-        value = {}
-        for kind, dtype in ((WORDS, np.int64), (GRAMS, np.float32)):
-            value[kind], _ = C.joined(answers.filter(pa.compute.equal(answers.column("kind"), kind)), "values", dtype)
+
+        def values(kind: int, dtype) -> list[np.ndarray]:
+            """The answers to the keys of each piece."""
+            keys = np.unique(np.concatenate([p[kind][1] for p in pieces])) if pieces else np.zeros(0, np.uint64)
+            value, _ = C.joined(answers.filter(pa.compute.equal(answers.column("kind"), kind)), "values", dtype)
+            return [value[np.searchsorted(keys, p[kind][1])] for p in pieces]
+
         n_tokens, n_known, base, score = [], [], [], []
-        for _, _, data, offsets in pieces:
-            keys, first = word_keys(data, offsets)
-            counts = value[WORDS][np.searchsorted(found[WORDS].keys, keys)]
-            n_tokens.append(np.diff(first))
-            n_known.append(np.add.reduceat((counts > 0).astype(np.int64), first[:-1]))
-            base.append(np.add.reduceat(np.log10(counts + 0.5), first[:-1]))
-            keys, first = grams(data, offsets)
-            score.append(np.add.reduceat(value[GRAMS][np.searchsorted(found[GRAMS].keys, keys)].astype(np.float64), first[:-1]))
+        for p, value in zip(pieces, values(WORDS, np.int64), strict=True):
+            codes, _, first, sizes_of = p[WORDS]
+            n_tokens.append(sizes_of)
+            n_known.append(np.add.reduceat((value > 0).astype(np.int64)[codes], first))
+            base.append(np.add.reduceat(np.log10(value + 0.5)[codes], first))
+        for p, value in zip(pieces, values(GRAMS, np.float32), strict=True):
+            codes, _, first, _ = p[GRAMS]
+            score.append(np.add.reduceat(value.astype(np.float64)[codes], first))
         whole = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
         return pa.table(
             {
                 "id": ids, "held_out": pa.array(held_out(ids, folds)), "n_tokens": whole(n_tokens, np.int64), "n_known": whole(n_known, np.int64),
-                "counted": whole(base, np.float64), "score": whole(score, np.float64), "n_bytes": pa.array(np.diff(np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[3]) for p in pieces]))])) if pieces else np.zeros(0, np.int64), pa.int64()),
+                "counted": whole(base, np.float64), "score": whole(score, np.float64), "n_bytes": whole(sizes, np.int64),
             }
         )
 
