@@ -35,3 +35,17 @@ def cosine_topk(
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
     return scored.orderBy(F.desc("score"), key).limit(k)
+
+
+def centroids(rows: DataFrame, by: str, vector: str) -> DataFrame:
+    """The mean vector of each group, element by element with partial aggregation."""
+    each = rows.select(by, F.posexplode(vector).alias("i", "x"))
+    means = each.groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
+
+
+def nearest_to_centroids(rows: DataFrame, by: str, key: str, vector: str) -> DataFrame:
+    """The row of each group with the highest cosine to the group's centroid; ties go to the smaller key."""
+    scored = rows.join(centroids(rows, by, vector), by).select(by, key, F.round(cosine(F.col(vector), F.col("centroid")), 6).alias("score"))
+    best = scored.groupBy(by).agg(F.max(F.struct("score", (-F.col(key)).alias("k"))).alias("m"))
+    return best.select(by, (-F.col("m.k")).alias(key), F.col("m.score").alias("score"))

@@ -14,11 +14,30 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cosine_topk(rows, rows.where(F.col("vec_id") == 0), "vec_id", "embedding", 5)
 
 
-QUERIES = {"cosine_topk": cosine_topk}
+def cosine_topk_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.cosine_topk(rows, rows.where(F.col("vec_id") == 3), "vec_id", "embedding", 10, 0.15)
+
+
+def label_centroid_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector nearest to each label's mean vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.nearest_to_centroids(rows, "label", "vec_id", "embedding")
+
+
+QUERIES = {f.__name__: f for f in (cosine_topk, cosine_topk_min_score, label_centroid_nearest)}
 _COSINE = """round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::double * p[2]::double))
   / ((sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double))) + 1e-10)
    * (sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double))) + 1e-10)), 6)"""
 ORACLES = {
+    "cosine_topk_min_score": f"""
+SELECT e.vec_id, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q
+WHERE score >= 0.15 ORDER BY score DESC, e.vec_id LIMIT 10""",
+    "label_centroid_nearest": f"""
+WITH m AS (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
+c AS (SELECT label, list(x ORDER BY i) AS embedding FROM m GROUP BY label),
+s AS (SELECT e.label, e.vec_id, {_COSINE} AS score FROM embeddings e JOIN c q ON e.label = q.label)
+SELECT label, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1""",
     "cosine_topk": f"""
 SELECT e.vec_id, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
 ORDER BY score DESC, e.vec_id LIMIT 5""",
