@@ -82,7 +82,7 @@ def _prints(data: np.ndarray, offsets: np.ndarray, window: int, k: int, short: l
         if whole:
             items = np.flatnonzero(words.counts == size)
             at = words.first[items]
-            grams = T.ranges_hash(hashes, at, at + size, 2)
+            grams = T.ranges_hash(hashes, at, at + size, 3)
         else:
             at, grams = T.windows(hashes, words, size, seed=2)
         keep(grams, at, size, (grams | np.uint64(1))[:, None])
