@@ -16,13 +16,16 @@ from lodestone.llm._shared import table, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts of which less than this share of grams is known to any language are rejected.
 LEAST_LANGUAGE = 0.2
+#: Shorter texts have too few grams to be rejected for that.
+LEAST_CHARS = 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no known language; the model learns from the rows' own labels."""
     docs = docs.select(*COLUMNS)
     told = language.predict(docs, language.corpus_model(docs), lang_out="_lang", score_out="_score")
-    return told.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE)).select(*COLUMNS)
+    sure = (F.col("_score") >= LEAST_LANGUAGE) | (F.length("text") < LEAST_CHARS)
+    return told.where((F.col("_lang") != language.UNKNOWN) & sure).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
