@@ -33,3 +33,46 @@ def section_priority(header: Column, size: Column) -> Column:
     for word in LOW_VALUE:
         poor |= F.contains(low, F.lit(word))
     return F.greatest(F.lit(1), 5 - F.when(poor, 3).otherwise(0) + F.when(size > 500, 2).when(size < 50, -1).otherwise(0))
+
+
+def parts(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """key, kind, header, content, priority of a markdown page's fences, sections, lists and tables."""
+    fence = r"(?s)```(\w+)?[ \t\r]*\n(.*?)```"
+    fences = pages.select(key, F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(fence), F.lit(1)).alias("h"), F.regexp_extract_all(text, F.lit(fence), F.lit(2)).alias("c"))).alias("x"))
+    code = fences.select(key, F.lit("code").alias("kind"), F.when(F.col("x.h") == "", "text").otherwise(F.col("x.h")).alias("header"), F.trim("x.c").alias("content"), F.lit(5).alias("priority"))
+    # a mark before every header line cuts the page into sections
+    cut = pages.select(key, F.explode(F.split(F.regexp_replace(text, r"(?m)^(#{1,6}\s+.+)$", "\u0001$1"), "\u0001")).alias("s"))
+    header = F.regexp_extract("s", r"^#{1,6}\s+(.+)", 1)
+    body = F.trim(F.regexp_replace("s", r"^#{1,6}\s+.+\n?", ""))
+    named = cut.select(key, F.when(header == "", "Introduction").otherwise(header).alias("header"), body.alias("content")).where("content != ''")
+    sections = named.select(key, F.lit("section").alias("kind"), "header", "content", section_priority(F.col("header"), F.length("content")).alias("priority"))
+
+    def blocks(kind: str, pattern: str, priority: int, least: int) -> DataFrame:
+        found = pages.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("c"))
+        return found.where(F.length(F.trim("c")) > least).select(key, F.lit(kind).alias("kind"), F.lit("").alias("header"), F.trim("c").alias("content"), F.lit(priority).alias("priority"))
+
+    lists = blocks("list", r"(?m)(?:^[ \t]*(?:[-*+]|\d+\.)[ \t]+.+\n?)+", 6, 20)
+    tables = blocks("table", r"(?m)^\|.+\|[ \t]*\n\|[-:| \t]+\|[ \t]*\n(?:\|.+\|[ \t]*\n?)+", 7, 0)
+    return code.unionByName(sections).unionByName(lists).unionByName(tables)
+
+
+def relevance(content: Column, words: list[str]) -> Column:
+    """min(10, int(share of the words found * 10) + 3); 5 without words."""
+    if not words:
+        return F.lit(5)
+    hits = sum((F.contains(F.lower(content), F.lit(w.lower())).cast("int") for w in words), F.lit(0))
+    return F.least(F.lit(10), F.floor(hits / len(words) * 10) + 3)
+
+
+def extracted(pages: DataFrame, key: str, text: str, words: list[str], max_chars: int) -> DataFrame:
+    """Parts by priority until the budget is full; of parts with the same first 100 characters the best stays."""
+    from pyspark.sql import Window
+
+    from lodestone.operators.manifests import greedy_budget
+
+    kinds = F.array_position(F.array(*map(F.lit, ("code", "section", "list", "table"))), F.col("kind"))
+    scored = parts(pages, key, text).withColumn("priority", F.col("priority") + (relevance(F.col("content"), words) if words else F.lit(0))).withColumn("kind_rank", kinds)
+    order = [F.desc("priority"), "kind_rank", "content"]
+    first = F.row_number().over(Window.partitionBy(key, F.trim(F.substring("content", 1, 100))).orderBy(*order))
+    unique = scored.withColumn("_r", first).where("_r = 1").drop("_r").withColumn("size", F.length("content"))
+    return greedy_budget(unique, key, order, "size", max_chars, 200).withColumn("content", F.substring(F.col("content"), F.lit(1), F.col("taken").cast("int")))

@@ -110,3 +110,35 @@ def test_pair_stream(spark, tmp_path):
         stream = logs.pair_stream(spark.readStream.schema(schema).json(src))
         stream.writeStream.foreachBatch(lambda b, i: logs.append_index(b, i, out)).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert [(r.user_text, r.assistant_text) for r in spark.read.parquet(out).collect()] == [("q2", "a")]
+
+
+def test_summaries(spark):
+    from lodestone.operators import calls
+
+    rows = [
+        (1, 1, "bash", {"command": "ls " + "x" * 70}, "[exit 0]\na\n\nlast \n"), (1, 2, "search_history", {"query": "q"}, "[SYSTEM: search_history] none"), (1, 3, "str_replace", {"file": "f"}, '{"success": true, "changes": {"removed": 2, "added": 3}}'),
+        (1, 4, "new", {"a": "1"}, '{"success": false}'), (1, 5, "workspace_search", {"query": "z"}, "a\nb"), (1, 6, "search_in_file", {"file": "f", "pattern": "p"}, '{"total_matches": 4}'),
+    ]
+    got = calls.summarised(spark.createDataFrame(rows, "turn int, i int, fn string, args map<string,string>, result string"), "turn", "i").first().summary.split("\n")
+    assert got[0] == "[POWERS USED — 6 call(s)]" and got[1] == "  1. bash(ls " + "x" * 57 + "…) → ✓ | last"
+    assert got[2].endswith("→ ✗ ([SYSTEM: search_history] none)") and got[3] == "  3. str_replace(f) → ✓ (2 lines → 3 lines)"
+    assert got[4] == "  4. new(a) → ✗" and got[5] == "  5. workspace_search('z') → 2 line(s)" and got[6] == "  6. search_in_file(f, 'p') → 4 match(es)"
+
+
+def test_union_of_calls(spark):
+    from lodestone.operators import calls
+
+    schema = "k int, pos int, fn string, args map<string,string>"
+    tagged = spark.createDataFrame([(1, 0, "a", {"x": "1", "y": "2"})], schema)
+    native = spark.createDataFrame([(1, 1, "a", {"y": "2", "x": "1"}), (1, 2, "b", {}), (1, 3, "b", {})], schema)
+    assert sorted((r.fn, r.pos) for r in calls.union_calls(tagged, native, "k").collect()) == [("a", 0), ("b", 2)]
+
+
+def test_page_parts(spark):
+    from lodestone.operators import pages
+
+    text = "start of it\n# One\nbody one\n```py\nx = 1\n```\n## Footer\n- item number one\n- item number two\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"
+    rows = pages.parts(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").collect()
+    assert sorted((r.kind, r.header, r.priority) for r in rows) == [("code", "py", 5), ("list", "", 6), ("section", "Footer", 2), ("section", "Introduction", 4), ("section", "One", 4), ("table", "", 7)]
+    got = pages.extracted(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t", [], 60).collect()
+    assert sum(r.taken for r in got) <= 60
