@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet to the shared folder and reads it back as the next stage's docs.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, whatever they are.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontaminate, jaccard, language, packing, secrets
 from lodestone.llm._shared import table, written
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts of which less than this share of grams is known to any language are rejected.
 LEAST_LANGUAGE = 0.2
 #: Shorter texts have too few grams to be rejected for that.
@@ -22,33 +21,31 @@ LEAST_CHARS = 20
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no known language; the model learns from the rows' own labels."""
-    docs = docs.select(*COLUMNS)
     told = language.predict(docs, language.corpus_model(docs), lang_out="_lang", score_out="_score")
     sure = (F.col("_score") >= LEAST_LANGUAGE) | (F.length("text") < LEAST_CHARS)
-    return told.where((F.col("_lang") != language.UNKNOWN) & sure).select(*COLUMNS)
+    return told.where((F.col("_lang") != language.UNKNOWN) & sure).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; rows without an id stay."""
-    docs = docs.select(*COLUMNS)
     groups = jaccard.linked_components(docs)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    docs = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    hits = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), id_col="_key")
-    return docs.join(hits.where("n_hit > 0").select("_key").distinct(), "_key", "left_anti").select(*COLUMNS)
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    hits = decontaminate.benchmark_hits(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
+    return keyed.join(hits.where("n_hit > 0").select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; documents stay."""
-    docs = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    spans = secrets.secret_spans(docs, id_col="_key").where(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"])
-    clean = secrets.redacted(docs, spans, id_col="_key")
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    spans = secrets.secret_spans(keyed, id_col="_key").where(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"])
+    clean = secrets.redacted(keyed, spans, id_col="_key")
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
