@@ -54,3 +54,24 @@ def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
 def write_partitions(df: DataFrame, path: str, by: str) -> None:
     """Replaces only the partitions that ``df`` has rows of."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+# Files that are never indexed, directories that are pruned, and suffixes of index sidecars.
+NEVER = (".env", ".gitignore")
+PRUNED = ("__pycache__", "node_modules", "venv", "env", ".venv", ".git", "target", "build", "dist")
+SIDECARS = (".chunks.json", ".embed.json")
+
+
+def eligible(files: DataFrame, extensions: tuple[str, ...], path: str = "path") -> DataFrame:
+    """Rows whose file may be indexed: no secrets, keys, sidecars or pruned directories, a known extension,
+    and no text file that has a sidecar of its own."""
+    name = F.element_at(F.split(path, "/"), -1)
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    bad = name.isin(*NEVER) | name.endswith(".key")
+    for suffix in SIDECARS:
+        bad |= name.endswith(suffix)
+    known = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(*extensions)
+    kept = files.where(~bad & known & ~F.arrays_overlap(folders, F.array(*map(F.lit, PRUNED))))
+    stems = files.where(F.col(path).endswith(SIDECARS[0])).select(F.expr(f"left(`{path}`, length(`{path}`) - {len(SIDECARS[0])})").alias("_stem"))
+    text_stem = F.when(F.lower(name).endswith(".txt"), F.regexp_replace(path, r"\.[^./]*$", ""))
+    return kept.join(stems.distinct(), text_stem == F.col("_stem"), "left_anti")

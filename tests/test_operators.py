@@ -142,3 +142,9 @@ def test_page_parts(spark):
     assert sorted((r.kind, r.header, r.priority) for r in rows) == [("code", "py", 5), ("list", "", 6), ("section", "Footer", 2), ("section", "Introduction", 4), ("section", "One", 4), ("table", "", 7)]
     got = pages.extracted(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t", [], 60).collect()
     assert sum(r.taken for r in got) <= 60
+
+
+def test_eligible(spark):
+    paths = ["/a/x.py", "/a/.env", "/a/k.key", "/venv/y.py", "/a/t.txt", "/a/t.chunks.json", "/a/u.txt", "/a/v.bin"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert sorted(r.path for r in files.eligible(df, (".py", ".txt", ".json")).collect()) == ["/a/u.txt", "/a/x.py"]
