@@ -58,7 +58,12 @@ def write_partitions(df: DataFrame, path: str, by: str) -> None:
 
 # Files that are never indexed, directories that are pruned, and suffixes of index sidecars.
 NEVER = (".env", ".gitignore")
-PRUNED = ("__pycache__", "node_modules", "venv", "env", ".venv", ".git", "target", "build", "dist")
+PRUNED = (
+    ".git", "__pycache__", "node_modules", ".venv", "venv",
+    "target", "build", "dist", "env", ".mypy_cache", ".pytest_cache",
+    ".ruff_cache", ".tox", ".eggs",
+)
+PRUNED_SUFFIX = ".egg-info"
 SIDECARS = (".chunks.json", ".embed.json")
 
 
@@ -71,7 +76,8 @@ def eligible(files: DataFrame, extensions: tuple[str, ...], path: str = "path")
     for suffix in SIDECARS:
         bad |= name.endswith(suffix)
     known = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(*extensions)
-    kept = files.where(~bad & known & ~F.arrays_overlap(folders, F.array(*map(F.lit, PRUNED))))
+    pruned = F.exists(folders, lambda d: d.isin(*PRUNED) | d.endswith(PRUNED_SUFFIX))
+    kept = files.where(~bad & known & ~pruned)
     stems = files.where(F.col(path).endswith(SIDECARS[0])).select(F.expr(f"left(`{path}`, length(`{path}`) - {len(SIDECARS[0])})").alias("_stem"))
     text_stem = F.when(F.lower(name).endswith(".txt"), F.regexp_replace(path, r"\.[^./]*$", ""))
     return kept.join(stems.distinct(), text_stem == F.col("_stem"), "left_anti")

@@ -145,6 +145,6 @@ def test_page_parts(spark):
 
 
 def test_eligible(spark):
-    paths = ["/a/x.py", "/a/.env", "/a/k.key", "/venv/y.py", "/a/t.txt", "/a/t.chunks.json", "/a/u.txt", "/a/v.bin"]
+    paths = ["/a/x.py", "/a/.env", "/a/k.key", "/venv/y.py", "/a/t.txt", "/a/t.chunks.json", "/a/u.txt", "/a/v.bin", "/p.egg-info/z.py"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     assert sorted(r.path for r in files.eligible(df, (".py", ".txt", ".json")).collect()) == ["/a/u.txt", "/a/x.py"]
