@@ -292,10 +292,10 @@ def _score(folds: int):
     return score
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte; learns from the other folds."""
     spark = docs.sparkSession
-    chunks = C.count_for(C.text_bytes(docs, text_col))
+    chunks = C.count_for(C.text_bytes(docs, text_col), chunk_bytes)
     bits = max(2, (chunks - 1).bit_length())
     texts = C.chunked(docs, id_col, text_col, chunks)
     asked = texts.groupBy("chunk").applyInArrow(_ask((WORDS, GRAMS), bits, folds), _ASKED)

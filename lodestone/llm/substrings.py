@@ -65,12 +65,8 @@ class _Windows:
         np.minimum.at(self.least, self.which, self.ids[self.doc])
 
 
-def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
-    return C.shard_edges(keys, bits)
-
-
-def _cells(keys: np.ndarray, bits: int) -> np.ndarray:
-    """(DEPTH, n) cells within the key's shard; rows use different bits of the hash."""
+def _cells(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """((DEPTH, n) cells within the key's block, block within its shard); rows use different bits of the hash."""
     inside = (keys >> np.uint64(64 - bits - SHARD_BITS)) & np.uint64((1 << SHARD_BITS) - 1)
     again = T.mix(keys)
     low = [(keys >> np.uint64(64 - bits - SHARD_BITS - BLOCK_BITS)) & np.uint64(0xFFFF)]
@@ -82,7 +78,7 @@ def _sketch(bits: int):
     def send(key, table):
         w = _Windows(table)
         rows = []
-        edges = _edges(w.keys, bits)
+        edges = C.shard_edges(w.keys, bits)
         low, inside = _cells(w.keys, bits)
         blocks = np.uint8(1 << SHARD_BITS)
         for i in np.flatnonzero(np.diff(edges)):
@@ -127,7 +123,7 @@ def _answers(table: pa.Table, kind: int, edges: np.ndarray) -> np.ndarray:
 def _candidates(bits: int, exact_bits: int):
     def send(key, texts, answers):
         w = _Windows(texts)
-        picked = _answers(answers, SKETCH, _edges(w.keys, bits))
+        picked = _answers(answers, SKETCH, C.shard_edges(w.keys, bits))
         keys, second, least = w.keys[picked], w.second[picked], w.least[picked]
         rows = list(C.split(C.shard_edges(keys, exact_bits), keys, second, least))
         return pa.table(
@@ -156,7 +152,7 @@ def _smaller(key, table):
 def _remove(bits: int, exact_bits: int):
     def kept(key, texts, answers):
         w = _Windows(texts)
-        picked = _answers(answers, SKETCH, _edges(w.keys, bits))
+        picked = _answers(answers, SKETCH, C.shard_edges(w.keys, bits))
         elsewhere = np.zeros(len(w.keys), dtype=bool)
         elsewhere[picked] = _answers(answers, EXACT, C.shard_edges(w.keys[picked], exact_bits))
         gone = elsewhere[w.which] | (w.least[w.which] < w.ids[w.doc])
@@ -184,10 +180,10 @@ def _remove(bits: int, exact_bits: int):
     return kept
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, n_removed, kept_text of every document."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+    """id, n_words, n_removed, kept_text of every document; a task holds one chunk of ``chunk_bytes`` at a time."""
     total = C.text_bytes(docs, text_col)
-    chunks = C.count_for(total)
+    chunks = C.count_for(total, chunk_bytes)
     windows = max(1, total // 6)
     bits = max(0, (windows * CELLS - 1).bit_length() - BLOCK_BITS - SHARD_BITS)
     exact_bits = max(2, (chunks - 1).bit_length())
