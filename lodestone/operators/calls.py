@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Marks and the header of a summary; result markers and lengths stand in the cases below.
 YES, NO = "✓", "✗"
+HEADER = ("[POWERS USED — ", " call(s)]\n")
 
 
 def union_calls(tagged: DataFrame, native: DataFrame, key: str) -> DataFrame:
@@ -89,4 +91,4 @@ def summarised(log: DataFrame, turn: str, order: str) -> DataFrame:
     one = log.select(turn, F.row_number().over(Window.partitionBy(turn).orderBy(order)).alias("i"), summary().alias("line"))
     listed = one.groupBy(turn).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("  "), x["i"].cast("string"), F.lit(". "), x["line"])), "\n")
-    return listed.select(turn, F.concat(F.lit("[POWERS USED — "), F.col("n").cast("string"), F.lit(" call(s)]\n"), body).alias("summary"))
+    return listed.select(turn, F.concat(F.lit(HEADER[0]), F.col("n").cast("string"), F.lit(HEADER[1]), body).alias("summary"))
