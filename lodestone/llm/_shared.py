@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session; a folder of our own, one an application, only where it is unset."""
     for conf in (spark.conf, spark.sparkContext.getConf()):
         found = conf.get("spark.checkpoint.dir", None)
         if found:
             return found.rstrip("/")
-    found = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _OWN[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
