@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontaminate, jaccard, language, packing, secrets
 from lodestone.llm._shared import table, written
 
+#: Near copies of the pipeline: five-word shingles, a Jaccard similarity of 80/100 or more (op9's own numbers are its contract).
+SHINGLE, NUM, DEN = 5, 80, 100
 #: Texts of which less than this share of grams is known to any language are rejected.
 LEAST_LANGUAGE = 0.2
 #: Shorter texts have too few grams to be rejected for that.
@@ -28,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; rows without an id stay."""
-    groups = jaccard.linked_components(docs)
+    groups = jaccard.linked_components(docs, k=SHINGLE, num=NUM, den=DEN)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

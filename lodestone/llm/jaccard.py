@@ -68,7 +68,8 @@ def rings(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
     With ``spare`` sub-universes more, two linked sets agree in more than
     ``spare`` of them, so also in a non-empty one if one set has at most
-    ``spare`` empty projections. Small rings need no spare ones.
+    ``spare`` empty projections. The smallest sets of a ring have so many and a
+    standard deviation less than that on average.
     """
     low, high = [1], []
     while low[-1] < 1 << 40:
@@ -76,8 +77,14 @@ def rings(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         low.append(high[-1] + 1)
     low, high = np.array(low[:-1]), np.array(high)
     least = reach(2 * high, num, den) + 1
-    spare = np.where(least > 60, least // 200 + 4, 0)
-    return low, least + spare, spare, -(-num * low // den)
+    guests = -(-num * low // den)
+    spare = np.zeros(len(low), np.int64)
+    for _ in range(60):
+        m = (least + spare).astype(np.float64)
+        with np.errstate(divide="ignore"):
+            empty = m * np.exp(guests * np.log1p(-1 / m))
+        spare = np.minimum(least, (empty + np.sqrt(empty)).astype(np.int64))
+    return low, least + spare, spare, guests
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +114,9 @@ def _sum(values: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
 def region_keys(grams: np.ndarray, first: np.ndarray, docs: np.ndarray, parents: np.ndarray, classes: np.ndarray, spare: np.ndarray, level: int = 0):
     """(document, key) of each document's projections on ``classes`` sub-universes of its parent region.
 
-    Empty projections say nothing; where a document has more than ``spare`` of
-    them, they are split again by fresh sub-universes.
+    Empty projections say nothing; a document with more than ``spare`` of them
+    is split again, as a whole, by fresh sub-universes. So of two linked sets
+    either one has a level of its own where they meet, or both go on together.
     """
     sizes = first[docs + 1] - first[docs]
     owner = np.repeat(np.arange(len(docs)), sizes)
@@ -123,10 +131,9 @@ def region_keys(grams: np.ndarray, first: np.ndarray, docs: np.ndarray, parents:
     place = T.mix(parents[whose] + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     keys = T.mix(_sum(T.mix(grams[at]), slot, total) ^ place)
     yield docs[whose[filled]], keys[filled]
-    poor = ~filled & (np.bincount(whose[~filled], minlength=len(docs)) > spare)[whose]
+    poor = np.bincount(whose[~filled], minlength=len(docs)) > spare
     if poor.any():
-        owner = whose[poor]
-        yield from region_keys(grams, first, docs[owner], T.mix(place[poor] + np.uint64(level + 1)), classes[owner], spare[owner], level + 1)
+        yield from region_keys(grams, first, docs[poor], T.mix(parents[poor] + np.uint64(level + 1)), classes[poor], spare[poor], level + 1)
 
 
 def _sketched(k: int, num: int, den: int):
@@ -379,7 +386,7 @@ def linked_components(
     rows = written(docs.mapInArrow(_sketched(k, num, den), _ROWS), "shingles")
     named = rows.where(F.col("id").isNotNull())
     classes = named.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("least"))
-    copies = named.join(classes, ["n", "f1", "f2"]).where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    copies = named.join(classes, ["n", "f1", "f2"]).where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b").distinct()
     copies = written(copies, "copies")
     total = rows.select(F.sum(F.size("keys")).alias("n")).first().n or 0
     bits = max(2, (total // 500_000).bit_length())
