@@ -145,18 +145,18 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(row, kind, start, end) of the weak candidates that a complementary part stands by.
 
-    The join is on (row, block of ``scope`` code points); each part is also
-    offered to the blocks beside its own, so every pair within scope meets.
+    The join is on (row, block of ``scope`` code points): a part stands in every
+    block that it covers, a weak candidate looks into every block within scope
+    of it, so every pair within scope meets, however long the two are.
     """
     role = F.when(F.col("s.kind").isin("access", "identifier"), "identifier").when(F.col("s.kind") == "endpoint", "endpoint").otherwise("secret")
     parts = found.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", role.alias("role"), F.col("s.start").alias("p_start"), F.col("s.end").alias("p_end"))
-    # of each role only the outermost parts of a block matter for "is any within scope"
-    block = F.floor(F.col("p_start") / scope)
+    blocks = lambda first, last: F.explode(F.sequence(F.floor(first / scope), F.floor(last / scope)))
     offered = (
-        parts.where(F.col("role") != "endpoint").withColumn("block", F.explode(F.sequence(block - 1, F.floor(F.col("p_end") / scope) + 1)))
+        parts.where(F.col("role") != "endpoint").withColumn("block", blocks(F.col("p_start"), F.col("p_end")))
         .groupBy("row", "block", "role").agg(F.array_sort(F.collect_set(F.struct("p_start", "p_end"))).alias("parts"))
     )
-    weak = found.select("row", F.explode("weak").alias("s")).select("row", "s.kind", "s.start", "s.end", F.floor(F.col("s.start") / scope).alias("block"))
+    weak = found.select("row", F.explode("weak").alias("s")).select("row", "s.kind", "s.start", "s.end", blocks(F.col("s.start") - scope, F.col("s.end") + scope).alias("block"))
     near = F.expr(f"exists(parts, p -> p.p_start - `end` <= {scope} and start - p.p_end <= {scope} and not (p.p_start = start and p.p_end = `end`))")
     met = weak.join(offered, ["row", "block"]).where(near)
     needed = F.when(F.col("kind") == "secret", F.array_contains("roles", "identifier")).when(F.col("kind") == "identifier", F.array_contains("roles", "secret")).otherwise(F.size("roles") == 2)

@@ -1,0 +1,36 @@
+"""Linked weak candidates against every pair."""
+
+import itertools
+
+from lodestone.llm import secrets
+
+SPANS = secrets._SPANS
+
+
+def by_force(base, weak, scope):
+    role = {"access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
+    needed = {"secret": {"identifier"}, "identifier": {"secret"}, "endpoint": {"identifier", "secret"}}
+    parts = base + weak
+    near = lambda x, y: x[1:] != y[1:] and y[1] - x[2] <= scope and x[1] - y[2] <= scope
+    return {w for w in weak if needed[w[0]] <= {role.get(p[0], "secret") for p in parts if near(w, p)}}
+
+
+def test_links_of_every_gap_length_and_place(spark):
+    rows = []
+    for gap, size, at, order in itertools.product((0, 499, 500, 501), (20, 2000), (0, 1, 480, 495, 499, 500, 777), (("secret", "identifier"), ("identifier", "secret"), ("secret", "access"), ("assign", "identifier"))):
+        first = (order[0], at, at + size)
+        second = (order[1], first[2] + gap, first[2] + gap + 20)
+        third = ("endpoint", second[2] + gap, second[2] + gap + size)
+        spans = [first, second, third]
+        rows.append((len(rows), [s for s in spans if s[0] in secrets.KINDS], [s for s in spans if s[0] in secrets.WEAK]))
+    found = spark.createDataFrame(rows, f"row long, base {SPANS}, weak {SPANS}")
+    got = sorted((r.row, r.kind, r.start, r.end) for r in secrets.linked(found).collect())
+    assert got == sorted((k, *w) for k, base, weak in rows for w in by_force(base, weak, secrets.SCOPE))
+
+
+def test_secret_two_blocks_before_its_identifier(spark):
+    value, long = "k1J8sd7Hs8Fj2Kd9Fk3Q", "k1J8sd7Hs8Fj2Kd9Fk3Q" * 150
+    texts = [(1, " " * 495 + value + " " * 495 + "user: bob"), (2, long + " user: bob"), (3, " " * 495 + value + " " * 501 + "user: bob")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in secrets.secret_spans(df).collect()}
+    assert got == {1: [("secret", 495), ("identifier", 1010)], 2: [("secret", 0), ("identifier", 3001)], 3: []}
