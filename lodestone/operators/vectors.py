@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 EPSILON = 1e-10
+#: Rows and queries that meet in one task at a time.
+ROW_BLOCK, QUERY_BLOCK = 8192, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,6 +43,59 @@ def cosine_topk(
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def _best_of_blocks(k: int, min_score: float | None, schema: pa.Schema):
+    """The k best rows of a block of rows for each query of a block of queries."""
+
+    def matrix(t: pa.Table, at: np.ndarray) -> np.ndarray:
+        return np.stack([np.array(v, dtype=np.float64) for v in t.column("vector").take(pa.array(at)).to_pylist()])
+
+    def best(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")  # ties go to the smaller key
+        sizes, wanted = (t.column("vector").combine_chunks().value_lengths().to_numpy() for t in (rows, queries))
+        found = [schema.empty_table()]
+        for size in np.intersect1d(sizes, wanted):
+            own, asked = np.flatnonzero(sizes == size), np.flatnonzero(wanted == size)
+            x, q = matrix(rows, own), matrix(queries, asked)
+            score = (q @ x.T) / ((np.linalg.norm(q, axis=1) + EPSILON)[:, None] * (np.linalg.norm(x, axis=1) + EPSILON))
+            score = np.where(np.isnan(score), -np.inf, np.round(score, 6))
+            if min_score is not None:
+                score[score < min_score] = -np.inf
+            at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            i, j = np.nonzero(np.take_along_axis(score, at, axis=1) > -np.inf)
+            to = at[i, j]
+            found.append(pa.Table.from_arrays([queries.column("query").take(pa.array(asked[i])), rows.column("id").take(pa.array(own[to])), pa.array(score[i, to])], schema=schema))
+        return pa.concat_tables(found)
+
+    return best
+
+
+def cosine_topk_each(
+    rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, min_score: float | None = None, query_key: str = "query_id"
+) -> DataFrame:
+    """query_key, key and score of the k rows nearest to each row of ``queries``, which have ``query_key`` and a vector.
+
+    Every block of rows meets every block of queries and keeps k rows a query;
+    the k best of those are the result. Vectors are compared with those of their
+    own length; rows and queries without a vector, or with null or NaN elements,
+    are left out. Scores, ties and ``min_score`` are as in ``cosine_topk``.
+    """
+    held = F.col(vector).isNotNull() & (F.size(vector) > 0)
+    rows = rows.where(held).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    queries = queries.where(held).select(F.col(query_key).alias("query"), F.col(vector).alias("vector"))
+    n_rows, n_queries = (max(1, -(-df.count() // size)) for df, size in ((rows, ROW_BLOCK), (queries, QUERY_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    left = rows.withColumn("rb", mine("id", n_rows)).withColumn("qb", every(n_queries))
+    right = queries.withColumn("qb", mine("query", n_queries)).withColumn("rb", every(n_rows))
+    kinds = {"query": queries.schema["query"].dataType, "id": rows.schema["id"].dataType}
+    schema = to_arrow_schema(StructType([*(StructField(n, t) for n, t in kinds.items()), StructField("score", DoubleType())]))
+    ddl = ", ".join([*(f"`{n}` {t.simpleString()}" for n, t in kinds.items()), "score double"])
+    partial = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(_best_of_blocks(k, min_score, schema), ddl)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    best = partial.withColumn("_place", place).where(F.col("_place") <= k)
+    return best.select(F.col("query").alias(query_key), F.col("id").alias(key), F.round("score", 6).alias("score"))
+
+
 def centroids(rows: DataFrame, by: str, vector: str) -> DataFrame:
     """The mean vector of each group, element by element with partial aggregation."""
     each = rows.select(by, F.posexplode(vector).alias("i", "x"))

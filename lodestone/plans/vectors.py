@@ -19,13 +19,28 @@ def cosine_topk_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cosine_topk(rows, rows.where(F.col("vec_id") == 3), "vec_id", "embedding", 10, 0.15)
 
 
+def _each(spark: SparkSession, sf_dir: str, k: int, min_score: float | None = None) -> DataFrame:
+    """Every vector whose id 50 divides, as a query against all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.where(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id")
+    return vectors.cosine_topk_each(rows, queries, "vec_id", "embedding", k, min_score)
+
+
+def cosine_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(spark, sf_dir, 5)
+
+
+def cosine_topk_each_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(spark, sf_dir, 10, 0.15)
+
+
 def label_centroid_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector nearest to each label's mean vector."""
     rows = table(spark, sf_dir, "embeddings")
     return vectors.nearest_to_centroids(rows, "label", "vec_id", "embedding")
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, cosine_topk_min_score, label_centroid_nearest)}
+QUERIES = {f.__name__: f for f in (cosine_topk, cosine_topk_min_score, cosine_topk_each, cosine_topk_each_min_score, label_centroid_nearest)}
 _COSINE = """round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::double * p[2]::double))
   / ((sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double))) + 1e-10)
    * (sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double))) + 1e-10)), 6)"""
@@ -41,4 +56,10 @@ SELECT label, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY label
     "cosine_topk": f"""
 SELECT e.vec_id, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
 ORDER BY score DESC, e.vec_id LIMIT 5""",
+    "cosine_topk_each": f"""
+SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 5""",
+    "cosine_topk_each_min_score": f"""
+SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q
+WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 10""",
 }
