@@ -28,10 +28,11 @@ def tail(messages: DataFrame, session: str, order: str, n: int) -> DataFrame:
     return last.withColumn("_open", opened).where(F.col("_open") == 1).drop("_open")
 
 
-def keyword_rank(turns: DataFrame, query: str, pool: int, k: int, keys: list[str]) -> DataFrame:
-    """The ``pool`` best by keywords, reranked by the share of the query in the user's half, then k."""
+def keyword_rank(turns: DataFrame, query: str, pool: int, k: int, keys: list[str], halves: tuple[str, ...] = ("user_text", "assistant_text")) -> DataFrame:
+    """The ``pool`` best by keywords, reranked by the share of the query in a passage of 800 characters of each of ``halves``, then k."""
     both = F.concat_ws(" ", "user_text", "assistant_text")
-    scored = turns.select(*keys, F.round(keyword_score(both, query), 6).alias("score"), F.round(keyword_score(F.substring("user_text", 1, 800), query), 6).alias("rerank"))
+    passage = F.concat_ws("\n", *[F.substring(half, 1, 800) for half in halves])
+    scored = turns.select(*keys, F.round(keyword_score(both, query), 6).alias("score"), F.round(keyword_score(passage, query), 6).alias("rerank"))
     best = scored.where("score > 0").orderBy(F.desc("score"), *keys).limit(pool)
     return best.orderBy(F.desc("rerank"), F.desc("score"), *keys).limit(k)
 

@@ -31,6 +31,11 @@ def role_filter(s, d):
 
 
 def history_rank(s, d):
+    """Reranks by the user's half alone, as its SQL does; ``history_rank_passages`` takes both."""
+    return turns.keyword_rank(_pairs(s, d), QUERY, 15, 5, ["conv_id", "turn_no"], ("user_text",))
+
+
+def history_rank_passages(s, d):
     return turns.keyword_rank(_pairs(s, d), QUERY, 15, 5, ["conv_id", "turn_no"])
 
 
@@ -96,7 +101,7 @@ def circuit_breaker(s, d):
     return events.breaker(rows, "user_id", "event_id", "seconds", "outcome")
 
 
-QUERIES = {f.__name__: f for f in (turn_pairs, tail_slice, role_filter, history_rank, prefix_valid, retention_last_n, renumber_after_delete, docs_pages, url_parts, page_headings, heading_priority, event_counts, event_signature, ttl_filter, session_windows, aimd_gate, circuit_breaker)}
+QUERIES = {f.__name__: f for f in (turn_pairs, tail_slice, role_filter, history_rank, history_rank_passages, prefix_valid, retention_last_n, renumber_after_delete, docs_pages, url_parts, page_headings, heading_priority, event_counts, event_signature, ttl_filter, session_windows, aimd_gate, circuit_breaker)}
 
 _PAIRS = """p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS turn_no, u AS user_text, text AS assistant_text, start_line, turn + 1 AS end_line
 FROM (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS u, lag(turn) OVER w + 1 AS start_line FROM conversations
@@ -116,6 +121,9 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)
 SELECT conv_id, turn, role FROM s QUALIFY max((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) = 1""",
     "role_filter": "SELECT role, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role",
     "history_rank": f"""WITH {_PAIRS}, s AS (SELECT conv_id, turn_no, {_score("user_text || ' ' || assistant_text")} AS score, {_score("left(user_text, 800)")} AS rerank FROM p)
+SELECT * FROM (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, conv_id, turn_no LIMIT 15) ORDER BY rerank DESC, score DESC, conv_id, turn_no LIMIT 5""",
+    "history_rank_passages": f"""WITH {_PAIRS}, s AS (SELECT conv_id, turn_no, {_score("user_text || ' ' || assistant_text")} AS score,
+{_score("left(user_text, 800) || chr(10) || left(assistant_text, 800)")} AS rerank FROM p)
 SELECT * FROM (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, conv_id, turn_no LIMIT 15) ORDER BY rerank DESC, score DESC, conv_id, turn_no LIMIT 5""",
     "prefix_valid": f"WITH {_PAIRS} SELECT conv_id, turn_no FROM p WHERE conv_id % 3 <> 0 OR turn_no < 2",
     "retention_last_n": f"WITH {_PAIRS} SELECT conv_id, turn_no FROM p QUALIFY turn_no > max(turn_no) OVER (PARTITION BY conv_id) - 2",
