@@ -386,19 +386,20 @@ def linked_components(
     rows = written(docs.mapInArrow(_sketched(k, num, den), _ROWS), "shingles")
     named = rows.where(F.col("id").isNotNull())
     classes = named.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("least"))
-    copies = named.join(classes, ["n", "f1", "f2"]).where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b").distinct()
+    copies = named.join(classes, ["n", "f1", "f2"]).where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"), "n", "f1", "f2").distinct()
     copies = written(copies, "copies")
     total = rows.select(F.sum(F.size("keys")).alias("n")).first().n or 0
     bits = max(2, (total // 500_000).bit_length())
     shards = rows.select("keys").mapInArrow(_halves(bits), "shard bigint, halves binary").groupBy("shard")
     repeated = spark.sparkContext.broadcast(_filter(shards.applyInArrow(_repeated, "word bigint, bits bigint")))
-    kept = named.where(F.size("keys") > 0).join(copies.select(F.col("a").alias("id")), "id", "left_anti")
+    # by row: another text of the same id stays
+    kept = named.where(F.size("keys") > 0).join(copies.select(F.col("a").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "left_anti")
     members = _split_large(_members(kept, bits, repeated), num, den)
     bundles = max(16, total // REGION_ROWS)
     bundle = F.pmod(F.col("key"), F.lit(bundles)).alias("bundle")
     found = written(members.groupBy(bundle).applyInArrow(_leaves(num, den, False), "key bigint, a bigint, b bigint"), "forest")
     checked = _verified(found.select("a", "b").distinct(), docs, k, num, den)
-    links = checked.where("linked").select("a", "b").union(copies)
+    links = checked.where("linked").select("a", "b").union(copies.select("a", "b"))
     part = components(links)
     failed = checked.where("not linked").select("a", "b")
     open_ = found.join(failed, ["a", "b"], "left_semi").select("key").distinct()
