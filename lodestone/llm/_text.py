@@ -7,6 +7,7 @@ bytes: every byte of a multi-byte character is a word byte.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: glibc's malloc_trim, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def _lookup(is_word) -> np.ndarray:
@@ -60,7 +63,7 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             pair.append(np.multiply.accumulate(p))
         have = (pair[0], pair[1])
-        if n <= 8 * SLICE_BYTES:  # tables for a single giant text are not kept
+        if n <= 2 * SLICE_BYTES:  # tables for a single giant text are not kept
             _POWERS[which] = have
     return have
 
@@ -80,6 +83,19 @@ def columns_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return column
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; at the task's end memory that pools hold goes back to the system, as workers live on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def trimmed(f):
+    """``f`` over a task's batches, with ``released``."""
+    return lambda batches: released(f(batches))
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) over the rows in pieces of about ``limit`` bytes; null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -21,7 +21,8 @@ from lodestone.llm import _text as T
 
 #: Characters below this (Latin, Greek, Cyrillic and their marks) have settled classes.
 SAFE_BELOW = 0x0530
-CACHED_PIECES = 1_000_000
+#: About 25 MB of a worker's memory.
+CACHED_PIECES = 150_000
 OTHER, LETTER, NUMBER, SPACE, UNSAFE = range(5)
 WHITE = {*range(9, 14), 0x20, 0x85, 0xA0}
 

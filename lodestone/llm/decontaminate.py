@@ -8,8 +8,10 @@ extended to the ``window``-word spans around it, which are compared by their own
 length, kept under that length.
 
 Defined edge cases: null or empty texts have no words and no hits; repeated
-rows each get their own result row; an empty benchmark hits nothing; other
-columns are ignored.
+rows and null ids each get their own result row; an item without an id counts
+under the name "null"; rows of items that share an id are one item; an empty
+benchmark hits nothing; other columns are ignored. A text is cut whole, so a
+task needs about 100 bytes of memory a byte of its longest text.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import _text as T
-from lodestone.llm._shared import table
+from lodestone.llm._shared import bounded_batches, table
 
 WINDOW, GRAM = 10, 5
+#: Name of an item without an id.
+NO_ID = "null"
 FILTER_BITS = 1 << 22
 #: Test fingerprints up to this many are broadcast (about 100 bytes each); beyond, both sides shuffle.
 BROADCAST_ROWS = 200_000
@@ -116,7 +120,7 @@ def _scanner(window: int, k: int, short: list[int], bits, whole: bool):
                     names=["id", "n_words", "prints"],
                 )
 
-    return scan
+    return T.trimmed(scan)
 
 
 def _scan(df: DataFrame, id_col: str, text_col: str, *how) -> DataFrame:
@@ -132,6 +136,7 @@ def benchmark_hits(
 ) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_hit, items (sorted ids as text), starts (hit spans as structs of start and size)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     lengths = items.select(
         F.size(F.regexp_extract_all(F.translate(item_text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))).alias("n")
     )
@@ -139,7 +144,7 @@ def benchmark_hits(
     short = sorted(r.n for r in lengths.where((F.col("n") > 0) & (F.col("n") < window)).distinct().collect())
     tests = (
         _scan(items, item_col, item_text, window, k, short, None, True)
-        .select(F.col("id").cast("string").alias("item"), F.explode("prints").alias("p"))
+        .select(F.coalesce(F.col("id").cast("string"), F.lit(NO_ID)).alias("item"), F.explode("prints").alias("p"))
         .select("item", "p.print", "p.size", F.col("p.spans").alias("item_spans"))
         .distinct()
     )

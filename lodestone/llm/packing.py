@@ -9,7 +9,9 @@ sequences from s on, at offset o"); pieces are numbered within their length by
 prefix sums over hash buckets, so no length is gathered in one task.
 
 Defined edge cases: null and empty texts are one piece holding only the end
-id; repeated rows are packed each; an empty table gives no rows.
+id; repeated rows are packed each, equal id and piece in any order; null ids
+are packed like others; an empty table gives no rows; a text of any length is
+cut into pieces of the capacity; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import _text as T
 from lodestone.llm import bpe
-from lodestone.llm._shared import table, written
+from lodestone.llm._shared import bounded_batches, table, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -118,11 +121,12 @@ def _pieces(path: str, capacity: int, end_id: int):
                     names=["id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return cut
+    return T.trimmed(cut)
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """id, piece, start, length, ids_crc32: ids of each text and one end id; longer ones are cut, the first piece taking the rest."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         _pieces(path, capacity, end_id), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
