@@ -1,17 +1,23 @@
 """Language identification with language-bitmask n-gram filters.
 
-Training counts 4-byte grams of each language in Spark and keeps those that
-make up at least ``MIN_RATE`` of the language's grams (so at most 1/MIN_RATE
-grams a language, whatever the corpus). They go into a bit-sliced Bloom filter:
-slot -> one bit per language. ANDing the slots of a gram gives the bitmask of
-all languages that contain it; the per-language popcounts of a text, corrected
-for each language's false-positive rate, decide.
+Training counts the 4-byte grams of each language in Spark; every gram that
+occurs enters a bit-sliced Bloom filter: slot -> one bit per language and plane.
+Plane 0 holds all grams of a language, plane 1 those that make up at least
+``COMMON_RATE`` of its grams. ANDing the slots of a gram gives the bitmask of
+all languages that contain it (none is ever missed), and of those in which it
+is common. The popcounts of a text in each plane, corrected for the plane's
+false-positive rate, are averaged and decide.
+
+The filter has ``SLOTS_A_GRAM`` slots for each gram of the language with most
+(so a false-positive rate of about 3 %), up to ``MODEL_BYTES`` in all; beyond
+that the rate rises and the correction takes it out of the counts.
 
 Defined edge cases: null texts and texts without a letter are ``und`` with
 score 0; texts too short for a gram get the language with most training grams;
 with no training rows everything is ``und``; ties go to the language with more
 training grams, then by name. Repeated rows are predicted each; other columns
-pass through.
+pass through, and one called like a result column is replaced. Texts are worked
+on in slices of rows, so a very long text is one slice.
 """
 
 from __future__ import annotations
@@ -23,14 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
 
 from lodestone.llm import _text as T
-from lodestone.llm._shared import held, table
+from lodestone.llm._shared import bounded_batches, discard, fresh_name, held, table, written
 
-SLOTS = 1 << 20
 HASHES = 3
-MIN_RATE = 2e-5
+SLOTS_A_GRAM = 8
+LEAST_SLOTS = 1 << 16
+#: The filters are broadcast: their greatest size.
+MODEL_BYTES = 32 << 20
+BLOCK = 1 << 12
+PLANES = 2
+COMMON_RATE = 2e-5
 FOLDS = 3
 UNKNOWN = "und"
 SPACE = 0x20
@@ -41,8 +51,12 @@ FOLD = np.array([b | 0x20 if chr(b).isalpha() and b < 0x80 else b if b >= 0x80 e
 @dataclass
 class LanguageModel:
     languages: list[str]  # by training grams, most first
-    slots: np.ndarray  # language bits of each slot, one row for every 64 languages
-    false_positive: np.ndarray
+    slots: np.ndarray  # bits of each slot, PLANES a language; one row for every 64 bits
+    false_positive: np.ndarray  # of each bit
+
+    @property
+    def size(self) -> int:
+        return self.slots.shape[1]
 
 
 def text_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +80,9 @@ def text_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return whose[1:-2][ok], code[ok]
 
 
-def slots_of(codes: np.ndarray, k: int) -> np.ndarray:
+def slots_of(codes: np.ndarray, k: int, size: int) -> np.ndarray:
     h = T.mix(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return (h >> np.uint64(20 * k)) & np.uint64(SLOTS - 1)
+    return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(size - 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,77 +104,103 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        codes = batch.column(1).to_numpy()
-        for k in range(HASHES):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots_of(codes, k).astype(np.int64))], names=["lang", "slot"])
+def _slots(size: int):
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, slot, bits) of (gram, word, bits)."""
+        for batch in batches:
+            codes = batch.column(0).to_numpy()
+            for k in range(HASHES):
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(slots_of(codes, k, size).astype(np.int64)), batch.column(2)], names=["word", "slot", "bits"])
+
+    return slots
+
 
+def _dense(kind: str):
+    def dense(key, rows):
+        block = np.zeros(BLOCK, dtype=kind)
+        block[rows.column("slot").to_numpy() % BLOCK] = rows.column("bits").to_numpy().view(np.uint64).astype(kind)
+        return pa.table({"word": [key[0].as_py()], "block": [key[1].as_py()], "filled": pa.array([block.tobytes()], pa.binary())}, schema=pa.schema([("word", pa.int32()), ("block", pa.int64()), ("filled", pa.binary())]))
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", min_rate: float = MIN_RATE) -> LanguageModel:
-    """Counts all grams of all labelled rows; only filter slots (SLOTS at most) reach the driver."""
+    return dense
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", common_rate: float = COMMON_RATE) -> LanguageModel:
+    """Counts all grams of all labelled rows; only the filters (MODEL_BYTES at most) reach the driver."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * min_rate).select("lang", "gram", "n")
-    set_ = kept.mapInArrow(_slots, "lang string, slot bigint")
-    # one row a slot and language at most: packed by language before they come to the driver
-    packed = set_.groupBy("slot").agg(F.collect_set("lang").alias("langs")).groupBy(F.array_sort("langs").alias("langs")).agg(F.collect_list("slot").alias("slots"))
-    by_langs = packed.collect()
-    sizes = {r.lang: r.total for r in totals.collect()}
-    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    at = {lang: i for i, lang in enumerate(languages)}
-    slots = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), dtype=np.uint64)
-    for r in by_langs:
-        where = np.array(r.slots, dtype=np.int64)
-        for lang in r.langs:
-            slots[at[lang] // 64, where] |= np.uint64(1 << (at[lang] % 64))
-    fill = [float(np.count_nonzero(slots[i // 64] & np.uint64(1 << (i % 64)))) / SLOTS for i in range(len(languages))]
-    if len(languages) <= 8:
-        slots = slots.astype(np.uint8)
-    return LanguageModel(languages, slots, np.array(fill, dtype=np.float64) ** HASHES)
+    counts = written(rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    known = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("grams")).collect()  # one row a language
+    known.sort(key=lambda r: (-r.total, r.lang))
+    bits = PLANES * len(known)
+    words = max(1, -(-bits // 64))
+    kind = next(f"uint{n}" for n in (8, 16, 32, 64) if n >= min(bits, 64))
+    most = MODEL_BYTES // (words * np.dtype(kind).itemsize)
+    size = min(1 << (most.bit_length() - 1), max(LEAST_SLOTS, 1 << (SLOTS_A_GRAM * max([r.grams for r in known], default=1) - 1).bit_length()))
+    slots = np.zeros((words, size), dtype=kind)
+    if known:
+        at = labelled.sparkSession.createDataFrame([(r.lang, PLANES * i, float(r.total * common_rate)) for i, r in enumerate(known)], "lang string, bit int, least double")
+        own = F.expr(f"shiftleft(if(n >= least, {(1 << PLANES) - 1}L, 1L), bit % 64)")
+        masks = counts.join(F.broadcast(at), "lang").select("gram", F.expr("bit div 64").cast("int").alias("word"), own.alias("bits"))
+        filled = masks.mapInArrow(_slots(size), "word int, slot bigint, bits bigint").groupBy("word", "slot").agg(F.bit_or("bits").alias("bits"))
+        blocks = filled.groupBy("word", F.expr(f"slot div {BLOCK}").alias("block")).applyInArrow(_dense(kind), "word int, block bigint, filled binary")
+        for r in blocks.toLocalIterator():
+            slots[r.word, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.filled, dtype=kind)
+    discard(counts)
+    one = slots.dtype.type(1)
+    fill = [float(np.count_nonzero(slots[i // 64] & (one << slots.dtype.type(i % 64)))) / size for i in range(bits)]
+    return LanguageModel([r.lang for r in known], slots, np.array(fill, dtype=np.float64) ** HASHES)
+
+
+def shares(model: LanguageModel, doc: np.ndarray, code: np.ndarray, docs: int) -> np.ndarray:
+    """(languages, docs): the average over the planes of the corrected share of a text's grams that a filter holds."""
+    n = np.bincount(doc, minlength=docs).astype(np.float64)
+    out = np.zeros((len(model.languages), docs))
+    at = [slots_of(code, k, model.size) for k in range(HASHES)]
+    for word, slots in enumerate(model.slots):
+        mask = slots[at[0]]
+        for k in range(1, HASHES):
+            mask &= slots[at[k]]
+        for i in range(64 * word, min(PLANES * len(model.languages), 64 * word + 64)):
+            hits = np.bincount(doc[mask & mask.dtype.type(1 << (i % 64)) != 0], minlength=docs)
+            false = model.false_positive[i]
+            out[i // PLANES] += np.clip((hits - false * n) / max(1e-9, 1 - false), 0, None) / np.maximum(n, 1) / PLANES
+    return out
 
 
 def _decide(model: LanguageModel, column: pa.Array, letter: np.ndarray) -> tuple[list, np.ndarray]:
-    langs, shares = [], []
+    langs, scores = [], []
     for lo, hi, data, offsets in T.slices(column):
-        doc, code = text_grams(data, offsets)
-        n = np.bincount(doc, minlength=hi - lo).astype(np.float64)
-        share = np.zeros((len(model.languages), hi - lo))
-        at = [slots_of(code, k) for k in range(HASHES)]
-        for word, slots in enumerate(model.slots):
-            mask = slots[at[0]]
-            for k in range(1, HASHES):
-                mask &= slots[at[k]]
-            for i in range(64 * word, min(len(model.languages), 64 * word + 64)):
-                hits = np.bincount(doc, ((mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1)).astype(np.float64), hi - lo)
-                false = model.false_positive[i]
-                share[i] = np.clip((hits - false * n) / max(1e-9, 1 - false), 0, None) / np.maximum(n, 1)
-        if model.languages:
-            best = np.argmax(share, axis=0)
-            ok = letter[lo:hi]
-            langs += [model.languages[b] if o else UNKNOWN for b, o in zip(best, ok, strict=True)]
-            shares.append(np.where(ok, np.minimum(share[best, np.arange(hi - lo)], 1.0), 0.0))
-        else:
+        ok = letter[lo:hi]
+        if not model.languages:
             langs += [UNKNOWN] * (hi - lo)
-            shares.append(np.zeros(hi - lo))
-    return langs, np.concatenate(shares) if shares else np.zeros(0)
+            scores.append(np.zeros(hi - lo))
+            continue
+        share = shares(model, *text_grams(data, offsets), hi - lo)
+        best = np.argmax(share, axis=0)
+        langs += [model.languages[b] if o else UNKNOWN for b, o in zip(best, ok, strict=True)]
+        scores.append(np.where(ok, np.minimum(share[best, np.arange(hi - lo)], 1.0), 0.0))
+    return langs, np.concatenate(scores) if scores else np.zeros(0)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """The rows of ``docs`` with two more columns; the model's size is bounded, so it is broadcast."""
+    """The rows of ``docs`` with two more columns; the model's size is bounded, so it is broadcast. Only texts go to Python."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    index = docs.columns.index(text_col)
-    schema = t.StructType([*docs.schema.fields, t.StructField(lang_out, t.StringType()), t.StructField(score_out, t.DoubleType())])
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            langs, shares = _decide(shared.value, batch.column(index), letter)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(shares)], names=[*batch.schema.names[:-1], lang_out, score_out])
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def decide(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        def told():
+            for text, letter in columns:
+                langs, scores = _decide(shared.value, text, letter.to_numpy(zero_copy_only=False))
+                yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], names=["lang", "score"])
+
+        yield from T.released(told())
 
-    return rows.mapInArrow(decide, schema)
+    name = fresh_name(docs, "_told")
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    # not deterministic in name only: a filter on the result would else evaluate it once more
+    rows = docs.withColumn(name, decide.asNondeterministic()(F.col(text_col), letter))
+    return rows.withColumns({lang_out: F.col(f"{name}.lang"), score_out: F.col(f"{name}.score")}).drop(name)
 
 
 def corpus_model(docs: DataFrame) -> LanguageModel:
