@@ -8,13 +8,17 @@ reported only when a complementary part stands within its scope: a weak secret
 needs an identifier, a weak identifier needs a secret, an endpoint needs both.
 
 Spans are code points, end exclusive. Defined edge cases: null and empty texts
-have no spans; repeated rows are scanned each; other columns are ignored.
+have no spans; repeated rows and null ids are scanned each; spans may overlap
+between kinds; other columns are ignored, whatever they are called. Patterns
+take time in proportion to a text's length, and links are made by blocks of
+``SCOPE`` code points, so long texts and long values need no special case.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import _text as T
-from lodestone.llm._shared import table, written
+from lodestone.llm._shared import bounded_batches, fresh_name, table, written
 
 KINDS = ("assign", "access", "hex")
 WEAK = ("identifier", "secret", "endpoint")
@@ -39,7 +43,9 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: Weak candidates: an identifier assigned by name, a URL or host assignment.
 IDENTIFIER = re.compile(rb"""(?i:client_?id|account_?id|access_?id|key_?id|user_?name|login|user)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{3,})""")
 IDENTIFIER_WORDS = (b"client", b"account", b"access", b"key", b"user", b"login")
-ENDPOINT = re.compile(rb"""[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9._~:/?\[\]@!$&()*+;=%-]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?""")
+HOST = re.compile(rb"""(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?""")
+AFTER_SCHEME = re.compile(rb"""[A-Za-z0-9._~:/?\[\]@!$&()*+;=%-]+""")
+SCHEME = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 LEAST_WEAK, LEAST_ENTROPY = 16, 3.2
 
 _HEX = T._lookup(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x66)
@@ -72,6 +78,51 @@ def _entropy(value: bytes) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def _urls(text: bytes) -> Iterator[tuple[int, int]]:
+    """Spans scheme://rest. From each "://" back to the first letter of the scheme, so a long run of letters is read once."""
+    end = 0
+    mark = text.find(b"://")
+    while mark >= 0:
+        begin = mark
+        while begin > end and text[begin - 1] in SCHEME:
+            begin -= 1
+        while begin < mark and not text[begin : begin + 1].isalpha():
+            begin += 1
+        rest = AFTER_SCHEME.match(text, mark + 3)
+        if begin < mark and rest:
+            yield begin, rest.end()
+        end = rest.end() if rest and begin < mark else mark + 3
+        mark = text.find(b"://", end)
+
+
+def _endpoints(text: bytes) -> Iterator[tuple[int, int]]:
+    """URLs and host assignments outside of them."""
+    end = 0
+    for a, b in sorted([*_urls(text), *(m.span() for m in HOST.finditer(text))]):
+        if a >= end:
+            yield a, b
+            end = b
+
+
+def _clear_of(spans: list, taken: list) -> list:
+    """The spans (text, kind, begin, end) that overlap none of the taken ones."""
+    merged: dict[int, tuple[list, list]] = {}
+    for d, _, s, e in sorted(taken, key=lambda x: (x[0], x[2])):
+        starts, ends = merged.setdefault(d, ([], []))
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    out = []
+    for span in spans:
+        starts, ends = merged.get(span[0], ((), ()))
+        at = bisect_left(starts, span[3])  # those before begin before the span's end
+        if not at or ends[at - 1] <= span[2]:
+            out.append(span)
+    return out
+
+
 def find(data: np.ndarray, offsets: np.ndarray) -> tuple[list, list]:
     """Base and weak spans, (text, kind, begin, end) in bytes."""
     raw = data.tobytes()
@@ -94,17 +145,14 @@ def find(data: np.ndarray, offsets: np.ndarray) -> tuple[list, list]:
     named = lower if any(c in raw for c in (b":", b"=")) else b""
     for text, m, a in each(IDENTIFIER, IDENTIFIER_WORDS, named):
         weak.append((text, "identifier", a + m.start(), a + m.end()))
-    for text, m, a in each(ENDPOINT, (b"://", b"host", b"endpoint", b"server"), named):
-        weak.append((text, "endpoint", a + m.start(), a + m.end()))
+    for text in _texts_with(named, (b"://", b"host", b"endpoint", b"server"), offsets).tolist():
+        a = int(offsets[text])
+        weak += [(text, "endpoint", a + s, a + e) for s, e in _endpoints(raw[a : int(offsets[text + 1])])]
     for d, s, e in zip(*(x.tolist() for x in _runs(_VALUE[data], offsets, LEAST_WEAK)), strict=True):
         value = raw[s:e]
         if re.search(rb"[0-9]", value) and re.search(rb"[A-Za-z]", value) and _entropy(value) >= LEAST_ENTROPY:
             weak.append((d, "secret", s, e))
-    taken: dict[int, list] = {}
-    for d, _, s, e in base:
-        taken.setdefault(d, []).append((s, e))
-    weak = [w for w in weak if all(w[3] <= s or e <= w[2] for s, e in taken.get(w[0], ()))]
-    return base, weak
+    return base, _clear_of(weak, base)
 
 
 def _column(spans: list, n: int, before: np.ndarray) -> pa.Array:
@@ -137,8 +185,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id, base and weak spans of each text."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan, f"id {kind}, base {_SPANS}, weak {_SPANS}")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(T.trimmed(_scan), f"id {kind}, base {_SPANS}, weak {_SPANS}")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -186,13 +235,14 @@ def redacted(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col
         "aggregate(spans, cast(array() as array<struct<a:bigint,b:bigint>>), (m, x) -> if(size(m) > 0 and element_at(m, -1).b >= x.start, "
         "concat(slice(m, 1, size(m) - 1), array(struct(element_at(m, -1).a as a, greatest(element_at(m, -1).b, x.`end`) as b))), concat(m, array(struct(x.start as a, x.`end` as b)))))"
     )
-    cuts = spans.select(F.col(id_col).alias("_id"), merged.alias("_cuts"))
+    key, cuts = fresh_name(docs, "_id"), fresh_name(docs, "_cuts")
+    found = spans.select(F.col(id_col).alias(key), merged.alias(cuts))
     text = F.expr(
-        f"concat(array_join(transform(_cuts, (c, i) -> substring(`{text_col}`, cast(if(i = 0, 0, _cuts[i - 1].b) + 1 as int), cast(c.a - if(i = 0, 0, _cuts[i - 1].b) as int))), '{mark}'), "
-        f"'{mark}', substring(`{text_col}`, cast(element_at(_cuts, -1).b + 1 as int)))"
+        f"concat(array_join(transform(`{cuts}`, (c, i) -> substring(`{text_col}`, cast(if(i = 0, 0, `{cuts}`[i - 1].b) + 1 as int), cast(c.a - if(i = 0, 0, `{cuts}`[i - 1].b) as int))), '{mark}'), "
+        f"'{mark}', substring(`{text_col}`, cast(element_at(`{cuts}`, -1).b + 1 as int)))"
     )
-    joined = docs.join(cuts, docs[id_col] == F.col("_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(text)).drop("_id", "_cuts")
+    joined = docs.join(found, docs[id_col] == F.col(key), "left")
+    return joined.withColumn(text_col, F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(text)).drop(key, cuts)
 
 
 def op4_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
