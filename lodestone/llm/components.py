@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import written
+from lodestone.llm._shared import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,13 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+        # edges are distinct; two independent 64-bit sums tell one round from the next
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit(1), "b", "a"))).first())
 
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = state(now)
     while True:
-        now = written(_small_star(_large_star(now)), "stars")
+        before, now = now, written(_small_star(_large_star(now)), "stars")
         then = state(now)
+        discard(before)
         if then == seen:
             break
         seen = then

@@ -11,21 +11,33 @@ linked sets of sizes p and q have D <= (p + q)(den - num)/(den + num).
    are equal. Equal projections make the regions of the second level. (Pivot
    documents would not separate anything here: unrelated texts are all at
    distance 1 from each other.)
-3. Regions above ``LEAF`` members are split again and again by pivots drawn
+3. A first round joins only the regions of ``CLOSE`` sub-universes: a spanning
+   forest of near pairs in each, or in regions above ``LEAF`` members an edge
+   from each member to the nearest of ``PIVOTS`` pivots. Edges are verified on
+   the sets, and give first components.
+4. The second round takes every region in which two components still meet;
+   keys are computed anew for it, as all of them together outweigh the texts.
+   Regions above ``LEAF`` members are split again and again by pivots drawn
    from them: a member goes to the Voronoi region of its nearest pivot, and to
    every region whose pivot is nearer than that plus twice the greatest D of a
    link. Distances are Hamming distances of parity sketches, a contraction of
    D, so no link is lost. What pivots cannot split is joined block by block.
-4. In a leaf, pairs whose sketches are near enough are candidates. A spanning
-   forest of the candidates is verified on the sets themselves; regions with a
-   failed edge are gone through again for pairs that still lie in different
-   components, so components are exact and no leaf sends all its pairs.
+5. In a leaf, pairs across components whose sketches are near enough are
+   candidates. A spanning forest of them is verified; regions with a failed
+   edge are gone through again for candidates that still lie in different
+   components, so components are exact. Verifying means a parity sketch of a
+   bit an element first, which hardly any unlinked pair passes, and then the
+   sets themselves.
 
-Equal sets are one class from the start and one member of the join.
+Equal sets are one class from the start and one member of the join; classes
+are told in two steps, by shares of a class and then by class, so that a class
+of any size is never one group.
 
 Defined edge cases: texts without words and null texts have the empty set and
 link with nothing; rows that share an id are one node; null ids stand alone
-with a null component; other columns are ignored.
+with a null component; ids are whole numbers (others fail to cast); other
+columns are ignored. A text is hashed whole, so a task needs about 100 bytes of
+memory a byte of its longest text.
 """
 
 from __future__ import annotations
@@ -34,12 +46,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import _chunks as C
 from lodestone.llm import _text as T
-from lodestone.llm._shared import table, written
+from lodestone.llm._shared import bounded_batches, discard, small, table, written
 from lodestone.llm.components import components
 
 SHINGLE = 3
@@ -47,6 +59,10 @@ NUM, DEN = 90, 100
 GROWTH = 1.6
 SKETCH_BITS, SKETCH_WORDS = 256, 4
 LEAF = 2048
+#: Sub-universes of the first round.
+CLOSE = 1
+#: Shares in which a class of equal sets is told first.
+SHARES = 1024
 PIVOTS, LEVELS = 8, 3
 #: Regions are split by pivots while a member goes to so many of the new regions on average.
 WORTH = 2.0
@@ -54,8 +70,10 @@ WORTH = 2.0
 FILTER_BITS = 1 << 25
 REGION_ROWS = 200_000
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
-_ROWS = "id bigint, n bigint, f1 bigint, f2 bigint, " + ", ".join(f"{s} bigint" for s in _SKETCH) + ", keys array<bigint>"
-_MEMBER = "key bigint, id bigint, n bigint, " + ", ".join(f"{s} bigint" for s in _SKETCH)
+_SKETCHES = ", ".join(f"{s} bigint" for s in _SKETCH)
+_ROWS = f"id bigint, n bigint, f1 bigint, f2 bigint, lead bigint, {_SKETCHES}, long binary, keys array<bigint>"
+_MEMBER = f"key bigint, id bigint, n bigint, component bigint, {_SKETCHES}"
+_COLUMNS = ("key", "id", "n", "component", *_SKETCH)
 
 
 def reach(sizes, num: int = NUM, den: int = DEN):
@@ -112,7 +130,7 @@ def _sum(values: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
 
 
 def region_keys(grams: np.ndarray, first: np.ndarray, docs: np.ndarray, parents: np.ndarray, classes: np.ndarray, spare: np.ndarray, level: int = 0):
-    """(document, key) of each document's projections on ``classes`` sub-universes of its parent region.
+    """(document, key, number of the sub-universe) of each document's projections on ``classes`` sub-universes of its parent region.
 
     Empty projections say nothing; a document with more than ``spare`` of them
     is split again, as a whole, by fresh sub-universes. So of two linked sets
@@ -130,64 +148,128 @@ def region_keys(grams: np.ndarray, first: np.ndarray, docs: np.ndarray, parents:
     filled = np.bincount(slot, minlength=total) > 0
     place = T.mix(parents[whose] + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     keys = T.mix(_sum(T.mix(grams[at]), slot, total) ^ place)
-    yield docs[whose[filled]], keys[filled]
+    yield docs[whose[filled]], keys[filled], number[filled]
     poor = np.bincount(whose[~filled], minlength=len(docs)) > spare
     if poor.any():
         yield from region_keys(grams, first, docs[poor], T.mix(parents[poor] + np.uint64(level + 1)), classes[poor], spare[poor], level + 1)
 
 
+def long_sketches(grams: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A parity sketch of each set, of a power of two of bits, 64 or at least one an element."""
+    n = np.diff(first)
+    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.cumsum(size)
+    bit = (T.mix(grams + np.uint64(0x8EBC6AF09C88C6E3)) & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(ends - size, n) + bit, minlength=int(ends[-1]) if len(ends) else 0) & 1
+    offsets = np.concatenate([[0], ends // 8]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(odd.astype(np.uint8), bitorder="little"))])
+
+
+def sketch_distances(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Hamming distances of long sketches, the longer one folded to the shorter one's size."""
+    out = np.zeros(len(x), np.int64)
+    for i, (a, b) in enumerate(zip(x, y, strict=True)):
+        a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
+        short = min(len(a), len(b))
+        if len(a) != len(b):
+            a, b = (np.bitwise_xor.reduce(v.reshape(-1, short), axis=0) for v in (a, b))
+        out[i] = np.bitwise_count(a ^ b).sum(dtype=np.int64)
+    return out
+
+
+class _Rings:
+    def __init__(self, num: int, den: int):
+        self.low, self.classes, self.spare, self.guests = rings(num, den)
+
+    def keys(self, grams: np.ndarray, first: np.ndarray, native: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, key, number of the sub-universe) of the given documents in their own ring and, near its border, in the next."""
+        n = np.diff(first)
+        home = np.searchsorted(self.low, n, side="right") - 1
+        guest = native[n[native] >= self.guests[home[native] + 1]]
+        members = np.concatenate([native, guest])
+        ring = np.concatenate([home[native], home[guest] + 1])
+        found = list(region_keys(grams, first, members, T.mix(ring.astype(np.uint64)), self.classes[ring], self.spare[ring])) if len(members) else []
+        return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, (np.int64, np.uint64, np.int64)[i]) for i in range(3))
+
+
+def parity_sketch(grams: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """(docs, SKETCH_WORDS): bit b tells whether an odd number of elements hash to b."""
+    bit = (T.mix(grams + np.uint64(0xE7037ED1A0B428DB)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    odd = np.bincount(doc * SKETCH_BITS + bit, minlength=docs * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(docs, SKETCH_WORDS)
+
+
+def _leaders(ids: np.ndarray, live: np.ndarray, *mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id of the live rows with the same mark, whether a row is the first with that id) of each row."""
+    lead, first = np.zeros(len(ids), np.int64), np.zeros(len(ids), dtype=bool)
+    at = np.flatnonzero(live)
+    if len(at):
+        order = at[np.lexsort((ids[at], *(m[at] for m in mark)))]
+        new = np.append(True, np.any([m[order][1:] != m[order][:-1] for m in mark], axis=0))
+        lead[order] = ids[order][new][np.cumsum(new) - 1]
+        first[order[new]] = True
+    return lead, first
+
+
 def _sketched(k: int, num: int, den: int):
-    low, classes, spare, guests = rings(num, den)
+    ringed = _Rings(num, den)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            order = ids.to_pandas().rank(method="first", na_option="bottom").to_numpy()
-            seen: dict[tuple, tuple] = {}
             for lo, hi, data, offsets in T.slices(batch.column(1)):
+                ids = batch.column(0).slice(lo, hi - lo)
                 grams, first = shingle_sets(data, offsets, k)
                 n, docs = np.diff(first), hi - lo
                 doc = np.repeat(np.arange(docs), n)
                 f1, f2 = _sum(T.mix(grams), doc, docs), _sum(T.mix(grams ^ np.uint64(0xA0761D6478BD642F)), doc, docs)
-                bit = (T.mix(grams + np.uint64(0xE7037ED1A0B428DB)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-                odd = np.bincount(doc * SKETCH_BITS + bit, minlength=docs * SKETCH_BITS) & 1
-                sketches = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(docs, SKETCH_WORDS)
-                # of equal sets in a batch only the one with the smallest id carries keys
-                lone = n > 0
-                for i in np.argsort(order[lo:hi], kind="stable").tolist():
-                    if lone[i]:
-                        mark = (int(f1[i]), int(f2[i]), int(n[i]))
-                        before = seen.setdefault(mark, (order[lo + i],))
-                        lone[i] = before[0] >= order[lo + i]
-                        seen[mark] = (min(before[0], order[lo + i]),)
-                home = np.searchsorted(low, n, side="right") - 1
-                native = np.flatnonzero(lone)
-                guest = native[n[native] >= guests[home[native] + 1]]
-                members = np.concatenate([native, guest])
-                ring = np.concatenate([home[native], home[guest] + 1])
-                found = list(region_keys(grams, first, members, T.mix(ring.astype(np.uint64)), classes[ring], spare[ring])) if len(members) else []
-                owner = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-                keys = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.uint64)
+                sketches = parity_sketch(grams, doc, docs)
+                # of equal sets in a slice only the one with the smallest id carries keys
+                live = (n > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+                lead, lone = _leaders(ids.fill_null(0).to_numpy(), live, f1, f2, n)
+                owner, keys, number = ringed.keys(grams, first, np.flatnonzero(lone))
+                close = number < CLOSE
+                owner, keys = owner[close], keys[close]
                 by = np.argsort(owner, kind="stable")
                 listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[by], np.arange(docs + 1)).astype(np.int32)), pa.array(keys[by].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, docs), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *[pa.array(sketches[:, i]) for i in range(SKETCH_WORDS)], listed],
-                    names=["id", "n", "f1", "f2", *_SKETCH, "keys"],
-                )
+                    [
+                        ids, pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(lead, mask=~live),
+                        *[pa.array(sketches[:, i]) for i in range(SKETCH_WORDS)], long_sketches(grams, first), pa.ListArray.from_arrays(listed.offsets, listed.values, mask=pa.array(~lone)),
+                    ],
+                    names=["id", "n", "f1", "f2", "lead", *_SKETCH, "long", "keys"],
+                )
 
-    return sketch
+    return T.trimmed(sketch)
 
 
-def _halves(bits: int):
-    """Every key as its shard and the 32 bits after the shard's."""
+def _regions(k: int, num: int, den: int, bits: int, filter_):
+    """Of (id, component, text): all region keys as halves by shard or, with a filter, the members of regions in it."""
+    ringed = _Rings(num, den)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def halves(keys: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys)
+        keys, part = keys[order], part[order]
+        if len(part) and 0 <= part.min() and part.max() < 1 << 32:
+            part = part.astype(np.uint32)  # told by its length
+        rows = list(C.split(C.shard_edges(keys, bits), ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), part))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)]], names=["shard", "halves", "parts"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.sort(batch.column(0).flatten().to_numpy().view(np.uint64))
-            rows = list(C.split(C.shard_edges(keys, bits), ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "halves"])
+            for lo, hi, data, offsets in T.slices(batch.column(2)):
+                ids, part = (batch.column(i).slice(lo, hi - lo).to_numpy() for i in (0, 1))
+                grams, first = shingle_sets(data, offsets, k)
+                owner, keys, _ = ringed.keys(grams, first, np.flatnonzero(np.diff(first)))
+                if filter_ is None:
+                    yield halves(keys, part[owner])
+                    continue
+                ok = _in_filter(filter_.value, _key_slots(keys, bits))
+                owner, keys = owner[ok], keys[ok]
+                sketches = parity_sketch(grams, np.repeat(np.arange(hi - lo), np.diff(first)), hi - lo)[owner]
+                columns = [keys.view(np.int64), ids[owner], np.diff(first)[owner].astype(np.int64), part[owner], *[sketches[:, i] for i in range(SKETCH_WORDS)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(_COLUMNS))
 
-    return send
+    return T.trimmed(cut)
 
 
 def _filter_slot(shard: np.ndarray, half: np.ndarray) -> np.ndarray:
@@ -207,65 +289,82 @@ def _slot_rows(slots: np.ndarray) -> pa.Table:
     return pa.table({"word": pa.array(word.astype(np.int64)), "bits": pa.array(bits.view(np.int64))})
 
 
-def _repeated(key, halves):
-    """Filter bits of the halves that come twice or more in a shard."""
-    values, _ = C.joined(halves, "halves", np.uint32)
-    found, counts = np.unique(values, return_counts=True)
-    found = found[counts > 1]
+def _mixed(key, table):
+    """Filter bits of the halves in a shard that two components or more have."""
+    halves, sizes = C.joined(table, "halves", np.uint32)
+    part = np.concatenate([np.frombuffer(x.as_buffer(), f"u{len(x.as_buffer()) // n}").astype(np.uint64) for x, n in zip(table.column("parts").combine_chunks(), sizes.tolist(), strict=True)])
+    order = np.argsort(halves)
+    halves, part = halves[order], part[order]
+    begin = np.flatnonzero(np.append(True, halves[1:] != halves[:-1]))
+    found = halves[begin][np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin)]
     return _slot_rows(_filter_slot(np.full(len(found), key[0].as_py()), found))
 
 
-def _filter(rows: DataFrame) -> np.ndarray:
-    """The filter as an array; it has FILTER_BITS bits whatever the input."""
+def _filter(rows: DataFrame, bits: int) -> np.ndarray:
+    """The filter (word, bits) as an array; it has ``bits`` bits whatever the input."""
     found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return bits
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
-def _members(kept: DataFrame, bits: int, filter_) -> DataFrame:
-    """(key, id, n, sketch) for each key in the filter."""
+def _in_filter(filter_: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (filter_[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _first_members(kept: DataFrame) -> DataFrame:
+    return kept.select(F.explode("keys").alias("key"), "id", "n", F.col("id").alias("component"), *_SKETCH)
+
+
+def _distance(p: Column) -> Column:
+    return sum((F.bit_count(F.col(s).bitwiseXOR(p[s])) for s in _SKETCH), F.lit(0))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            listed = batch.column(batch.num_columns - 1)
-            keys = listed.flatten().to_numpy().view(np.uint64)
-            row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
-            slot = _key_slots(keys, bits)
-            ok = (filter_.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), *[c.take(pa.array(row[ok])) for c in batch.columns[:-1]]], names=["key", "id", "n", *_SKETCH])
 
-    return kept.select("id", "n", *_SKETCH, "keys").mapInArrow(pick, _MEMBER)
+def _pivots(rows: DataFrame, level: int) -> DataFrame:
+    """(key, pivots): PIVOTS members at most of each region."""
+    order = F.xxhash64("id", F.lit(level))
+    one = rows.groupBy("key", F.pmod(order, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(order.alias("o"), "id", "n", *_SKETCH)).alias("pivot"))
+    return one.groupBy("key").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
+
+
+def _close_edges(members: DataFrame, num: int, den: int, bundles: int) -> DataFrame:
+    """(a, b) of the first round: forests of small regions, and the nearest pivot of each member of a large one."""
+    large = written(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LEAF).select("key"), "large")
+    found = _forests(members.join(small(large), "key", "left_anti"), num, den, bundles).select("a", "b")
+    if not large.isEmpty():
+        rest = members.join(small(large), "key")
+        pivots = small(written(_pivots(rest, 0), "pivots"))
+        near = F.array_min(F.transform("pivots", lambda p: F.struct(_distance(p).alias("far"), p["id"].alias("id"), p["n"].alias("n"))))
+        stars = rest.join(pivots, "key").select("id", "n", near.alias("p")).where((F.col("id") != F.col("p.id")) & (F.col("p.far") <= F.floor((F.col("n") + F.col("p.n")) * (den - num) / (den + num))))
+        found = found.union(stars.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
+    return found.distinct()
 
 
 def _split_large(members: DataFrame, num: int, den: int) -> DataFrame:
     """Members of regions of LEAF or fewer; larger regions are split by pivots, and by blocks where pivots don't help."""
     # the greatest D of a link: the other set has at most n * den / num elements
     link = F.floor((F.col("n") + F.floor(F.col("n") * den / num)) * (den - num) / (den + num))
-    columns = ("key", "id", "n", *_SKETCH)
     done = None
 
     def add(rows: DataFrame) -> None:
         nonlocal done
-        rows = rows.select(*columns)
+        rows = rows.select(*_COLUMNS)
         done = rows if done is None else done.unionByName(rows)
 
     for level in range(LEVELS + 1):
         large = written(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LEAF), "large")
-        add(members.join(large, "key", "left_anti"))
+        narrow = small(large)
+        add(members.join(narrow, "key", "left_anti"))
         if large.isEmpty():
             break
-        rest = members.join(large, "key")
+        rest = members.join(narrow, "key")
         if level < LEVELS:
-            order = F.xxhash64("id", F.lit(level))
-            one = rest.groupBy("key", F.pmod(order, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(order.alias("o"), *_SKETCH)).alias("pivot"))
-            pivots = one.groupBy("key").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))  # PIVOTS at most
-            far = rest.join(pivots, "key").withColumn("far", F.transform("pivots", lambda p: sum((F.bit_count(F.col(s).bitwiseXOR(p[s])) for s in _SKETCH), F.lit(0))))
+            far = rest.join(small(written(_pivots(rest, level), "pivots")), "key").withColumn("far", F.transform("pivots", _distance))
             inside = F.filter(F.sequence(F.lit(0), F.size("far") - 1), lambda j: F.get(F.col("far"), j) <= F.array_min("far") + 2 * link)
             far = far.withColumn("inside", inside)
             useful = written(far.groupBy("key").agg(F.avg(F.size("inside")).alias("copies")).where(F.col("copies") <= WORTH).select("key"), "useful")
             regions = far.join(useful, "key", "left_semi").withColumn("region", F.explode("inside"))
-            members = written(regions.select(F.xxhash64("key", "region", F.lit(level)).alias("key"), "id", "n", *_SKETCH), "regions")
+            members = written(regions.select(F.xxhash64("key", "region", F.lit(level)).alias("key"), *_COLUMNS[1:]), "regions")
             rest = rest.join(useful, "key", "left_anti")
         # what pivots cannot split: every two blocks of half a leaf meet
         blocks = F.ceil(F.col("size") / (LEAF // 2))
@@ -288,9 +387,9 @@ def _near(n: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.nda
     return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
-def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, size: int) -> list[int]:
-    """Indexes of the edges of a spanning forest, nearest pairs first."""
-    root = list(range(size))
+def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, part: np.ndarray) -> list[int]:
+    """Indexes of the edges of a spanning forest of the parts, nearest pairs first."""
+    root = {p: p for p in part.tolist()}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -300,43 +399,37 @@ def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, size: int) -> list[in
 
     out = []
     for e in np.lexsort((j, i, far)).tolist():
-        a, b = find(int(i[e])), find(int(j[e]))
+        a, b = find(int(part[i[e]])), find(int(part[j[e]]))
         if a != b:
             root[max(a, b)] = min(a, b)
             out.append(e)
     return out
 
 
-def _leaves(num: int, den: int, by_component: bool):
-    """Candidate edges of a bundle of leaves: a forest of each, or all pairs across components."""
+def _leaves(num: int, den: int, every: bool):
+    """Candidate edges of a bundle of leaves, across components: a forest of each, or all of them."""
 
     def edges(key, rows):
         rows = rows.sort_by([("key", "ascending"), ("id", "ascending")])
-        keys, ids, n = (rows.column(c).to_numpy() for c in ("key", "id", "n"))
+        keys, ids, n, part = (rows.column(c).to_numpy() for c in ("key", "id", "n", "component"))
         sketch = np.stack([rows.column(s).to_numpy() for s in _SKETCH], axis=1).view(np.uint64)  # bit counts need unsigned
-        part = rows.column("component").to_numpy() if by_component else None
         begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(keys)))
         found = []
         # regions of two in one go
         a = begin[size == 2]
         b = a + 1
-        near = (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= reach(n[a] + n[b], num, den)) & (ids[a] != ids[b])
-        if by_component:
-            near &= part[a] != part[b]
+        near = (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= reach(n[a] + n[b], num, den)) & (part[a] != part[b])
         found.append((a[near], b[near]))
         for s, c in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = slice(s, s + c)
-            if by_component and (part[own] == part[s]).all():
+            if (part[own] == part[s]).all():
                 continue
             i, j, far = _near(n[own], sketch[own], num, den)
-            differ = ids[own][i] != ids[own][j]
+            differ = part[own][i] != part[own][j]
             i, j, far = i[differ], j[differ], far[differ]
-            if by_component:
-                keep = part[own][i] != part[own][j]
-                i, j = i[keep], j[keep]
-            else:
-                tree = _forest(i, j, far, c)
+            if not every:
+                tree = _forest(i, j, far, part[own])
                 i, j = i[tree], j[tree]
             found.append((s + i, s + j))
         a, b = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
@@ -345,36 +438,130 @@ def _leaves(num: int, den: int, by_component: bool):
     return edges
 
 
-def _sets(k: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forests(members: DataFrame, num: int, den: int, bundles: int, every: bool = False) -> DataFrame:
+    return members.groupBy(F.pmod(F.col("key"), F.lit(bundles)).alias("bundle")).applyInArrow(_leaves(num, den, every), "key bigint, a bigint, b bigint")
+
+
+def _id_slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return T.mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bits - 1)
+
+
+def _packed_texts(bits: int, filter_):
+    """(id, size, compressed text) of the texts whose id is in the filter."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in T.slices(batch.column(1)):
-                grams, first = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["id", "set"])
+            batch = batch.filter(pa.array(_in_filter(filter_.value, _id_slots(batch.column(0).to_numpy(), bits))))
+            texts = [(x.as_py() or "").encode() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in texts], pa.binary())], names=["id", "size", "text"])
 
-    return cut
+    return T.trimmed(pack)
+
+
+def _id_filter_rows(bits: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _slot_rows(_id_slots(batch.column(0).to_numpy(), bits)).to_batches()
 
+    return rows
 
-def _linked(num: int, den: int):
+
+def _unpacked(sizes: pa.Array, texts: pa.Array) -> pa.Array:
+    found = [pa.decompress(x.as_buffer(), n, "zstd").to_pybytes() if n else b"" for n, x in zip(sizes.to_pylist(), texts, strict=True)]
+    return pa.array(found, pa.large_binary()).cast(pa.large_string())
+
+
+def common(x: pa.Array, y: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements of both sets, of x's, of y's) of each pair of texts."""
+    docs = len(x)
+    grams, owner, sizes = [], [], []
+    for column in (x, y):
+        size = []
+        for lo, hi, data, offsets in T.slices(column):
+            g, first = shingle_sets(data, offsets, k)
+            grams.append(g)
+            owner.append(lo + np.repeat(np.arange(hi - lo), np.diff(first)))
+            size.append(np.diff(first))
+        sizes.append(np.concatenate(size) if size else np.zeros(0, np.int64))
+    g, o = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (grams, owner))
+    order = np.lexsort((g, o))
+    g, o = g[order], o[order]
+    both = np.bincount(o[1:][(g[1:] == g[:-1]) & (o[1:] == o[:-1])], minlength=docs) if len(g) else np.zeros(docs, np.int64)
+    return both, *sizes
+
+
+def _linked(k: int, num: int, den: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+            ok, lo = [], 0
+            size, other = (batch.column(i).to_numpy() for i in (2, 4))
+            ends = np.cumsum(size + other)
+            while lo < batch.num_rows:  # a few MB of texts at a time
+                hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2 * T.SLICE_BYTES))))
+                part = batch.slice(lo, hi - lo)
+                both, p, q = common(_unpacked(part.column(2), part.column(3)), _unpacked(part.column(4), part.column(5)), k)
+                ok.append(den * both >= num * (p + q - both))
+                lo = hi
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(ok) if ok else np.zeros(0, bool))], names=["a", "b", "linked"])
+
+    return T.trimmed(verify)
 
-    return verify
 
+def _possible(num: int, den: int):
+    """(a, b, possible) of pairs with sizes and long sketches."""
 
-def _verified(edges: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of distinct candidate edges, decided on the sets of their documents."""
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            near = sketch_distances(batch.column(3), batch.column(5)) <= reach(sizes, num, den)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["a", "b", "possible"])
+
+    return T.trimmed(told)
+
+
+def _verified(edges: DataFrame, docs: DataFrame, kept: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b, linked) of distinct candidate edges (written), decided on long sketches and then on the sets of their documents.
+
+    A bit filter of the ids, of a size checked here, keeps other texts from being shuffled;
+    texts go compressed, as they are smaller than sets of hashes. Rows that share an id are
+    one node, linked if any of them is.
+    """
+    spark = docs.sparkSession
+    left, right = (kept.select(F.col("id").alias(i), F.col("n").alias(f"{i}_n"), F.col("long").alias(f"{i}_long")) for i in "ab")
+    pairs = edges.join(left, "a").join(right, "b").select("a", "b", "a_n", "a_long", "b_n", "b_long")
+    told = pairs.mapInArrow(_possible(num, den), "a bigint, b bigint, possible boolean").groupBy("a", "b").agg(F.bool_or("possible").alias("possible"))
+    told = written(told, "possible")
+    edges = told.where("possible").select("a", "b")
     ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    sets = written(docs.join(ends, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id bigint, set binary"), "sets")
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    pairs = edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a bigint, b bigint, linked boolean")
-    return written(pairs.groupBy("a", "b").agg(F.bool_or("linked").alias("linked")), "verified")
+    bits = min(8 * FILTER_BITS, max(1 << 16, 1 << (32 * edges.count()).bit_length()))
+    filter_ = spark.sparkContext.broadcast(_filter(ends.mapInArrow(_id_filter_rows(bits), "word bigint, bits bigint"), bits))
+    texts = written(docs.where("id is not null").select("id", "text").mapInArrow(_packed_texts(bits, filter_), "id bigint, size bigint, text binary"), "texts")
+    left, right = (texts.select(F.col("id").alias(i), F.col("size").alias(f"{i}_size"), F.col("text").alias(f"{i}_text")) for i in "ab")
+    pairs = edges.join(left, "a").join(right, "b").select("a", "b", "a_size", "a_text", "b_size", "b_text").mapInArrow(_linked(k, num, den), "a bigint, b bigint, linked boolean")
+    linked = pairs.groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
+    out = written(linked.unionByName(told.where("not possible").select("a", "b", F.lit(False).alias("linked"))), "verified")
+    filter_.unpersist()
+    discard(texts, told)
+    return out
+
+
+def _copies(heads: DataFrame) -> DataFrame:
+    """(a, b, n, f1, f2): sets equal to that of a smaller id, told by shares of a class and then by class."""
+    share = Window.partitionBy("n", "f1", "f2", F.pmod(F.xxhash64("id"), F.lit(SHARES)))
+    told = written(heads.select("id", "n", "f1", "f2", F.min("id").over(share).alias("first")), "classes")
+    firsts = told.where("id = first").distinct().select("id", "n", "f1", "f2", F.min("id").over(Window.partitionBy("n", "f1", "f2")).alias("first"))
+    pairs = told.where("id != first").unionByName(firsts.where("id != first"))
+    found = written(pairs.select(F.col("id").alias("a"), F.col("first").alias("b"), "n", "f1", "f2").distinct(), "copies")
+    discard(told)
+    return found
+
+
+def _extended(part: DataFrame, told: DataFrame) -> DataFrame:
+    """(id, component) with the links of a verified table added."""
+    links = told.where("linked").select("a", "b")
+    if links.isEmpty():
+        return part
+    return written(components(links.union(part.where("id != component").select("id", "component"))), "components")
 
 
 def linked_components(
@@ -382,35 +569,45 @@ def linked_components(
 ) -> DataFrame:
     """id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = written(docs.mapInArrow(_sketched(k, num, den), _ROWS), "shingles")
-    named = rows.where(F.col("id").isNotNull())
-    classes = named.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("least"))
-    copies = named.join(classes, ["n", "f1", "f2"]).where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"), "n", "f1", "f2").distinct()
-    copies = written(copies, "copies")
-    total = rows.select(F.sum(F.size("keys")).alias("n")).first().n or 0
-    bits = max(2, (total // 500_000).bit_length())
-    shards = rows.select("keys").mapInArrow(_halves(bits), "shard bigint, halves binary").groupBy("shard")
-    repeated = spark.sparkContext.broadcast(_filter(shards.applyInArrow(_repeated, "word bigint, bits bigint")))
+    heads = rows.where(F.col("keys").isNotNull())
+    copies = _copies(heads.select("id", "n", "f1", "f2"))
+    equal = rows.where("lead != id").select(F.col("id").alias("a"), F.col("lead").alias("b")).union(copies.select("a", "b"))
     # by row: another text of the same id stays
-    kept = named.where(F.size("keys") > 0).join(copies.select(F.col("a").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "left_anti")
-    members = _split_large(_members(kept, bits, repeated), num, den)
-    bundles = max(16, total // REGION_ROWS)
-    bundle = F.pmod(F.col("key"), F.lit(bundles)).alias("bundle")
-    found = written(members.groupBy(bundle).applyInArrow(_leaves(num, den, False), "key bigint, a bigint, b bigint"), "forest")
-    checked = _verified(found.select("a", "b").distinct(), docs, k, num, den)
-    links = checked.where("linked").select("a", "b").union(copies.select("a", "b"))
-    part = components(links)
-    failed = checked.where("not linked").select("a", "b")
-    open_ = found.join(failed, ["a", "b"], "left_semi").select("key").distinct()
-    if not open_.isEmpty():
-        label = part.select("id", F.col("component"))
-        again = members.join(open_, "key", "left_semi").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        more = again.groupBy(bundle).applyInArrow(_leaves(num, den, True), "key bigint, a bigint, b bigint").select("a", "b").distinct()
-        more = written(more.join(failed, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            part = components(links.union(_verified(more, docs, k, num, den).where("linked").select("a", "b")))
-    return rows.select("id", "n").join(part, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    kept = heads.join(small(copies.select(F.col("a").alias("id"), "n", "f1", "f2")), ["id", "n", "f1", "f2"], "left_anti")
+    close, shingles = (x or 0 for x in heads.agg(F.sum(F.size("keys")), F.sum("n")).first())
+    edges = written(_close_edges(_first_members(kept), num, den, max(16, close // REGION_ROWS)), "close")
+    checked = _verified(edges, docs, kept, k, num, den)
+    links = checked.where("linked").select("a", "b").union(equal)
+    part = written(components(links), "components")
+
+    # regions in which components still meet
+    label = part.join(kept.select("id", F.lit(True).alias("kept")).distinct(), "id", "left").select("id", F.col("component").alias("label"), F.coalesce("kept", F.lit(False)).alias("kept"))
+    label = small(written(label, "labels"))
+    open_docs = docs.where("id is not null").join(label, "id", "left").where("kept is null or kept").select("id", F.coalesce("label", "id").alias("component"), "text")
+    bits = max(2, int(shingles * (den - num) / num // 500_000).bit_length())
+    shards = open_docs.mapInArrow(_regions(k, num, den, bits, None), "shard bigint, halves binary, parts binary").groupBy("shard")
+    mixed = spark.sparkContext.broadcast(_filter(shards.applyInArrow(_mixed, "word bigint, bits bigint"), FILTER_BITS))
+    members = written(open_docs.mapInArrow(_regions(k, num, den, bits, mixed), _MEMBER), "members")
+    mixed.unpersist()
+    bundles = max(16, members.count() // REGION_ROWS)
+    members = _split_large(members, num, den)
+    found = written(_forests(members, num, den, bundles), "forest")
+    if not found.isEmpty():
+        fresh = written(found.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
+        told = _verified(fresh, docs, kept, k, num, den)
+        part = _extended(part, told)
+        failed = checked.unionByName(told).where("not linked").select("a", "b")
+        again = written(found.join(failed, ["a", "b"], "left_semi").select("key").distinct(), "open")
+        if not again.isEmpty():
+            label = small(part.withColumnRenamed("component", "label"))
+            rest = members.join(small(again), "key", "left_semi").join(label, "id", "left").withColumn("component", F.coalesce("label", "id"))
+            more = _forests(rest, num, den, bundles, every=True).select("a", "b").distinct()
+            more = written(more.join(failed, ["a", "b"], "left_anti"), "more")
+            part = _extended(part, _verified(more, docs, kept, k, num, den))
+    return rows.select("id", "n").join(small(part), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def op9_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
