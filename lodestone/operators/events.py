@@ -1,8 +1,7 @@
-"""Event logs: counts, signatures, TTL, sessions, and the two provider state machines."""
+"""Event logs: counts, signatures, TTL and sessions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,49 +19,3 @@ def sessions(events: DataFrame, user: str, ts: str, gap: str) -> DataFrame:
     """Gap-separated sessions of each user."""
     found = events.groupBy(user, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"))
     return found.select(user, "first_ts", "last_ts", "n")
-
-
-def concurrency_gate(events: DataFrame, key: str, order: str, outcome: str, start: int = 4, most: int = 16) -> DataFrame:
-    """Additive increase after three successes, halving on a rate limit; the slots after each event."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        slots, streak, out = start, 0, []
-        for what in pdf[outcome]:
-            if what == "limited":
-                slots, streak = max(1, slots // 2), 0
-            elif what == "ok":
-                streak += 1
-                if streak >= 3 and slots < most:
-                    slots, streak = slots + 1, 0
-            out.append(slots)
-        return pdf[[key, order]].assign(slots=out)
-
-    kinds = dict(events.dtypes)
-    return events.select(key, order, outcome).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, slots int")
-
-
-def breaker(events: DataFrame, key: str, order: str, seconds: str, outcome: str, limit: int = 4, cool: float = 30.0, most: float = 300.0) -> DataFrame:
-    """Circuit breaker: four failures in a row open it; after the cooldown one probe closes it or doubles the cooldown."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        state, failures, wait, opened, out = "closed", 0, cool, 0.0, []
-        for now, what in zip(pdf[seconds], pdf[outcome], strict=True):
-            if state == "open" and now - opened < wait:
-                out.append("rejected")
-                continue
-            probe = state == "open"
-            if what == "ok":
-                state, failures, wait = "closed", 0, cool
-            elif probe:
-                opened, wait = now, min(most, 2 * wait)
-            else:
-                failures += 1
-                if failures >= limit:
-                    state, opened, failures = "open", now, 0
-            out.append(state)
-        return pdf[[key, order]].assign(state=out)
-
-    kinds = dict(events.dtypes)
-    return events.select(key, order, seconds, outcome).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, state string")

@@ -37,6 +37,7 @@ def section_priority(header: Column, size: Column) -> Column:
 
 def parts(pages: DataFrame, key: str, text: str) -> DataFrame:
     """key, kind, header, content, priority of a markdown page's fences, sections, lists and tables."""
+    # Fixed value: how a fence is written.
     fence = r"(?s)```(\w+)?[ \t\r]*\n(.*?)```"
     fences = pages.select(key, F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(fence), F.lit(1)).alias("h"), F.regexp_extract_all(text, F.lit(fence), F.lit(2)).alias("c"))).alias("x"))
     code = fences.select(key, F.lit("code").alias("kind"), F.when(F.col("x.h") == "", "text").otherwise(F.col("x.h")).alias("header"), F.trim("x.c").alias("content"), F.lit(5).alias("priority"))

@@ -90,17 +90,23 @@ def content_dedup_md5(s, d):
 
 
 def prefix_dedup_100(s, d):
-    return search.first_of_each(docs(s, d), F.xxhash64(F.trim(F.substring("text", 1, 100))), "doc_id", ["doc_id"])
+    return search.first_of_each(docs(s, d), F.trim(F.substring("text", 1, 100)), "doc_id", ["doc_id"])
 
 
-def _slice(df, odd):
-    shift = F.when(F.col("doc_id") % 7 == 0, 1.0).otherwise(0.0) if odd else F.lit(0.0)
-    keep = F.col("doc_id") % 5 != (1 if odd else 2)
-    return df.where(keep).select("doc_id", (F.col("doc_id").cast("double") + shift).alias("mtime"), (F.col("n_chars") + (F.col("doc_id") % 11 == 0).cast("int") * int(odd)).alias("size"), F.md5(F.concat("text", F.when(F.col("doc_id") % 13 == 0, str(int(odd))).otherwise(""))).alias("digest"))
+def _registry(s, d):
+    """What a registry of the labelled documents holds: all of them, as they were before their labels came."""
+    toxic = F.col("toxic") == 1
+    rows = docs(s, d).join(table(s, d, "labels"), "doc_id")
+    return rows.select("doc_id", F.col("doc_id").cast("double").alias("mtime"), (F.col("n_chars") - F.when(toxic, 1).otherwise(0)).alias("size"), F.md5(F.concat("text", F.when(F.col("quality") == 0, "~").otherwise(""))).alias("digest"))
+
+
+def _on_disk(s, d):
+    """All documents as they are now; a French one is newer than the registry can know."""
+    return docs(s, d).select("doc_id", (F.col("doc_id") + F.when(F.col("lang") == "fr", 1.0).otherwise(0.0)).alias("mtime"), F.col("n_chars").alias("size"), F.md5("text").alias("digest"))
 
 
 def registry_diff(s, d):
-    return manifests.registry_diff(_slice(docs(s, d), False), _slice(docs(s, d), True), "doc_id")
+    return manifests.registry_diff(_registry(s, d), _on_disk(s, d), "doc_id")
 
 
 def registry_status_counts(s, d):
@@ -108,12 +114,13 @@ def registry_status_counts(s, d):
 
 
 def manifest_diff(s, d):
-    return manifests.manifest_diff(_slice(docs(s, d), False), _slice(docs(s, d), True), "doc_id", "digest")
+    return manifests.manifest_diff(_registry(s, d), _on_disk(s, d), "doc_id", "digest")
 
 
 def ledger_upsert(s, d):
+    """All documents, with the rows of the labels in the place of theirs."""
     base = docs(s, d).select("doc_id", "n_chars")
-    return manifests.upsert(base.where("doc_id % 5 != 2"), base.where("doc_id % 3 = 0").withColumn("n_chars", -F.col("n_chars")), "doc_id")
+    return manifests.upsert(base, table(s, d, "labels").select("doc_id", (-F.col("quality") - 10 * F.col("toxic")).cast("bigint").alias("n_chars")), "doc_id")
 
 
 def budget_take(s, d):
@@ -128,24 +135,21 @@ def label_confusion(s, d):
 
 QUERIES = {f.__name__: f for f in (token_counts, bm25_idf, bm25_topk, bm25_doclen, keyword_rank, keyword_counts, grep_lines, grep_first50, grep_regex, grep_context, view_window, occurrence_count, replace_first_n, char_to_line, smart_truncate, fixed_line_split, content_dedup_md5, prefix_dedup_100, registry_diff, registry_status_counts, manifest_diff, ledger_upsert, budget_take, label_confusion)}
 
-_TOKENS = r"""t AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
+_TOKENS = r"""t AS MATERIALIZED (SELECT doc_id, list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
   '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_.\-/]', ' ', 'g'), '[\p{L}\p{N}_]+'),
   lambda x: regexp_full_match(x, '[a-zA-Z][a-zA-Z0-9]+')), lambda x: lower(x)) AS tokens FROM documents)"""
-_IDF = """f AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(tokens)) AS term FROM t) GROUP BY term),
-r AS (SELECT term, n, ln((SELECT count(*) FROM t) - n + 0.5) - ln(n + 0.5) AS raw FROM f),
-i AS (SELECT term, n, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r)"""
+_IDF = """f AS MATERIALIZED (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(tokens)) AS term FROM t) GROUP BY term),
+r AS MATERIALIZED (SELECT term, n, ln(docs - n + 0.5) - ln(n + 0.5) AS raw FROM f, (SELECT count(*) AS docs FROM t)),
+i AS (SELECT term, n, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM r, (SELECT avg(raw) AS mean FROM r))"""
 _LINES = "l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
 
 
-def _sliced(odd: bool) -> str:
-    return f"""SELECT doc_id, doc_id::DOUBLE + {"CASE WHEN doc_id % 7 = 0 THEN 1.0 ELSE 0.0 END" if odd else "0.0"} AS mtime,
-  n_chars + (doc_id % 11 = 0)::INT * {int(odd)} AS size, md5(text || CASE WHEN doc_id % 13 = 0 THEN '{int(odd)}' ELSE '' END) AS digest
-  FROM documents WHERE doc_id % 5 <> {1 if odd else 2}"""
-
-
+_REGISTRY = """SELECT doc_id, doc_id::DOUBLE AS mtime, n_chars - CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS size,
+  md5(text || CASE WHEN quality = 0 THEN '~' ELSE '' END) AS digest FROM documents JOIN labels USING (doc_id)"""
+_ON_DISK = "SELECT doc_id, doc_id + CASE WHEN lang = 'fr' THEN 1.0 ELSE 0.0 END AS mtime, n_chars AS size, md5(text) AS digest FROM documents"
 _DIFF = f"""SELECT coalesce(r.doc_id, d.doc_id) AS doc_id, CASE WHEN r.doc_id IS NULL THEN 'added' WHEN d.doc_id IS NULL THEN 'removed'
   WHEN d.mtime > r.mtime + 0.5 OR d.size <> r.size THEN 'modified' ELSE 'unchanged' END AS status
-  FROM ({_sliced(False)}) r FULL JOIN ({_sliced(True)}) d ON r.doc_id = d.doc_id"""
+  FROM ({_REGISTRY}) r FULL JOIN ({_ON_DISK}) d ON r.doc_id = d.doc_id"""
 ORACLES = {
     "token_counts": f"WITH {_TOKENS} SELECT doc_id, len(tokens)::BIGINT AS n_tokens FROM t",
     "bm25_idf": f"WITH {_TOKENS}, {_IDF} SELECT term, n, round(idf, 6) AS idf FROM i",
@@ -178,10 +182,10 @@ WHERE contains(lower(line), 'license')""",
     "prefix_dedup_100": "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY trim(left(text, 100)) ORDER BY doc_id) = 1",
     "registry_diff": _DIFF,
     "registry_status_counts": f"SELECT status, count(*) AS n FROM ({_DIFF}) GROUP BY status",
-    "manifest_diff": f"""SELECT r.doc_id, 'delete' AS action FROM ({_sliced(False)}) r ANTI JOIN ({_sliced(True)}) d ON r.doc_id = d.doc_id
-UNION ALL SELECT d.doc_id, 'build' FROM ({_sliced(True)}) d LEFT JOIN ({_sliced(False)}) r ON r.doc_id = d.doc_id WHERE d.digest IS DISTINCT FROM r.digest""",
-    "ledger_upsert": """SELECT doc_id, n_chars FROM documents WHERE doc_id % 5 <> 2 AND doc_id % 3 <> 0
-UNION ALL SELECT doc_id, -n_chars FROM documents WHERE doc_id % 3 = 0""",
+    "manifest_diff": f"""SELECT r.doc_id, 'delete' AS action FROM ({_REGISTRY}) r ANTI JOIN ({_ON_DISK}) d ON r.doc_id = d.doc_id
+UNION ALL SELECT d.doc_id, 'build' FROM ({_ON_DISK}) d LEFT JOIN ({_REGISTRY}) r ON r.doc_id = d.doc_id WHERE d.digest IS DISTINCT FROM r.digest""",
+    "ledger_upsert": """SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, -(quality + 10 * toxic)::BIGINT FROM labels""",
     "budget_take": """WITH s AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents)
 SELECT source, doc_id, n_chars, CASE WHEN upto <= 21000 THEN n_chars ELSE 21000 - (upto - n_chars) END::BIGINT AS taken FROM s
 WHERE upto <= 21000 OR 21000 - (upto - n_chars) > 200""",

@@ -40,7 +40,8 @@ def history_rank_passages(s, d):
 
 
 def prefix_valid(s, d):
-    index = _pairs(s, d).withColumn("user_text", F.when((F.col("conv_id") % 3 == 0) & (F.col("turn_no") == 2), "changed").otherwise(F.col("user_text")))
+    # an index of the time when every question had 80 characters at most
+    index = _pairs(s, d).withColumn("user_text", F.substring("user_text", 1, 80))
     return turns.valid_prefix(index.select("conv_id", "turn_no", "user_text", "assistant_text"), _pairs(s, d), "conv_id").select("conv_id", "turn_no")
 
 
@@ -87,21 +88,7 @@ def session_windows(s, d):
     return events.sessions(table(s, d, "events"), "user_id", "ts", "30 minutes")
 
 
-def _outcomes(s, d):
-    what = F.when(F.col("event_type") == "error", "limited").when(F.col("event_type") == "view", "other").otherwise("ok")
-    return table(s, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros"), what.alias("outcome"))
-
-
-def aimd_gate(s, d):
-    return events.concurrency_gate(_outcomes(s, d), "user_id", "event_id", "outcome")
-
-
-def circuit_breaker(s, d):
-    rows = _outcomes(s, d).withColumn("seconds", F.col("micros") / 1e6).withColumn("outcome", F.when(F.col("outcome") == "ok", "ok").otherwise("failed"))
-    return events.breaker(rows, "user_id", "event_id", "seconds", "outcome")
-
-
-QUERIES = {f.__name__: f for f in (turn_pairs, tail_slice, role_filter, history_rank, history_rank_passages, prefix_valid, retention_last_n, renumber_after_delete, docs_pages, url_parts, page_headings, heading_priority, event_counts, event_signature, ttl_filter, session_windows, aimd_gate, circuit_breaker)}
+QUERIES = {f.__name__: f for f in (turn_pairs, tail_slice, role_filter, history_rank, history_rank_passages, prefix_valid, retention_last_n, renumber_after_delete, docs_pages, url_parts, page_headings, heading_priority, event_counts, event_signature, ttl_filter, session_windows)}
 
 _PAIRS = """p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS turn_no, u AS user_text, text AS assistant_text, start_line, turn + 1 AS end_line
 FROM (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS u, lag(turn) OVER w + 1 AS start_line FROM conversations
@@ -125,7 +112,8 @@ SELECT * FROM (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, conv_id, tur
     "history_rank_passages": f"""WITH {_PAIRS}, s AS (SELECT conv_id, turn_no, {_score("user_text || ' ' || assistant_text")} AS score,
 {_score("left(user_text, 800) || chr(10) || left(assistant_text, 800)")} AS rerank FROM p)
 SELECT * FROM (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, conv_id, turn_no LIMIT 15) ORDER BY rerank DESC, score DESC, conv_id, turn_no LIMIT 5""",
-    "prefix_valid": f"WITH {_PAIRS} SELECT conv_id, turn_no FROM p WHERE conv_id % 3 <> 0 OR turn_no < 2",
+    "prefix_valid": f"""WITH {_PAIRS} SELECT conv_id, turn_no FROM p
+QUALIFY coalesce(max(CASE WHEN length(user_text) > 80 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn_no), 0) = 0""",
     "retention_last_n": f"WITH {_PAIRS} SELECT conv_id, turn_no FROM p QUALIFY turn_no > max(turn_no) OVER (PARTITION BY conv_id) - 2",
     "renumber_after_delete": f"""WITH {_PAIRS}, l AS (SELECT conv_id, turn_no, CASE WHEN turn_no > 1 THEN turn_no - 1 END AS rerun_of FROM p)
 SELECT conv_id, turn_no - (turn_no > 2)::INT AS turn_no, CASE WHEN rerun_of = 2 THEN NULL ELSE rerun_of - (rerun_of > 2)::INT END AS rerun_of FROM l WHERE turn_no <> 2""",

@@ -5,35 +5,37 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
-from lodestone.operators import chunking, events, manifests, search, turns
+from lodestone.operators import chunking, manifests, search, turns
 from lodestone.sources import files
 from lodestone.streaming import logs
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 700), max_size=12))
-def test_paragraph_chunks_cover_all_long_enough_paragraphs(sizes):
-    text = "\n\n".join(f"p{i}." + "x" * n for i, n in enumerate(sizes))
-    chunks = chunking.paragraph_chunks(text, least=0)
-    joined = "\n\n".join(c[2] for c in chunks)
-    assert all(f"p{i}." in joined for i in range(len(sizes)))
-    assert all(len(c[2]) <= 1600 + 2 for c in chunks)
-    assert all(text[a : a + 3] == body[:3] for a, _, body in chunks)
+def chunks(spark, cut, text, **how):
+    df = spark.createDataFrame([(1, text)], "k int, t string")
+    return [(r.start, r.end, r.text) for r in cut(df, "k", "t", **how).orderBy("id").collect()]
+
+
+def test_paragraph_overlap_is_whole_paragraphs(spark):
+    text = "\r\n\r\n".join(c * 500 for c in "abcdef")
+    got = chunks(spark, chunking.paragraph_chunks, text)
+    assert [(a, b, sorted(set(t.replace("\n", "")))) for a, b, t in got] == [(0, 1504, ["a", "b", "c"]), (1004, 2508, ["c", "d", "e"]), (2008, 3010, ["e", "f"])]
+    assert chunks(spark, chunking.paragraph_chunks, "short") == [] and chunks(spark, chunking.paragraph_chunks, None) == []
 
 
-def test_paragraph_overlap_is_whole_paragraphs():
-    text = "\n\n".join(c * 500 for c in "abcdef")
-    chunks = chunking.paragraph_chunks(text)
-    assert [c[2][0] for c in chunks] == ["a", "c", "e"] or chunks[1][2].startswith("c" * 500)
-    assert chunking.paragraph_chunks("short") == []
+def test_oversize_paragraph_is_not_carried(spark):
+    text = "\n\n".join(["s" * 150, "  " + "x" * 2000 + " ", "e" * 120])
+    got = chunks(spark, chunking.paragraph_chunks, text)
+    assert [(a, b, len(t)) for a, b, t in got] == [(0, 150, 150), (0, 2154, 2152), (2157, 2277, 120)]
 
 
-def test_line_blocks():
-    text = "\n".join(f"l{i}" for i in range(1, 131))
-    assert [(a, b) for a, b, _ in chunking.line_blocks(text)] == [(1, 60), (46, 105), (91, 130)]
-    assert chunking.line_blocks("\n\n") == []
-    two = "\n".join("a" for _ in range(50)) + "\n\n" + "\n".join("b" for _ in range(20))
-    assert [(a, b) for a, b, _ in chunking.line_blocks(two)] == [(1, 50), (36, 71)]
+def test_line_blocks(spark):
+    lines = lambda *sizes: "\n\n".join("\n".join("x" for _ in range(n)) for n in sizes)
+    bounds = lambda text: [(a, b) for a, b, _ in chunks(spark, chunking.line_chunks, text)]
+    assert bounds(lines(130)) == [(1, 60), (46, 105), (91, 130)]
+    assert bounds("\n\n") == [] and bounds(None) == []
+    assert bounds(lines(50, 20)) == [(1, 50), (36, 71)]
+    assert bounds(lines(10, 55)) == [(1, 10), (1, 66)]
+    assert bounds(lines(5, 70, 4)) == [(1, 5), (7, 66), (52, 76), (78, 81)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -56,10 +58,10 @@ def test_replace_and_window(spark):
     df = spark.createDataFrame([("a-a-a\nb\nc",)], "t string")
     row = df.select(
         *[fn.replace_first(F.col("t"), "a", "xx", n).alias(f"r{n}") for n in (0, 1, 2, 5)], search.view_window(F.col("t"), 2, 2, 1).alias("v"), fn.occurrences(F.col("t"), "a").alias("n"),
-        fn.language_of(F.lit("d.x/A.PY")).alias("lang"), fn.blocked_command(F.lit("sudo rm -rf /")).alias("no"), fn.blocked_command(F.lit("ls")).alias("yes"),
+        fn.language_of(F.lit("d.x/A.PY")).alias("lang"),
     ).first()
     assert (row.r0, row.r1, row.r2, row.r5) == ("xx-xx-xx\nb\nc", "xx-a-a\nb\nc", "xx-xx-a\nb\nc", "xx-xx-xx\nb\nc")
-    assert row.v == "a-a-a\nb\nc" and row.n == 3 and row.lang == "python" and row.no and not row.yes
+    assert row.v == "a-a-a\nb\nc" and row.n == 3 and row.lang == "python"
     thought, rest = fn.without_thinking(F.lit("a<think>one</think>b<Reasoning>two</Reasoning>"))
     assert df.select(thought, rest).first()[:] == ("one\n\n---\n\ntwo", "ab")
 
@@ -81,15 +83,6 @@ def test_index_commit_is_all_or_nothing(spark):
     assert sorted((r.file, r.n) for r in manifests.index_commit(old, new, "file").collect()) == [("b", 2)]
 
 
-def test_gate_and_breaker(spark):
-    rows = [("k", i, float(i), o) for i, o in enumerate(["ok", "ok", "ok", "limited", "ok"])]
-    df = spark.createDataFrame(rows, "k string, i int, t double, o string")
-    assert [r.slots for r in events.concurrency_gate(df, "k", "i", "o").orderBy("i").collect()] == [4, 4, 5, 2, 2]
-    rows = [("k", i, t, "failed" if i != 6 else "ok") for i, t in enumerate([0.0, 1.0, 2.0, 3.0, 4.0, 40.0, 110.0])]
-    df = spark.createDataFrame(rows, "k string, i int, t double, o string")
-    assert [r.state for r in events.breaker(df, "k", "i", "t", "o").orderBy("i").collect()] == ["closed"] * 3 + ["open", "rejected", "open", "closed"]
-
-
 def test_files(spark, tmp_path):
     for name, text in (("a.py", "x"), ("b.py", "x"), ("c.txt", "y\nz")):
         (tmp_path / name).write_text(text)
