@@ -1,6 +1,7 @@
 """Chunks of documents that ask hash shards about their keys.
 
-A chunk is a set of documents of bounded size, chosen by a hash of the id. It
+A chunk is a set of documents of bounded size, chosen by a hash of id and text,
+so that rows without an id or with the same one are spread too. It
 sends its distinct 64-bit keys, sorted, in one binary row for each shard (a
 shard is a range of keys); a shard merges the rows of all chunks and answers
 each row with values in the row's order, so a chunk puts its answers back
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._shared import bounded_batches
+
 CHUNK_BYTES = 8 << 20
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
@@ -48,7 +51,8 @@ def _pack(batches):
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
     """(chunk, blob): the documents' ids and texts, compressed, ready to be grouped by chunk."""
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    bounded_batches(docs.sparkSession)
     return rows.mapInArrow(_pack, "chunk bigint, blob binary")
 
 

@@ -192,4 +192,18 @@ def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {"op7_winnowing_decontamination": op7_winnowing_decontamination}
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES = {
+    "op7_winnowing_decontamination": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS words FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '{NO_ID}') AS item, {_WORDS} AS words, least({WINDOW}, len(words)) AS size FROM benchmark),
+t AS (SELECT DISTINCT item, size, array_to_string(list_slice(words, k, k + size - 1), ' ') AS g FROM b, unnest(generate_series(1, len(words) - size + 1)) AS u(k) WHERE size > 0),
+sizes AS (SELECT DISTINCT size FROM t),
+x AS (SELECT rid, size, k, array_to_string(list_slice(words, k, k + size - 1), ' ') AS g FROM d, sizes, unnest(generate_series(1, len(words) - size + 1)) AS u(k)),
+h AS MATERIALIZED (SELECT rid, k, size, item FROM x JOIN t USING (size, g)),
+n AS (SELECT rid, count(DISTINCT k + o) AS n_hit FROM h, unnest(generate_series(0, size - 1)) AS u(o) GROUP BY rid),
+i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
+""",
+}

@@ -615,4 +615,15 @@ def op9_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_jaccard_regions": op9_jaccard_regions}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_jaccard_regions": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + {SHINGLE - 1}), ' ') AS g FROM w, unnest(generate_series(1, greatest(1, len(words) - {SHINGLE - 1}))) AS u(i) WHERE len(words) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING {DEN} * count(*) >= {NUM} * (p.n + q.n - count(*))),
+r(id, at_) AS (SELECT DISTINCT a, a FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.at_)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.least, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT id, min(at_) AS least FROM r GROUP BY id) c ON c.id = w.doc_id
+""",
+}

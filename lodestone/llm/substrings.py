@@ -12,7 +12,13 @@ it needs, so the prefilter stays as sharp at any corpus size.
 
 Defined edge cases: null and empty texts have no words and keep the empty text;
 texts below ``WINDOW`` words are kept; rows that share an id do not remove
-each other's words; null ids come after all others.
+each other's words; null ids come after all others; ids are whole numbers
+(others fail to cast); other columns are ignored, whatever they are called. A
+text is one piece of a chunk, so a task needs about 100 bytes of memory a byte
+of its longest text.
+
+A chunk sends one row for each shard it has keys of, so the rows are never more
+than the distinct keys of the chunks, and grow with the corpus as keys do.
 """
 
 from __future__ import annotations
@@ -204,4 +210,14 @@ def op3_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_count_min_substrings": op3_count_min_substrings}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_count_min_substrings": rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+x AS (SELECT doc_id, rid, i, array_to_string(list_slice(words, i, i + {WINDOW - 1}), ' ') AS g FROM w, unnest(generate_series(1, len(words) - {WINDOW - 1})) AS u(i)),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY g) AS least FROM x),
+gone AS (SELECT DISTINCT rid, i + k AS pos FROM f, generate_series(0, {WINDOW - 1}) AS s(k) WHERE least < doc_id),
+each_word AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+k AS (SELECT e.rid, count(g.pos) AS n, string_agg(CASE WHEN g.pos IS NULL THEN word END, ' ' ORDER BY e.pos) AS kept FROM each_word e LEFT JOIN gone g ON e.rid = g.rid AND e.pos = g.pos GROUP BY e.rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (rid)
+""",
+}

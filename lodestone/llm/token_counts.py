@@ -1,12 +1,14 @@
 """Exact length histogram of encoded documents, with suffix sums.
 
-One row for each length that occurs. For a context limit L, the row of the
-smallest length >= L tells how many documents are cut and what their tokens
-sum to; ``kept_at_limit`` is the corpus total when texts are cut to the row's
-own length. Quantile ranks come from the running count.
-
-Defined edge cases: null and empty texts have length 0; repeated rows count
-each; an empty table gives no rows.
+One row for each length that occurs. For any context limit L the row of the
+greatest length <= L answers: ``docs_over`` documents are cut, and the corpus
+keeps ``tokens_upto + L * docs_over`` tokens (``kept_at_limit`` where L is the
+row's own length); with no such row every document is cut. The first row whose
+``docs_upto`` reaches q times all documents has the q-quantile.
+
+Defined edge cases: null and empty texts have length 0; repeated rows and rows
+without an id count each; an empty table gives no rows; other columns are
+ignored; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import _text as T
 from lodestone.llm import bpe
-from lodestone.llm._shared import table
+from lodestone.llm._shared import bounded_batches, table
 
 
 def _lengths(path: str):
@@ -29,11 +32,12 @@ def _lengths(path: str):
                 lengths, n = np.unique(counts, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lengths.astype(np.int64)), pa.array(n.astype(np.int64))], names=["n_tokens", "n_docs"])
 
-    return count
+    return T.trimmed(count)
 
 
 def length_histogram(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """n_tokens, n_docs; counted within tasks before the shuffle."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(_lengths(path or bpe.default_path()), "n_tokens bigint, n_docs bigint")
     return rows.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
@@ -62,14 +66,30 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def totals(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """One row for each limit: docs and tokens in all, docs cut, tokens kept when every text is cut to the limit."""
-    wanted = sums.sparkSession.createDataFrame([(x,) for x in limits], "context_limit bigint")
-    inside = F.col("n_tokens") <= F.col("context_limit")
-    total = F.col("n_docs") * F.least("n_tokens", "context_limit")
-    return sums.join(F.broadcast(wanted)).groupBy("context_limit").agg(
-        F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n_docs"))).alias("docs_cut"), F.sum(total).alias("tokens_kept"),
-    )
+    """One row for each limit: docs and tokens in all, docs cut, tokens kept when every text is cut to the limit.
+
+    The row of the greatest length up to each limit, picked by one aggregation over the suffix sums.
+    """
+    spark = sums.sparkSession
+    if not limits:
+        return spark.createDataFrame([], "context_limit bigint, docs bigint, tokens bigint, docs_cut bigint, tokens_kept bigint")
+    at = [F.max_by(F.struct("docs_over", "tokens_upto"), F.when(F.col("n_tokens") <= x, F.col("n_tokens"))).alias(f"at_{i}") for i, x in enumerate(limits)]
+    whole = sums.agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"), *at)
+    answers = [
+        F.struct(
+            F.lit(x).cast("bigint").alias("context_limit"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
+            F.coalesce(f"at_{i}.docs_over", "docs", F.lit(0)).alias("docs_cut"),
+            (F.coalesce(f"at_{i}.tokens_upto", F.lit(0)) + x * F.coalesce(f"at_{i}.docs_over", "docs", F.lit(0))).cast("bigint").alias("tokens_kept"),
+        )
+        for i, x in enumerate(limits)
+    ]
+    return whole.select(F.inline(F.array(*answers)))
+
+
+def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+    """share, n_tokens: the least length that so large a share of the documents does not exceed."""
+    found = sums.agg(*[F.min(F.when(F.col("quantile") >= q, F.col("n_tokens"))).alias(f"q_{i}") for i, q in enumerate(shares)])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(float(q)).alias("share"), F.col(f"q_{i}").alias("n_tokens")) for i, q in enumerate(shares)])))
 
 
 def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

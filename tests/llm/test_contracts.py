@@ -216,18 +216,24 @@ def test_op5(spark, sf):
     assert {r.n_tokens: r.n_docs for r in rows} == dict(collections.Counter(lengths))
     for r in rows:
         assert r.kept_at_limit == sum(min(n, r.n_tokens) for n in lengths) and r.docs_over == sum(n > r.n_tokens for n in lengths)
-    whole = token_counts.totals(query(5)(spark, sf), [10, 100]).orderBy("context_limit").collect()
-    assert [r.tokens_kept for r in whole] == [sum(min(n, x) for n in lengths) for x in (10, 100)]
+    limits = [0, 1, 10, 15, 100, 777, 10**6]
+    whole = token_counts.totals(query(5)(spark, sf), limits).orderBy("context_limit").collect()
+    assert [(r.tokens_kept, r.docs_cut) for r in whole] == [(sum(min(n, x) for n in lengths), sum(n > x for n in lengths)) for x in limits]
+    shares = {r.share: r.n_tokens for r in token_counts.quantiles(query(5)(spark, sf), [0.1, 0.5, 1.0]).collect()}
+    assert shares == {q: sorted(lengths)[math.ceil(q * len(lengths)) - 1] for q in shares}
 
 
-def test_op6_oracle(spark, sf):
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_oracle(spark, sf, name):
     import duckdb
 
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
-    df = query(6)(spark, sf)
-    want = c.sql(catalog.ORACLES["op6_quality_rules"]).fetchall()
-    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+    for view in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {view} AS SELECT * FROM '{sf}/{view}.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, sf)
+    want = c.sql(catalog.ORACLES[name])
+    assert want.columns == df.columns
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want.fetchall())
 
 
 def test_op7(spark, sf):
