@@ -58,7 +58,7 @@ SHINGLE = 3
 NUM, DEN = 90, 100
 GROWTH = 1.6
 SKETCH_BITS, SKETCH_WORDS = 256, 4
-LEAF = 2048
+LEAF = 512
 #: Sub-universes of the first round.
 CLOSE = 1
 #: Shares in which a class of equal sets is told first.
@@ -68,7 +68,8 @@ PIVOTS, LEVELS = 8, 3
 WORTH = 2.0
 #: Bits of the filters of region keys; they only let rows through that cannot matter.
 FILTER_BITS = 1 << 25
-REGION_ROWS = 200_000
+REGION_ROWS = 50_000
+LEAST_BUNDLES = 256
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 _SKETCHES = ", ".join(f"{s} bigint" for s in _SKETCH)
 _ROWS = f"id bigint, n bigint, f1 bigint, f2 bigint, lead bigint, {_SKETCHES}, long binary, keys array<bigint>"
@@ -578,7 +579,7 @@ def linked_components(
     # by row: another text of the same id stays
     kept = heads.join(small(copies.select(F.col("a").alias("id"), "n", "f1", "f2")), ["id", "n", "f1", "f2"], "left_anti")
     close, shingles = (x or 0 for x in heads.agg(F.sum(F.size("keys")), F.sum("n")).first())
-    edges = written(_close_edges(_first_members(kept), num, den, max(16, close // REGION_ROWS)), "close")
+    edges = written(_close_edges(_first_members(kept), num, den, max(LEAST_BUNDLES, close // REGION_ROWS)), "close")
     checked = _verified(edges, docs, kept, k, num, den)
     links = checked.where("linked").select("a", "b").union(equal)
     part = written(components(links), "components")
@@ -592,7 +593,7 @@ def linked_components(
     mixed = spark.sparkContext.broadcast(_filter(shards.applyInArrow(_mixed, "word bigint, bits bigint"), FILTER_BITS))
     members = written(open_docs.mapInArrow(_regions(k, num, den, bits, mixed), _MEMBER), "members")
     mixed.unpersist()
-    bundles = max(16, members.count() // REGION_ROWS)
+    bundles = max(LEAST_BUNDLES, members.count() // REGION_ROWS)
     members = _split_large(members, num, den)
     found = written(_forests(members, num, den, bundles), "forest")
     if not found.isEmpty():
