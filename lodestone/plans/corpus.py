@@ -24,17 +24,25 @@ def token_counts(s, d):
     return bm25.tokens(docs(s, d), "doc_id", "text").select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
+def _index(s, d):
+    return bm25.current(docs(s, d), "doc_id", "text", "documents")
+
+
 def bm25_idf(s, d):
-    return bm25.idf(bm25.tokens(docs(s, d), "doc_id", "text"), "doc_id").select("term", "n", F.round("idf", 6).alias("idf"))
+    return _index(s, d).idf().select("term", "n", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(s, d):
-    return bm25.search(docs(s, d), "doc_id", "text", TERMS, 10)
+    return bm25.search(_index(s, d), "doc_id", TERMS, 10)
+
+
+def bm25_topk_filtered(s, d):
+    """Only documents of an id that ends in 7 are ranked: a file pattern before the limit."""
+    return bm25.search(_index(s, d), "doc_id", TERMS, 10, only=F.col("doc_id").cast("string").like("%7"))
 
 
 def bm25_doclen(s, d):
-    t = bm25.tokens(docs(s, d), "doc_id", "text")
-    return t.agg(F.count("*").alias("docs"), F.sum(F.size("tokens")).alias("tokens"), F.round(F.avg(F.size("tokens")), 6).alias("avgdl"))
+    return _index(s, d).stats.select("docs", "tokens", F.round("avgdl", 6).alias("avgdl"))
 
 
 def keyword_rank(s, d):
@@ -133,7 +141,7 @@ def label_confusion(s, d):
     return table(s, d, "labels").join(pred, "doc_id").groupBy("quality", "pred").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (token_counts, bm25_idf, bm25_topk, bm25_doclen, keyword_rank, keyword_counts, grep_lines, grep_first50, grep_regex, grep_context, view_window, occurrence_count, replace_first_n, char_to_line, smart_truncate, fixed_line_split, content_dedup_md5, prefix_dedup_100, registry_diff, registry_status_counts, manifest_diff, ledger_upsert, budget_take, label_confusion)}
+QUERIES = {f.__name__: f for f in (token_counts, bm25_idf, bm25_topk, bm25_topk_filtered, bm25_doclen, keyword_rank, keyword_counts, grep_lines, grep_first50, grep_regex, grep_context, view_window, occurrence_count, replace_first_n, char_to_line, smart_truncate, fixed_line_split, content_dedup_md5, prefix_dedup_100, registry_diff, registry_status_counts, manifest_diff, ledger_upsert, budget_take, label_confusion)}
 
 _TOKENS = r"""t AS MATERIALIZED (SELECT doc_id, list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
   '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_.\-/]', ' ', 'g'), '[\p{L}\p{N}_]+'),
@@ -153,11 +161,11 @@ _DIFF = f"""SELECT coalesce(r.doc_id, d.doc_id) AS doc_id, CASE WHEN r.doc_id IS
 ORACLES = {
     "token_counts": f"WITH {_TOKENS} SELECT doc_id, len(tokens)::BIGINT AS n_tokens FROM t",
     "bm25_idf": f"WITH {_TOKENS}, {_IDF} SELECT term, n, round(idf, 6) AS idf FROM i",
-    "bm25_topk": f"""WITH {_TOKENS}, {_IDF}, a AS (SELECT avg(len(tokens)) AS avgdl FROM t),
+    **{name: f"""WITH {_TOKENS}, {_IDF}, a AS (SELECT avg(len(tokens)) AS avgdl FROM t),
 q AS (SELECT * FROM (VALUES ('the', 2), ('onen', 1), ('erth', 1)) AS v(term, times)),
 p AS (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM t), c AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL)
 SELECT doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score
-FROM c JOIN q USING (term) JOIN i USING (term), a GROUP BY doc_id HAVING score >= 0.01 ORDER BY score DESC, doc_id LIMIT 10""",
+FROM c JOIN q USING (term) JOIN i USING (term), a {where} GROUP BY doc_id HAVING score >= 0.01 ORDER BY score DESC, doc_id LIMIT 10""" for name, where in (("bm25_topk", ""), ("bm25_topk_filtered", "WHERE doc_id::VARCHAR LIKE '%7'"))},
     "bm25_doclen": f"WITH {_TOKENS} SELECT count(*) AS docs, sum(len(tokens))::BIGINT AS tokens, round(avg(len(tokens)), 6) AS avgdl FROM t",
     "keyword_rank": """SELECT doc_id, round((contains(lower(text), 'the')::INT + contains(lower(text), 'onen')::INT + contains(lower(text), 'thion')::INT) / 4, 6) AS score
 FROM documents WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""",
