@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import table
+from lodestone.sources.tables import spread
 
 GRAM = 5
 SYMBOLS = "#*$%&|<>"
@@ -78,20 +79,21 @@ def with_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint").alias("n_stop"),
         F.size(F.expr("filter(words, (w, i) -> w = get(words, i - 1))")).cast("bigint").alias("n_stutter"),
-        F.when(
-            F.size("words") >= GRAM,
-            F.expr(f"transform(sequence(1, size(words) - {GRAM - 1}), i -> xxhash64(slice(words, i, {GRAM})))"),
-        ).alias("grams"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     scalars = (*scalars, "n_words", "n_lines", "n_dup_lines", "n_stop", "n_stutter")
+    # each word is hashed once; a window is the hash of its words' hashes
+    window = ", ".join(f"hashes[i + {j}]" for j in range(GRAM))
+    grams = F.when(F.size("hashes") >= GRAM, F.expr(f"transform(sequence(0, size(hashes) - {GRAM}), i -> xxhash64({window}))"))
+    hashed = hashed.select(*scalars, grams.alias("grams"))
     # only texts with a repeated window are sorted
     repeated = hashed.select(
         *scalars,
-        F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.expr("array_sort(transform(grams, (h, i) -> struct(h as h, i as i)))")).alias("s"),
+        F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.expr("sort_array(transform(grams, (h, i) -> struct(h as h, i as i)))")).alias("s"),
     )
     places = repeated.select(
         *scalars,
-        F.when(F.col("s").isNotNull(), F.expr("array_sort(transform(filter(s, (x, j) -> x.h <=> get(s, j - 1).h or x.h <=> get(s, j + 1).h), x -> x.i))")).alias("p"),
+        F.when(F.col("s").isNotNull(), F.expr("sort_array(transform(filter(s, (x, j) -> x.h <=> get(s, j - 1).h or x.h <=> get(s, j + 1).h), x -> x.i))")).alias("p"),
     )
     covered = F.expr(f"aggregate(transform(p, (x, j) -> least({GRAM}, coalesce(get(p, j + 1) - x, {GRAM}))), 0L, (a, n) -> a + n)")
     # a generator: Catalyst would copy all of the above into every filter on a count
@@ -131,7 +133,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).select(
+    return judged(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
