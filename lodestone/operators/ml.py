@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, SQLTransformer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VOCABULARY, THRESHOLD = 20_000, 0.65
 
 
-def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
+def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     """Character n-grams within words padded by blanks."""
     words = F.transform(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
@@ -30,22 +34,35 @@ def with_features(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def split(df: DataFrame, key: str, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """(train, test), by a hash of the key, so a row is on one side for good."""
-    held = F.pmod(F.xxhash64(key, F.lit(42)), F.lit(1000)) < int(1000 * share)
-    return df.where(~held), df.where(held)
+def split(df: DataFrame, key: str, label: str, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(train, test): of each label the same share is held out, in the order of a hash of the key.
 
+    The hash cuts each label into 1000 cells, which are counted and added up, so
+    no label is ordered in one task; whole cells are held out until the share is
+    reached, so the share is met to a thousandth of a label or a row.
+    """
+    placed = df.withColumn("_cell", F.pmod(F.xxhash64(key, F.lit(42)), F.lit(1000)))
+    within = Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = placed.groupBy(label, "_cell").agg(F.count("*").alias("_n"))
+    marks = cells.select(label, "_cell", (F.sum("_n").over(within) <= F.round(F.sum("_n").over(Window.partitionBy(label)) * share)).alias("_held"))
+    out = placed.join(F.broadcast(marks), [label, "_cell"])  # a thousand rows a label at most
+    return out.where("not _held").select(*df.columns), out.where("_held").select(*df.columns)
+
+
+def weighted(df: DataFrame, tf: str, idf: np.ndarray, out: str) -> DataFrame:
+    """Term weights (1 + ln tf)(1 + idf) of sparse counts; idf is bounded by the vocabulary."""
+
+    @F.udf(VectorUDT())
+    def weigh(v):
+        return SparseVector(v.size, v.indices, (1.0 + np.log(v.values)) * (1.0 + idf[v.indices]))
+
+    return df.withColumn(out, weigh(tf))
 
-def pipeline(rows: int, c: float = 2.0) -> Pipeline:
-    features = ["f_angle", "f_brace", "f_shout", "f_symbol", "f_line", "f_size"]
-    return Pipeline(stages=[
-        CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=VOCABULARY),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="unit"),
-        VectorAssembler(inputCols=["unit", *features], outputCol="features"),
-        SQLTransformer(statement="SELECT *, CAST(label AS DOUBLE) AS y FROM __THIS__"),
-        LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (c * max(rows, 1)), maxIter=50, standardization=False, probabilityCol="probability"),
-    ])
+
+def oversampled(rows: DataFrame, real: DataFrame, times: int = 8) -> DataFrame:
+    """The rows and each real one ``times`` times."""
+    again = real.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_i")).drop("_i")
+    return rows.unionByName(again)
 
 
 def balanced(df: DataFrame) -> DataFrame:
@@ -60,11 +77,51 @@ def confusion(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy("label", "pred").agg(F.count("*").alias("n"))
 
 
-def train_and_predict(labelled: DataFrame, key: str, text: str) -> DataFrame:
+def report(predicted: DataFrame) -> DataFrame:
+    """label, rows, precision, recall, f1 of each label; 0 where a share has no rows."""
+    of = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
+    counts = confusion(predicted)
+    own = counts.groupBy("label").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)).alias("right"))
+    told = counts.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("told"))
+    both = own.join(told, "label", "left").withColumn("told", F.coalesce("told", F.lit(0)))
+    p, r = of(F.col("right"), F.col("told")), of(F.col("right"), F.col("rows"))
+    return both.select("label", "rows", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(of(2 * p * r, p + r), 6).alias("f1"))
+
+
+# Marks of call formats that are not one's own, of a supported one, and of an echoed result.
+FOREIGN = (
+    r"<\|tool[\u2581_]", r"tool_call_begin", r"<\|DSML\|", r"<\uff5cDSML\uff5c", r"<tool_call>", r"\u273fFUNCTION\u273f",
+    r"<minimax:tool_call>", r"\[TOOL_CALL\]", r"<invoke\s+name=", r"function_calls>", r"<start_function_call>", r"<\|tool_call>",
+    r"call:[a-z_]+\{", r"<\|python_tag\|>", r"<toolcall>", r"<extra_id_", r"<function=", r"\|tool\|", r'"tool"\s*:', r'"function_name"\s*:',
+)
+SUPPORTED = r"<\|tool_call_begin\|>\s*functions\.\w+(?::\d+)?\s*<\|tool_call_argument_begin\|>"
+ECHO = r"(?i)\[SYSTEM[:\s\u2014\-].*?result"
+
+
+def auto_label(visible: Column, tools: list[str]) -> Column:
+    """``foreign`` (1), ``own`` (0), ``review`` or ``excluded`` of an answer without its thinking; null if it names no tool."""
+    names = "|".join(tools)
+    foreign = reduce(lambda a, b: a | b, [visible.rlike(m) for m in FOREIGN])
+    return (
+        F.when(~visible.rlike(rf"\b({names})\b"), None).when(visible.rlike(SUPPORTED), "excluded").when(foreign, "foreign")
+        .when(visible.rlike(rf"<({names})(\s[^>]*)?(>|/>)") | visible.rlike(ECHO), "own").otherwise("review")
+    )
+
+
+def train_and_predict(labelled: DataFrame, key: str, text: str, c: float = 2.0) -> DataFrame:
     """key, label, p, pred (p >= THRESHOLD) of the held-out rows."""
     from pyspark.ml.functions import vector_to_array
 
-    train, test = split(with_features(labelled, text), key)
-    model = pipeline(train.count()).fit(balanced(train))
+    train, test = split(with_features(labelled, text), key, "label")
+    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=VOCABULARY).fit(train)
+    idf = IDF(inputCol="tf", outputCol="_").fit(counts.transform(train)).idf.toArray()
+    vectors = lambda df: weighted(counts.transform(df), "tf", idf, "tfidf")
+    features = ["f_angle", "f_brace", "f_shout", "f_symbol", "f_line", "f_size"]
+    model = Pipeline(stages=[
+        Normalizer(inputCol="tfidf", outputCol="unit"),
+        VectorAssembler(inputCols=["unit", *features], outputCol="features"),
+        SQLTransformer(statement="SELECT *, CAST(label AS DOUBLE) AS y FROM __THIS__"),
+        LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (c * max(train.count(), 1)), maxIter=50, standardization=False, probabilityCol="probability"),
+    ]).fit(vectors(balanced(train)))
     p = vector_to_array("probability")[1]
-    return model.transform(test.withColumn("weight", F.lit(1.0))).select(key, "label", p.alias("p"), (p >= THRESHOLD).cast("int").alias("pred"))
+    return model.transform(vectors(test.withColumn("weight", F.lit(1.0)))).select(key, "label", p.alias("p"), (p >= THRESHOLD).cast("int").alias("pred"))
