@@ -103,7 +103,7 @@ def auto_label(visible: Column, tools: list[str]) -> Column:
     names = "|".join(tools)
     foreign = reduce(lambda a, b: a | b, [visible.rlike(m) for m in FOREIGN])
     return (
-        F.when(~visible.rlike(rf"\b({names})\b"), None).when(visible.rlike(SUPPORTED), "excluded").when(foreign, "foreign")
+        F.when(visible.isNull() | ~visible.rlike(rf"\b({names})\b"), None).when(visible.rlike(SUPPORTED), "excluded").when(foreign, "foreign")
         .when(visible.rlike(rf"<({names})(\s[^>]*)?(>|/>)") | visible.rlike(ECHO), "own").otherwise("review")
     )
 
