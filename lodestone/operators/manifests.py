@@ -63,8 +63,16 @@ def nearest(rows: DataFrame, key: str, wanted: int) -> DataFrame:
 
 
 def greedy_budget(parts: DataFrame, group: str, order: list, size: str, budget: int, least: int) -> DataFrame:
-    """Parts in order until the budget is full; the one that overflows is cut if over ``least`` is left, then stop."""
+    """Parts in order until the budget is full; the one that overflows is cut if over ``least`` is left, then stop.
+
+    For groups that one task can sort; others come with ``ordered.running_total`` and go to ``within_budget``.
+    """
     upto = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    taken = parts.withColumn("upto", upto).withColumn("room", F.lit(budget) - (F.col("upto") - F.col(size)))
+    return within_budget(parts.withColumn("upto", upto), size, budget, least)
+
+
+def within_budget(totals: DataFrame, size: str, budget: int, least: int) -> DataFrame:
+    """The part of ``greedy_budget`` after running totals (``upto``)."""
+    taken = totals.withColumn("room", F.lit(budget) - (F.col("upto") - F.col(size)))
     kept = F.when(F.col("upto") <= budget, F.col(size)).when(F.col("room") > least, F.col("room"))
     return taken.withColumn("taken", kept).where(F.col("taken").isNotNull()).drop("upto", "room")

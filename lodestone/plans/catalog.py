@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.plans import corpus, logs, models, states, vectors
+from lodestone.plans import corpus, logs, models, ordered, states, vectors
 
-MODULES = (vectors, corpus, logs, models, states)
+MODULES = (vectors, corpus, logs, models, states, ordered)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
-from lodestone.operators import bm25, manifests, search
+from lodestone.operators import bm25, manifests, ordered, search
 from lodestone.sources.tables import table
 
 QUERY = "the onen thion"
@@ -133,7 +133,7 @@ def ledger_upsert(s, d):
 
 def budget_take(s, d):
     rows = docs(s, d).select("source", "doc_id", "n_chars")
-    return manifests.greedy_budget(rows, "source", ["doc_id"], "n_chars", 21000, 200)
+    return manifests.within_budget(ordered.running_total(rows, "source", ["doc_id"], "n_chars", "upto"), "n_chars", 21000, 200)
 
 
 def label_confusion(s, d):

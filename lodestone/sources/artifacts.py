@@ -32,10 +32,23 @@ def fingerprint(df: DataFrame) -> str:
     return "-".join(f"{v or 0:x}" for v in both).replace("--", "-")
 
 
+class folder:
+    """A path of any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.fs.exists(self.at)
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.at)]
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """A write to the path has ended."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return folder(spark, f"{path}/_SUCCESS").exists()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
