@@ -6,6 +6,9 @@ alone: a Spark interval join links identifiers, secrets and endpoints that lie
 within ``SCOPE`` code points of each other in one text, and a weak candidate is
 reported only when a complementary part stands within its scope: a weak secret
 needs an identifier, a weak identifier needs a secret, an endpoint needs both.
+Every place of a text has one role: what lies in a base span is no candidate,
+what lies in an endpoint is no identifier, what lies in either is no secret,
+so nothing complements itself; runs of words between slashes are paths.
 
 Spans are code points, end exclusive. Defined edge cases: null and empty texts
 have no spans; repeated rows and null ids are scanned each; spans may overlap
@@ -47,6 +50,8 @@ HOST = re.compile(rb"""(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0
 AFTER_SCHEME = re.compile(rb"""[A-Za-z0-9._~:/?\[\]@!$&()*+;=%-]+""")
 SCHEME = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 LEAST_WEAK, LEAST_ENTROPY = 16, 3.2
+#: A path: words and numbers between slashes.
+PATH = re.compile(rb"(?:[A-Za-z_-]*[0-9]*/)+[A-Za-z_-]*[0-9]*")
 
 _HEX = T._lookup(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x66)
 _VALUE = T._lookup(lambda b: chr(b).isalnum() and b < 0x80 or chr(b) in "+/_-")
@@ -127,7 +132,7 @@ def find(data: np.ndarray, offsets: np.ndarray) -> tuple[list, list]:
     """Base and weak spans, (text, kind, begin, end) in bytes."""
     raw = data.tobytes()
     lower = raw.lower()
-    base, weak = [], []
+    base = []
 
     def each(pattern: re.Pattern, needles, source: bytes):
         for text in _texts_with(source, needles, offsets).tolist():
@@ -142,17 +147,22 @@ def find(data: np.ndarray, offsets: np.ndarray) -> tuple[list, list]:
         if m.end() - m.start() >= LEAST_ACCESS:
             base.append((text, "access", a + m.start(), a + m.end()))
     base += [(d, "hex", s, e) for d, s, e in zip(*(x.tolist() for x in _runs(_HEX[data], offsets, LEAST_HEX)), strict=True)]
+    endpoints, identifiers, values = [], [], []
     named = lower if any(c in raw for c in (b":", b"=")) else b""
-    for text, m, a in each(IDENTIFIER, IDENTIFIER_WORDS, named):
-        weak.append((text, "identifier", a + m.start(), a + m.end()))
     for text in _texts_with(named, (b"://", b"host", b"endpoint", b"server"), offsets).tolist():
         a = int(offsets[text])
-        weak += [(text, "endpoint", a + s, a + e) for s, e in _endpoints(raw[a : int(offsets[text + 1])])]
+        endpoints += [(text, "endpoint", a + s, a + e) for s, e in _endpoints(raw[a : int(offsets[text + 1])])]
+    for text, m, a in each(IDENTIFIER, IDENTIFIER_WORDS, named):
+        identifiers.append((text, "identifier", a + m.start(), a + m.end()))
     for d, s, e in zip(*(x.tolist() for x in _runs(_VALUE[data], offsets, LEAST_WEAK)), strict=True):
         value = raw[s:e]
-        if re.search(rb"[0-9]", value) and re.search(rb"[A-Za-z]", value) and _entropy(value) >= LEAST_ENTROPY:
-            weak.append((d, "secret", s, e))
-    return base, _clear_of(weak, base)
+        if re.search(rb"[0-9]", value) and re.search(rb"[A-Za-z]", value) and not PATH.fullmatch(value) and _entropy(value) >= LEAST_ENTROPY:
+            values.append((d, "secret", s, e))
+    # a place has the role of the first kind that holds it
+    weak = []
+    for kind in (endpoints, identifiers, values):
+        weak += _clear_of(kind, base + weak)
+    return base, weak
 
 
 def _column(spans: list, n: int, before: np.ndarray) -> pa.Array:
@@ -196,7 +206,8 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     The join is on (row, block of ``scope`` code points): a part stands in every
     block that it covers, a weak candidate looks into every block within scope
-    of it, so every pair within scope meets, however long the two are.
+    of it, so every pair within scope meets, however long the two are. Parts
+    that overlap a candidate do not complement it.
     """
     role = F.when(F.col("s.kind").isin("access", "identifier"), "identifier").when(F.col("s.kind") == "endpoint", "endpoint").otherwise("secret")
     parts = found.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", role.alias("role"), F.col("s.start").alias("p_start"), F.col("s.end").alias("p_end"))
@@ -206,7 +217,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
         .groupBy("row", "block", "role").agg(F.array_sort(F.collect_set(F.struct("p_start", "p_end"))).alias("parts"))
     )
     weak = found.select("row", F.explode("weak").alias("s")).select("row", "s.kind", "s.start", "s.end", blocks(F.col("s.start") - scope, F.col("s.end") + scope).alias("block"))
-    near = F.expr(f"exists(parts, p -> p.p_start - `end` <= {scope} and start - p.p_end <= {scope} and not (p.p_start = start and p.p_end = `end`))")
+    near = F.expr(f"exists(parts, p -> p.p_start - `end` <= {scope} and start - p.p_end <= {scope} and (p.p_start >= `end` or p.p_end <= start))")
     met = weak.join(offered, ["row", "block"]).where(near)
     needed = F.when(F.col("kind") == "secret", F.array_contains("roles", "identifier")).when(F.col("kind") == "identifier", F.array_contains("roles", "secret")).otherwise(F.size("roles") == 2)
     return met.groupBy("row", "kind", "start", "end").agg(F.collect_set("role").alias("roles")).where(needed).drop("roles")
