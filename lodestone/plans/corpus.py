@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
 from lodestone.operators import bm25, manifests, ordered, search
+from lodestone.sources.artifacts import folder, shared_dir
+from lodestone.sources.files import write_partitions
 from lodestone.sources.tables import table
 
 QUERY = "the onen thion"
@@ -29,7 +33,8 @@ def _index(s, d):
 
 
 def bm25_idf(s, d):
-    return _index(s, d).idf().select("term", "n", F.round("idf", 6).alias("idf"))
+    """How many terms stand in n documents, and their idf."""
+    return _index(s, d).idf().groupBy("n", F.round("idf", 6).alias("idf")).agg(F.count("*").alias("terms"))
 
 
 def bm25_topk(s, d):
@@ -41,6 +46,21 @@ def bm25_topk_filtered(s, d):
     return bm25.search(_index(s, d), "doc_id", TERMS, 10, only=F.col("doc_id").cast("string").like("%7"))
 
 
+def bm25_followed(s, d):
+    """An index of an older state of the documents, brought up to the present: since then French texts have changed,
+    German ones are new, and a file is gone."""
+    root = f"{shared_dir(s)}/followed-{uuid.uuid4().hex}"
+    now = docs(s, d).select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("part"))
+    french = F.col("part") == "fr"
+    then = now.where("part != 'de'").withColumn("text", F.when(french, F.concat(F.lit("obsolete words "), "text")).otherwise(F.col("text")))
+    gone = now.where("part = 'en'").select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("texts that are gone").alias("text"), F.lit("gone").alias("part"))
+    then.unionByName(gone).write.partitionBy("part").parquet(f"{root}/documents")
+    bm25.refreshed(s.read.parquet(f"{root}/documents"), "doc_id", "text", f"{root}/index")
+    write_partitions(now.where(french | (F.col("part") == "de")), f"{root}/documents", "part")
+    folder(s, f"{root}/documents/part=gone").delete()
+    return bm25.search(bm25.refreshed(s.read.parquet(f"{root}/documents"), "doc_id", "text", f"{root}/index"), "doc_id", TERMS, 10)
+
+
 def bm25_doclen(s, d):
     return _index(s, d).stats.select("docs", "tokens", F.round("avgdl", 6).alias("avgdl"))
 
@@ -141,7 +161,7 @@ def label_confusion(s, d):
     return table(s, d, "labels").join(pred, "doc_id").groupBy("quality", "pred").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (token_counts, bm25_idf, bm25_topk, bm25_topk_filtered, bm25_doclen, keyword_rank, keyword_counts, grep_lines, grep_first50, grep_regex, grep_context, view_window, occurrence_count, replace_first_n, char_to_line, smart_truncate, fixed_line_split, content_dedup_md5, prefix_dedup_100, registry_diff, registry_status_counts, manifest_diff, ledger_upsert, budget_take, label_confusion)}
+QUERIES = {f.__name__: f for f in (token_counts, bm25_idf, bm25_topk, bm25_topk_filtered, bm25_followed, bm25_doclen, keyword_rank, keyword_counts, grep_lines, grep_first50, grep_regex, grep_context, view_window, occurrence_count, replace_first_n, char_to_line, smart_truncate, fixed_line_split, content_dedup_md5, prefix_dedup_100, registry_diff, registry_status_counts, manifest_diff, ledger_upsert, budget_take, label_confusion)}
 
 _TOKENS = r"""t AS MATERIALIZED (SELECT doc_id, list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
   '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_.\-/]', ' ', 'g'), '[\p{L}\p{N}_]+'),
@@ -160,12 +180,12 @@ _DIFF = f"""SELECT coalesce(r.doc_id, d.doc_id) AS doc_id, CASE WHEN r.doc_id IS
   FROM ({_REGISTRY}) r FULL JOIN ({_ON_DISK}) d ON r.doc_id = d.doc_id"""
 ORACLES = {
     "token_counts": f"WITH {_TOKENS} SELECT doc_id, len(tokens)::BIGINT AS n_tokens FROM t",
-    "bm25_idf": f"WITH {_TOKENS}, {_IDF} SELECT term, n, round(idf, 6) AS idf FROM i",
+    "bm25_idf": f"WITH {_TOKENS}, {_IDF} SELECT n, round(idf, 6) AS idf, count(*) AS terms FROM i GROUP BY ALL",
     **{name: f"""WITH {_TOKENS}, {_IDF}, a AS (SELECT avg(len(tokens)) AS avgdl FROM t),
 q AS (SELECT * FROM (VALUES ('the', 2), ('onen', 1), ('erth', 1)) AS v(term, times)),
 p AS (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM t), c AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL)
 SELECT doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score
-FROM c JOIN q USING (term) JOIN i USING (term), a {where} GROUP BY doc_id HAVING score >= 0.01 ORDER BY score DESC, doc_id LIMIT 10""" for name, where in (("bm25_topk", ""), ("bm25_topk_filtered", "WHERE doc_id::VARCHAR LIKE '%7'"))},
+FROM c JOIN q USING (term) JOIN i USING (term), a {where} GROUP BY doc_id HAVING score >= 0.01 ORDER BY score DESC, doc_id LIMIT 10""" for name, where in (("bm25_topk", ""), ("bm25_followed", ""), ("bm25_topk_filtered", "WHERE doc_id::VARCHAR LIKE '%7'"))},
     "bm25_doclen": f"WITH {_TOKENS} SELECT count(*) AS docs, sum(len(tokens))::BIGINT AS tokens, round(avg(len(tokens)), 6) AS avgdl FROM t",
     "keyword_rank": """SELECT doc_id, round((contains(lower(text), 'the')::INT + contains(lower(text), 'onen')::INT + contains(lower(text), 'thion')::INT) / 4, 6) AS score
 FROM documents WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def fingerprint(df: DataFrame) -> str:
-    """Changes when a file of the scan is added, removed or rewritten; reads no column."""
-    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    both = files.agg(F.count("*"), F.bit_xor(F.xxhash64("*")), F.bit_xor(F.hash("*"))).first()
-    return "-".join(f"{v or 0:x}" for v in both).replace("--", "-")
-
-
 class folder:
     """A path of any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
         self.at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         self.fs = self.at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -45,12 +40,51 @@ class folder:
     def names(self) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self.at)]
 
+    def text(self) -> str:
+        source = self.fs.open(self.at)
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
+    def write(self, text: str) -> None:
+        out = self.fs.create(self.at, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def renamed(self, path: str) -> bool:
+        """Renames the file unless there is one of that name; then it is deleted and the answer is False."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        modes = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(self.at.toUri(), self.fs.getConf()).rename(self.at, hadoop.Path(path), modes)
+        except Py4JJavaError as error:
+            self.delete()
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                return False
+            raise
+        return True
+
+    def delete(self) -> None:
+        self.fs.delete(self.at, True)
+
 
 def complete(spark: SparkSession, path: str) -> bool:
     """A write to the path has ended."""
     return folder(spark, f"{path}/_SUCCESS").exists()
 
 
+#: Tables of up to this many narrow rows (about 40 bytes each) are broadcast.
+FEW = 500_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """The frame, to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -1,7 +1,5 @@
 import json
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
@@ -38,22 +36,6 @@ def test_line_blocks(spark):
     assert bounds(lines(5, 70, 4)) == [(1, 5), (7, 66), (52, 76), (78, 81)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 9000), max_size=200))
-def test_greedy_batches(sizes):
-    batches = chunking.greedy_batches(sizes)
-    for b in set(batches):
-        own = [n for n, x in zip(sizes, batches) if x == b]
-        assert len(own) <= 64 and (sum(own) <= 6000 or len(own) == 1)
-
-
-def test_tool_calls():
-    tools = {"search": (), "edit": ("file", "old")}
-    text = "x <search>a <search>b</search></search> <edit file='f'><old>\nq\n</old></edit> <search query=\"z\"/> <other>1</other>"
-    assert [(n, a) for n, a, _ in chunking.tool_calls(text, tools)] == [("search", {"query": "a <search>b</search>"}), ("edit", {"file": "f", "old": "q"}), ("search", {"query": "z"})]
-    assert chunking.tool_calls("<search>open", tools) == []
-
-
 def test_replace_and_window(spark):
     df = spark.createDataFrame([("a-a-a\nb\nc",)], "t string")
     row = df.select(
