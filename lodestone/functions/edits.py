@@ -1,11 +1,11 @@
-"""Exact edits of texts as column expressions."""
+"""Exact edits of texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import char_to_line, occurrences, replace_first
+from lodestone.functions.text import occurrences, replace_first
 
 
 def edited(text: Column, old: str, new: str, n: int = 1) -> Column:
@@ -25,12 +25,11 @@ def edited(text: Column, old: str, new: str, n: int = 1) -> Column:
     )
 
 
-def occurrence_lines(text: Column, needle: str) -> Column:
-    """Lines (from 1) at which the non-overlapping occurrences begin."""
+def occurrence_lines(df: DataFrame, key: str, text: str, needle: str) -> DataFrame:
+    """key, nth (from 0) and line_no (from 1) of the non-overlapping occurrences: the text is cut at them once, and line breaks are summed over the pieces."""
     pieces = F.split(text, "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
-    lengths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), F.length)
-    ends = F.aggregate(
-        lengths, F.expr("cast(array() as array<int>)"),
-        lambda done, n: F.concat(done, F.array(F.when(F.size(done) == 0, n).otherwise(F.try_element_at(done, F.lit(-1)) + n + len(needle)))),
-    )
-    return F.transform(ends, lambda at: char_to_line(text, at).cast("int"))
+    breaks = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.regexp_count(p, F.lit("\n")))
+    # the row's number comes before the rows of its pieces
+    counted = df.select(F.monotonically_increasing_id().alias("_row"), key, text).select("_row", key, F.posexplode(breaks).alias("nth", "_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    return counted.select(key, "nth", (1 + upto + F.col("nth") * needle.count("\n")).cast("int").alias("line_no"))

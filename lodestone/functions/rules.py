@@ -21,6 +21,34 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def glob_pattern(glob: str) -> str:
+    """The anchored pattern of a glob: ``*`` any characters, ``?`` one, ``[...]`` and ``[!...]`` one of a set; an open ``[`` is itself."""
+    out, i = "", 0
+    while i < len(glob):
+        c = glob[i]
+        end = glob.find("]", i + 2 + (glob[i + 1 : i + 2] == "!")) if c == "[" else -1
+        if end > 0:
+            inner = glob[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]").replace("&&", "&\\&")
+            out += "[^" + inner[1:] + "]" if inner.startswith("!") else "[" + ("\\^" + inner[1:] if inner.startswith("^") else inner) + "]"
+            i = end + 1
+            continue
+        out += ".*" if c == "*" else "." if c == "?" else c if c.isalnum() or c == "_" else "\\" + c if c.isascii() else c
+        i += 1
+    return rf"(?s)\A{out}\z"
+
+
+def glob_matches(name: Column, glob: str) -> Column:
+    """The whole name matches the glob, case and all; false for null."""
+    return F.coalesce(name.rlike(glob_pattern(glob)), F.lit(False))
+
+
+def any_glob(name: Column, globs: tuple[str, ...]) -> Column:
+    held = F.lit(False)
+    for glob in globs:
+        held |= glob_matches(name, glob)
+    return held
+
+
 def is_project_file(path: Column) -> Column:
     """Not a temporary script."""
     return ~file_name(path).rlike(TEMPORARY)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.rules import file_name, inside
+
 # Marks and the header of a summary; result markers and lengths stand in the cases below.
 YES, NO = "✓", "✗"
 HEADER = ("[POWERS USED — ", " call(s)]\n")
@@ -92,3 +94,23 @@ def summarised(log: DataFrame, turn: str, order: str) -> DataFrame:
     listed = one.groupBy(turn).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("  "), x["i"].cast("string"), F.lit(". "), x["line"])), "\n")
     return listed.select(turn, F.concat(F.lit(HEADER[0]), F.col("n").cast("string"), F.lit(HEADER[1]), body).alias("summary"))
+
+
+def attributed(log: DataFrame, turn: str, order: str, outputs: str, commands: int = 5, size: int = 80) -> DataFrame:
+    """turn, modified, outputs_created (sorted names of edited files) and commands (the first ones, cut) of calls (fn, args).
+
+    An edit of a file under ``outputs`` creates an output; one without a file tells nothing.
+    """
+    target = F.nullif(_arg("file"), F.lit(""))
+    edit = (F.col("fn") == "str_replace") & target.isNotNull()
+    command = F.trim(F.substring(_arg("command"), 1, size))
+    shell = (F.col("fn") == "bash") & (command != "")
+    out = inside(target, outputs)
+    rows = log.select(turn, order, F.when(edit & ~out, file_name(target)).alias("m"), F.when(edit & out, file_name(target)).alias("o"), F.when(shell, command).alias("c"))
+    nth = F.row_number().over(Window.partitionBy(turn, F.col("c").isNull()).orderBy(order))
+    told = rows.withColumn("_n", nth)
+    first = F.collect_list(F.when(F.col("c").isNotNull() & (F.col("_n") <= commands), F.struct("_n", "c")))
+    return told.groupBy(turn).agg(
+        F.array_sort(F.collect_set("m")).alias("modified"), F.array_sort(F.collect_set("o")).alias("outputs_created"),
+        F.transform(F.array_sort(first), lambda x: x["c"]).alias("commands"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.rules import usable_text
+from lodestone.operators import bm25
 from lodestone.operators.chunking import paragraph_chunks
 from lodestone.operators.vectors import cosine_topk_each
 from lodestone.sources.artifacts import written
@@ -54,6 +55,21 @@ def ingested(source: DataFrame, manifest: DataFrame, chunks: DataFrame, key: str
 
 
 def search(chunks: DataFrame, queries: DataFrame, key: str, k: int = 5, least: float = LEAST_SCORE, query_key: str = "query_id") -> DataFrame:
-    """query_key, chunk (``key:id``), score of the best chunks for each query; at most ten each."""
+    """query_key, chunk (``key:id``), score and rank of the best chunks for each query; at most ten each."""
     rows = chunks.select(F.concat_ws(":", key, "id").alias("chunk"), "vector")
     return cosine_topk_each(rows, queries, "chunk", "vector", min(k, MOST_RESULTS), least, query_key)
+
+
+def search_or_words(chunks: DataFrame | None, index: bm25.Index, queries: DataFrame, key: str, k: int = 5, least: float = LEAST_SCORE) -> DataFrame:
+    """query_id, hit, score, rank and method of the best chunks for each query (query_id, vector, terms).
+
+    A query without a chunk that is near enough, and every query where there are
+    no chunks, is answered by the words of whole texts.
+    """
+    kind = index.postings.schema[key].dataType.simpleString()
+    words = lambda asked: bm25.search_each(index, key, asked, k).select("query_id", F.col(key).cast("string").alias("hit"), "score", "rank", F.lit("words").alias("method"))
+    if chunks is None:
+        return words(queries)
+    near = written(search(chunks.withColumn(key, F.col(key).cast(kind)), queries.select("query_id", "vector"), key, k, least), "near")
+    rest = queries.join(near.select("query_id").distinct(), "query_id", "left_anti")
+    return near.select("query_id", F.col("chunk").alias("hit"), "score", "rank", F.lit("vectors").alias("method")).unionByName(words(rest))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,7 +62,7 @@ def nearest(rows: DataFrame, key: str, wanted: int) -> DataFrame:
     return rows.orderBy(F.abs(F.col(key) - wanted), key).limit(1)
 
 
-def greedy_budget(parts: DataFrame, group: str, order: list, size: str, budget: int, least: int) -> DataFrame:
+def greedy_budget(parts: DataFrame, group: str, order: list, size: str, budget: int | Column, least: int) -> DataFrame:
     """Parts in order until the budget is full; the one that overflows is cut if over ``least`` is left, then stop.
 
     For groups that one task can sort; others come with ``ordered.running_total`` and go to ``within_budget``.
@@ -71,8 +71,21 @@ def greedy_budget(parts: DataFrame, group: str, order: list, size: str, budget:
     return within_budget(parts.withColumn("upto", upto), size, budget, least)
 
 
-def within_budget(totals: DataFrame, size: str, budget: int, least: int) -> DataFrame:
+def within_budget(totals: DataFrame, size: str, budget: int | Column, least: int) -> DataFrame:
     """The part of ``greedy_budget`` after running totals (``upto``)."""
     taken = totals.withColumn("room", F.lit(budget) - (F.col("upto") - F.col(size)))
     kept = F.when(F.col("upto") <= budget, F.col(size)).when(F.col("room") > least, F.col("room"))
     return taken.withColumn("taken", kept).where(F.col("taken").isNotNull()).drop("upto", "room")
+
+
+def sidecars(files: DataFrame, sources: DataFrame, suffix: str, path: str = "path", source: str = "source") -> DataFrame:
+    """path, source and state of sidecar files: ``found``, ``orphan`` (its source is gone) or ``unknown``.
+
+    ``sources`` tells the source that a sidecar names; where it names none, that
+    is a text file of the sidecar's stem, whose absence proves nothing.
+    """
+    side = files.where(F.col(path).endswith(suffix)).select(path, F.expr(f"left(`{path}`, length(`{path}`) - {len(suffix)})").alias("_stem"))
+    named = side.join(sources.select(path, source), path, "left").withColumn("_at", F.coalesce(source, F.concat("_stem", F.lit(".txt"))))
+    held = files.select(F.col(path).alias("_at")).distinct().withColumn("_held", F.lit(True))
+    state = F.when(F.col("_held"), "found").when(F.col(source).isNull(), "unknown").otherwise("orphan")
+    return named.join(held, "_at", "left").select(path, source, state.alias("state"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, IDFModel, Normalizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.artifacts import written
+
 VOCABULARY, THRESHOLD = 20_000, 0.65
 
 
@@ -34,6 +37,17 @@ def with_features(df: DataFrame, text: str) -> DataFrame:
     )
 
 
+def call_features(text: Column, tools: list[str]) -> dict[str, Column]:
+    """Six marks of calls in a text: tool names and foreign marks (five or more are 1), an own tag, a system mark, a pair of fences, thousands of characters."""
+    names = "|".join(tools)
+    count = lambda pattern: F.least(F.regexp_count(text, F.lit(pattern)), F.lit(5)) / 5.0
+    mark = lambda held: held.cast("double")
+    return {
+        "f_tools": count(rf"\b({names})\b"), "f_foreign": count(FOREIGN), "f_own": mark(text.rlike(rf"</?({names})(\s|>|/>)")), "f_system": mark(text.rlike(SYSTEM)),
+        "f_fences": mark(F.regexp_count(text, F.lit("```")) >= 2), "f_thousands": F.length(text) / 1000.0,
+    }
+
+
 def split(df: DataFrame, key: str, label: str, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(train, test): of each label the same share is held out, in the order of a hash of the key.
 
@@ -52,7 +66,7 @@ def split(df: DataFrame, key: str, label: str, share: float = 0.2) -> tuple[Data
 def weighted(df: DataFrame, tf: str, idf: np.ndarray, out: str) -> DataFrame:
     """Term weights (1 + ln tf)(1 + idf) of sparse counts; idf is bounded by the vocabulary."""
 
-    @F.udf(VectorUDT())
+    @F.udf(VectorUDT(), useArrow=True)
     def weigh(v):
         return SparseVector(v.size, v.indices, (1.0 + np.log(v.values)) * (1.0 + idf[v.indices]))
 
@@ -88,40 +102,69 @@ def report(predicted: DataFrame) -> DataFrame:
     return both.select("label", "rows", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(of(2 * p * r, p + r), 6).alias("f1"))
 
 
-# Marks of call formats that are not one's own, of a supported one, and of an echoed result.
+# Marks of call formats that are not one's own, of a supported one, of an echoed result, and of fences.
 FOREIGN = (
-    r"<\|tool[\u2581_]", r"tool_call_begin", r"<\|DSML\|", r"<\uff5cDSML\uff5c", r"<tool_call>", r"\u273fFUNCTION\u273f",
-    r"<minimax:tool_call>", r"\[TOOL_CALL\]", r"<invoke\s+name=", r"function_calls>", r"<start_function_call>", r"<\|tool_call>",
-    r"call:[a-z_]+\{", r"<\|python_tag\|>", r"<toolcall>", r"<extra_id_", r"<function=", r"\|tool\|", r'"tool"\s*:', r'"function_name"\s*:',
-)
+    r'<\|tool[▁_]|tool_call_begin|<\|DSML\||<｜DSML｜|<tool_call>|✿FUNCTION✿|<minimax:tool_call>|\[TOOL_CALL\]|<invoke\s+name=|function_calls>|<start_function_call>'
+    r'|<\|tool_call>|call:[a-z_]+\{|<\|python_tag\|>|<toolcall>|<extra_id_|<function=|\|tool\||"tool"\s*:|"function_name"\s*:'
+)
 SUPPORTED = r"<\|tool_call_begin\|>\s*functions\.\w+(?::\d+)?\s*<\|tool_call_argument_begin\|>"
-ECHO = r"(?i)\[SYSTEM[:\s\u2014\-].*?result"
+ECHO = r"(?i)\[SYSTEM[:\s—\-].*?result"
+SYSTEM = r"\[SYSTEM[:\s—-]"
 
 
 def auto_label(visible: Column, tools: list[str]) -> Column:
     """``foreign`` (1), ``own`` (0), ``review`` or ``excluded`` of an answer without its thinking; null if it names no tool."""
     names = "|".join(tools)
-    foreign = reduce(lambda a, b: a | b, [visible.rlike(m) for m in FOREIGN])
     return (
-        F.when(visible.isNull() | ~visible.rlike(rf"\b({names})\b"), None).when(visible.rlike(SUPPORTED), "excluded").when(foreign, "foreign")
+        F.when(visible.isNull() | ~visible.rlike(rf"\b({names})\b"), None).when(visible.rlike(SUPPORTED), "excluded").when(visible.rlike(FOREIGN), "foreign")
         .when(visible.rlike(rf"<({names})(\s[^>]*)?(>|/>)") | visible.rlike(ECHO), "own").otherwise("review")
     )
 
 
-def train_and_predict(labelled: DataFrame, key: str, text: str, c: float = 2.0) -> DataFrame:
-    """key, label, p, pred (p >= THRESHOLD) of the held-out rows."""
-    from pyspark.ml.functions import vector_to_array
-
-    train, test = split(with_features(labelled, text), key, "label")
-    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=VOCABULARY).fit(train)
-    idf = IDF(inputCol="tf", outputCol="_").fit(counts.transform(train)).idf.toArray()
-    vectors = lambda df: weighted(counts.transform(df), "tf", idf, "tfidf")
-    features = ["f_angle", "f_brace", "f_shout", "f_symbol", "f_line", "f_size"]
-    model = Pipeline(stages=[
+FEATURES = ("f_angle", "f_brace", "f_shout", "f_symbol", "f_line", "f_size")
+
+
+@dataclass(frozen=True)
+class Detector:
+    """A fitted classifier: vocabulary, idf of its terms, and the model over term weights and features."""
+
+    counts: CountVectorizerModel
+    idf: IDFModel
+    model: PipelineModel
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        # written: stages look at a first row, for which a plan with all that is under them would be made and run again
+        return weighted(written(self.counts.transform(df).drop("grams"), "tf"), "tf", self.idf.idf.toArray(), "tfidf")
+
+    def predict(self, df: DataFrame, *columns: str, threshold: float = THRESHOLD) -> DataFrame:
+        """The columns, p and pred (p >= threshold) of rows with ``grams`` and features."""
+        p = vector_to_array("probability")[1]
+        return self.model.transform(self.vectors(df.withColumn("weight", F.lit(1.0)))).select(*columns, p.alias("p"), (p >= threshold).cast("int").alias("pred"))
+
+    def save(self, path: str) -> None:
+        for name, part in (("counts", self.counts), ("idf", self.idf), ("model", self.model)):
+            part.write().overwrite().save(f"{path}/{name}")
+
+
+def load(path: str) -> Detector:
+    return Detector(CountVectorizerModel.load(f"{path}/counts"), IDFModel.load(f"{path}/idf"), PipelineModel.load(f"{path}/model"))
+
+
+def train(rows: DataFrame, features: tuple[str, ...] = FEATURES, c: float = 2.0) -> Detector:
+    """A detector from rows with ``label`` (0 or 1), ``grams`` and the features."""
+    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=VOCABULARY).fit(rows)
+    told = written(counts.transform(rows).drop("grams"), "tf")
+    idf = IDF(inputCol="tf", outputCol="_").fit(told)
+    labelled = balanced(told).withColumn("y", F.col("label").cast("double"))
+    stages = [
         Normalizer(inputCol="tfidf", outputCol="unit"),
         VectorAssembler(inputCols=["unit", *features], outputCol="features"),
-        SQLTransformer(statement="SELECT *, CAST(label AS DOUBLE) AS y FROM __THIS__"),
-        LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (c * max(train.count(), 1)), maxIter=50, standardization=False, probabilityCol="probability"),
-    ]).fit(vectors(balanced(train)))
-    p = vector_to_array("probability")[1]
-    return model.transform(vectors(test.withColumn("weight", F.lit(1.0)))).select(key, "label", p.alias("p"), (p >= THRESHOLD).cast("int").alias("pred"))
+        LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (c * max(rows.count(), 1)), maxIter=50, standardization=False, probabilityCol="probability"),
+    ]
+    return Detector(counts, idf, Pipeline(stages=stages).fit(weighted(labelled, "tf", idf.idf.toArray(), "tfidf")))
+
+
+def train_and_predict(labelled: DataFrame, key: str, text: str, c: float = 2.0) -> DataFrame:
+    """key, label, p, pred (p >= THRESHOLD) of the held-out rows."""
+    rows, test = split(with_features(labelled, text), key, "label")
+    return train(rows, c=c).predict(test, key, "label")

@@ -28,10 +28,10 @@ def tail(messages: DataFrame, session: str, order: str, n: int) -> DataFrame:
     return last.withColumn("_open", opened).where(F.col("_open") == 1).drop("_open")
 
 
-def keyword_rank(turns: DataFrame, query: str, pool: int, k: int, keys: list[str], halves: tuple[str, ...] = ("user_text", "assistant_text")) -> DataFrame:
+def keyword_rank(turns: DataFrame, query: str, pool: int, k: int, keys: list[str]) -> DataFrame:
     """The ``pool`` best by keywords, reranked by the share of the query in a passage of 800 characters of each of ``halves``, then k."""
     both = F.concat_ws(" ", "user_text", "assistant_text")
-    passage = F.concat_ws("\n", *[F.substring(half, 1, 800) for half in halves])
+    passage = F.concat_ws("\n", *[F.substring(half, 1, 800) for half in ("user_text", "assistant_text")])
     scored = turns.select(*keys, F.round(keyword_score(both, query), 6).alias("score"), F.round(keyword_score(passage, query), 6).alias("rerank"))
     best = scored.where("score > 0").orderBy(F.desc("score"), *keys).limit(pool)
     return best.orderBy(F.desc("rerank"), F.desc("score"), *keys).limit(k)
@@ -43,3 +43,9 @@ def valid_prefix(index: DataFrame, turns: DataFrame, session: str) -> DataFrame:
     joined = index.join(t, [session, "turn_no"], "left").withColumn("same", F.col("user_text").eqNullSafe(F.col("u")) & F.col("assistant_text").eqNullSafe(F.col("a")))
     cut = joined.groupBy(session).agg(F.min(F.when(~F.col("same"), F.col("turn_no"))).alias("cut"))
     return joined.join(cut, session).where(F.col("cut").isNull() | (F.col("turn_no") < F.col("cut"))).select(*index.columns)
+
+
+def line_ranges(found: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with start_line and end_line of their turn; lines 1 and 2 where there is no such turn."""
+    told = found.join(turns.select(*keys, "start_line", "end_line"), keys, "left")
+    return told.withColumns({"start_line": F.coalesce("start_line", F.lit(1)), "end_line": F.coalesce("end_line", F.lit(2))})

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lodestone.sources.artifacts import few, written
+
 EPSILON = 1e-10
 #: Rows and queries that meet in one task at a time.
-ROW_BLOCK, QUERY_BLOCK = 8192, 512
+ROW_BLOCK, QUERY_BLOCK = 8192, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,7 +74,7 @@ def _best_of_blocks(k: int, min_score: float | None, schema: pa.Schema):
 def cosine_topk_each(
     rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, min_score: float | None = None, query_key: str = "query_id"
 ) -> DataFrame:
-    """query_key, key and score of the k rows nearest to each row of ``queries``, which have ``query_key`` and a vector.
+    """query_key, key, score and rank (from 1) of the k rows nearest to each row of ``queries``, which have ``query_key`` and a vector.
 
     Every block of rows meets every block of queries and keeps k rows a query;
     the k best of those are the result. Vectors are compared with those of their
@@ -93,7 +95,7 @@ def cosine_topk_each(
     partial = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(_best_of_blocks(k, min_score, schema), ddl)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     best = partial.withColumn("_place", place).where(F.col("_place") <= k)
-    return best.select(F.col("query").alias(query_key), F.col("id").alias(key), F.round("score", 6).alias("score"))
+    return best.select(F.col("query").alias(query_key), F.col("id").alias(key), F.round("score", 6).alias("score"), F.col("_place").alias("rank"))
 
 
 def centroids(rows: DataFrame, by: str, vector: str) -> DataFrame:
@@ -105,6 +107,8 @@ def centroids(rows: DataFrame, by: str, vector: str) -> DataFrame:
 
 def nearest_to_centroids(rows: DataFrame, by: str, key: str, vector: str) -> DataFrame:
     """The row of each group with the highest cosine to the group's centroid; ties go to the smaller key."""
-    scored = rows.join(centroids(rows, by, vector), by).select(by, key, F.round(cosine(F.col(vector), F.col("centroid")), 6).alias("score"))
+    means = written(centroids(rows, by, vector), "centroids")
+    elements = means.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
+    scored = rows.join(few(means, elements), by).select(by, key, F.round(cosine(F.col(vector), F.col("centroid")), 6).alias("score"))
     best = scored.groupBy(by).agg(F.max(F.struct("score", (-F.col(key)).alias("k"))).alias("m"))
     return best.select(by, (-F.col("m.k")).alias(key), F.col("m.score").alias("score"))

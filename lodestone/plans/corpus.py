@@ -46,6 +46,12 @@ def bm25_topk_filtered(s, d):
     return bm25.search(_index(s, d), "doc_id", TERMS, 10, only=F.col("doc_id").cast("string").like("%7"))
 
 
+def bm25_each(s, d):
+    """The best documents for the words of every benchmark item."""
+    queries = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), fn.code_tokens(F.col("text")).alias("terms"))
+    return bm25.search_each(_index(s, d), "doc_id", queries, 5)
+
+
 def bm25_followed(s, d):
     """An index of an older state of the documents, brought up to the present: since then French texts have changed,
     German ones are new, and a file is gone."""
@@ -161,11 +167,16 @@ def label_confusion(s, d):
     return table(s, d, "labels").join(pred, "doc_id").groupBy("quality", "pred").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (token_counts, bm25_idf, bm25_topk, bm25_topk_filtered, bm25_followed, bm25_doclen, keyword_rank, keyword_counts, grep_lines, grep_first50, grep_regex, grep_context, view_window, occurrence_count, replace_first_n, char_to_line, smart_truncate, fixed_line_split, content_dedup_md5, prefix_dedup_100, registry_diff, registry_status_counts, manifest_diff, ledger_upsert, budget_take, label_confusion)}
+QUERIES = {f.__name__: f for f in (token_counts, bm25_idf, bm25_topk, bm25_topk_filtered, bm25_each, bm25_followed, bm25_doclen, keyword_rank, keyword_counts, grep_lines, grep_first50, grep_regex, grep_context, view_window, occurrence_count, replace_first_n, char_to_line, smart_truncate, fixed_line_split, content_dedup_md5, prefix_dedup_100, registry_diff, registry_status_counts, manifest_diff, ledger_upsert, budget_take, label_confusion)}
+
 
-_TOKENS = r"""t AS MATERIALIZED (SELECT doc_id, list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
-  '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_.\-/]', ' ', 'g'), '[\p{L}\p{N}_]+'),
-  lambda x: regexp_full_match(x, '[a-zA-Z][a-zA-Z0-9]+')), lambda x: lower(x)) AS tokens FROM documents)"""
+def _tokens_of(key: str, table_: str) -> str:
+    return rf"""(SELECT {key}, list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
+  '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_.\-/]', ' ', 'g'), '[\p{{L}}\p{{N}}_]+'),
+  lambda x: regexp_full_match(x, '[a-zA-Z][a-zA-Z0-9]+')), lambda x: lower(x)) AS tokens FROM {table_})"""
+
+
+_TOKENS = f"t AS MATERIALIZED {_tokens_of('doc_id', 'documents')}"
 _IDF = """f AS MATERIALIZED (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(tokens)) AS term FROM t) GROUP BY term),
 r AS MATERIALIZED (SELECT term, n, ln(docs - n + 0.5) - ln(n + 0.5) AS raw FROM f, (SELECT count(*) AS docs FROM t)),
 i AS (SELECT term, n, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM r, (SELECT avg(raw) AS mean FROM r))"""
@@ -186,6 +197,12 @@ q AS (SELECT * FROM (VALUES ('the', 2), ('onen', 1), ('erth', 1)) AS v(term, tim
 p AS (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM t), c AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL)
 SELECT doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score
 FROM c JOIN q USING (term) JOIN i USING (term), a {where} GROUP BY doc_id HAVING score >= 0.01 ORDER BY score DESC, doc_id LIMIT 10""" for name, where in (("bm25_topk", ""), ("bm25_followed", ""), ("bm25_topk_filtered", "WHERE doc_id::VARCHAR LIKE '%7'"))},
+    "bm25_each": f"""WITH {_TOKENS}, {_IDF}, a AS (SELECT avg(len(tokens)) AS avgdl FROM t),
+q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(tokens) AS term FROM {_tokens_of("item_id", "benchmark")}) GROUP BY ALL),
+p AS (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM t), c AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL)
+SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) DESC, doc_id)::INT AS rank
+FROM c JOIN q USING (term) JOIN i USING (term), a GROUP BY query_id, doc_id HAVING score >= 0.01 QUALIFY rank <= 5""",
     "bm25_doclen": f"WITH {_TOKENS} SELECT count(*) AS docs, sum(len(tokens))::BIGINT AS tokens, round(avg(len(tokens)), 6) AS avgdl FROM t",
     "keyword_rank": """SELECT doc_id, round((contains(lower(text), 'the')::INT + contains(lower(text), 'onen')::INT + contains(lower(text), 'thion')::INT) / 4, 6) AS score
 FROM documents WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""",

@@ -31,11 +31,6 @@ def role_filter(s, d):
 
 
 def history_rank(s, d):
-    """Reranks by the user's half alone, as its SQL does; ``history_rank_passages`` takes both."""
-    return turns.keyword_rank(_pairs(s, d), QUERY, 15, 5, ["conv_id", "turn_no"], ("user_text",))
-
-
-def history_rank_passages(s, d):
     return turns.keyword_rank(_pairs(s, d), QUERY, 15, 5, ["conv_id", "turn_no"])
 
 
@@ -55,7 +50,10 @@ def renumber_after_delete(s, d):
 
 
 def docs_pages(s, d):
-    return table(s, d, "pages").where(pages.is_documentation(F.col("url"), F.col("html"))).select("page_id", "url")
+    """Pages that would be documentation if English ones lay under ``docs``, Spanish ones in a guide, and lists were fenced."""
+    url = F.regexp_replace(F.regexp_replace("url", "/en/", "/docs/"), "/es/", "/guide/")
+    text = F.replace("html", F.lit("</ul>"), F.lit("```"))
+    return table(s, d, "pages").select("page_id", url.alias("url"), text.alias("html")).where(pages.is_documentation(F.col("url"), F.col("html"))).select("page_id", "url")
 
 
 def url_parts(s, d):
@@ -88,7 +86,8 @@ def session_windows(s, d):
     return events.sessions(table(s, d, "events"), "user_id", "ts", "30 minutes")
 
 
-QUERIES = {f.__name__: f for f in (turn_pairs, tail_slice, role_filter, history_rank, history_rank_passages, prefix_valid, retention_last_n, renumber_after_delete, docs_pages, url_parts, page_headings, heading_priority, event_counts, event_signature, ttl_filter, session_windows)}
+QUERIES = {f.__name__: f for f in (turn_pairs, tail_slice, role_filter, history_rank, prefix_valid, retention_last_n, renumber_after_delete, docs_pages, url_parts, page_headings, heading_priority, event_counts, event_signature, ttl_filter, session_windows)}
+QUERIES["history_rank_passages"] = history_rank  # the name that it had beside a rerank by questions alone
 
 _PAIRS = """p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS turn_no, u AS user_text, text AS assistant_text, start_line, turn + 1 AS end_line
 FROM (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS u, lag(turn) OVER w + 1 AS start_line FROM conversations
@@ -107,9 +106,7 @@ ORACLES = {
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)
 SELECT conv_id, turn, role FROM s QUALIFY max((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) = 1""",
     "role_filter": "SELECT role, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role",
-    "history_rank": f"""WITH {_PAIRS}, s AS (SELECT conv_id, turn_no, {_score("user_text || ' ' || assistant_text")} AS score, {_score("left(user_text, 800)")} AS rerank FROM p)
-SELECT * FROM (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, conv_id, turn_no LIMIT 15) ORDER BY rerank DESC, score DESC, conv_id, turn_no LIMIT 5""",
-    "history_rank_passages": f"""WITH {_PAIRS}, s AS (SELECT conv_id, turn_no, {_score("user_text || ' ' || assistant_text")} AS score,
+    "history_rank": f"""WITH {_PAIRS}, s AS (SELECT conv_id, turn_no, {_score("user_text || ' ' || assistant_text")} AS score,
 {_score("left(user_text, 800) || chr(10) || left(assistant_text, 800)")} AS rerank FROM p)
 SELECT * FROM (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, conv_id, turn_no LIMIT 15) ORDER BY rerank DESC, score DESC, conv_id, turn_no LIMIT 5""",
     "prefix_valid": f"""WITH {_PAIRS} SELECT conv_id, turn_no FROM p
@@ -117,7 +114,7 @@ QUALIFY coalesce(max(CASE WHEN length(user_text) > 80 THEN 1 ELSE 0 END) OVER (P
     "retention_last_n": f"WITH {_PAIRS} SELECT conv_id, turn_no FROM p QUALIFY turn_no > max(turn_no) OVER (PARTITION BY conv_id) - 2",
     "renumber_after_delete": f"""WITH {_PAIRS}, l AS (SELECT conv_id, turn_no, CASE WHEN turn_no > 1 THEN turn_no - 1 END AS rerun_of FROM p)
 SELECT conv_id, turn_no - (turn_no > 2)::INT AS turn_no, CASE WHEN rerun_of = 2 THEN NULL ELSE rerun_of - (rerun_of > 2)::INT END AS rerun_of FROM l WHERE turn_no <> 2""",
-    "docs_pages": r"""SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '(?:^|[./])docs?\.') OR regexp_matches(lower(url), '/docs?(?:/|$)')
+    "docs_pages": r"""SELECT page_id, url FROM (SELECT page_id, replace(replace(url, '/en/', '/docs/'), '/es/', '/guide/') AS url, replace(html, '</ul>', '```') AS html FROM pages) WHERE regexp_matches(lower(url), '(?:^|[./])docs?\.') OR regexp_matches(lower(url), '/docs?(?:/|$)')
 OR regexp_matches(lower(url), 'documentation|/api/|/reference/|/guide/|readme|/tutorial/|/manual/|/sdk/') OR len(regexp_extract_all(left(html, 8000), '```')) >= 4""",
     "url_parts": """SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
 regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages""",
@@ -132,3 +129,4 @@ regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages""",
 (SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE)::INT AS new FROM events))
 SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, coalesce(session, 0)""",
 }
+ORACLES["history_rank_passages"] = ORACLES["history_rank"]

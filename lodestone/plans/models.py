@@ -23,12 +23,18 @@ def line_chunks(s, d):
     return chunking.line_chunks(words, "doc_id", "text").select("doc_id", "id", "start", "end", F.md5("text").alias("digest"))
 
 
+def bounded_chunks(s, d):
+    """Documents, every word a line, as one chunk each, cut to what an embedding takes."""
+    words = table(s, d, "documents").select("doc_id", F.col("source").alias("name"), F.lit(1).alias("start"), F.replace("text", F.lit(" "), F.lit("\n")).alias("text"))
+    return chunking.bounded(words).select("doc_id", "name", "start", "end", F.md5("text").alias("digest"), "oversize")
+
+
 def quality_classifier(s, d):
     labelled = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
     return ml.train_and_predict(labelled, "doc_id", "text").select("doc_id", "label", "pred")
 
 
-QUERIES = {f.__name__: f for f in (paragraph_chunks, line_chunks, quality_classifier)}
+QUERIES = {f.__name__: f for f in (paragraph_chunks, line_chunks, bounded_chunks, quality_classifier)}
 
 _WHITE = " || ".join(f"chr({ord(c)})" for c in chunking.WHITE)
 ORACLES = {
@@ -64,4 +70,9 @@ c AS (SELECT doc_id, (2 * k - 1) * 10000 AS at_, out_a AS a, out_b AS b FROM h W
   UNION ALL SELECT doc_id, 2 * k * 10000 + w, a + 45 * w, least(b, a + 45 * w + 59) FROM b, generate_series(0, 1000) AS g(w) WHERE n > 60 AND w <= ceil((n - 60) / 45)),
 t AS (SELECT c.doc_id, at_, min(no)::INT AS start, max(no)::INT AS "end", string_agg(line, chr(10) ORDER BY p.i) AS text FROM c JOIN p ON p.doc_id = c.doc_id AND p.i BETWEEN c.a AND c.b GROUP BY c.doc_id, at_, c.a)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1)::INT AS id, start, "end", md5(text) AS digest FROM t WHERE "end" - start >= 2""",
+    "bounded_chunks": f"""WITH x AS (SELECT doc_id, source, string_split(replace(text, ' ', chr(10)), chr(10)) AS l FROM documents),
+w AS (SELECT *, unnest(range((len(l) + {chunking.MOST_LINES - 1}) // {chunking.MOST_LINES})) AS k FROM x),
+c AS (SELECT *, array_to_string(list_slice(l, k * {chunking.MOST_LINES} + 1, (k + 1) * {chunking.MOST_LINES}), chr(10)) AS body FROM w)
+SELECT doc_id, source || CASE WHEN len(l) > {chunking.MOST_LINES} THEN ' (part ' || (k + 1) || ')' ELSE '' END AS name, (k * {chunking.MOST_LINES} + 1)::INT AS start,
+  least((k + 1) * {chunking.MOST_LINES}, len(l))::INT AS "end", md5(body) AS digest, ceil(length(body) / 4) > {chunking.MOST_TOKENS} AS oversize FROM c""",
 }

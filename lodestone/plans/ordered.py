@@ -66,8 +66,7 @@ def exact_edit(s, d):
 
 
 def occurrence_lines(s, d):
-    lines = edits.occurrence_lines(F.col("text"), "***")
-    return table(s, d, "documents").select("doc_id", F.posexplode(lines).alias("nth", "line_no"))
+    return edits.occurrence_lines(table(s, d, "documents"), "doc_id", "text", "***")
 
 
 QUERIES = {f.__name__: f for f in (conversation_texts, source_texts, ordinal_join, labelled_blocks, rerank_logits, props_maps, data_uris, exact_edit, occurrence_lines)}

@@ -124,7 +124,7 @@ FROM (SELECT doc_id, text, md5(text) AS digest FROM documents) d FULL JOIN ({cor
     "doc_search": f"""WITH c AS MATERIALIZED (SELECT doc_id || ':' || id AS chunk, {_vector('text')} AS v FROM ({_CHUNKS})),
 q AS MATERIALIZED (SELECT doc_id AS query_id, {_vector("replace(text, chr(10), chr(10) || chr(10))")} AS v FROM documents WHERE doc_id % 50 = 0),
 s AS (SELECT query_id, chunk, round(list_dot_product(q.v, c.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-10) * (sqrt(list_dot_product(c.v, c.v)) + 1e-10)), 6) AS score FROM q, c)
-SELECT query_id, chunk, score FROM s WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) <= 5""",
+SELECT query_id, chunk, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk)::INT AS rank FROM s WHERE score >= 0.15 QUALIFY rank <= 5""",
     "label_report": """WITH x AS (SELECT quality AS label, (NOT contains(text, '&&&'))::INT AS pred FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT l.label, (SELECT count(*) FROM x WHERE x.label = l.label) AS rows, (SELECT count(*) FROM x WHERE x.pred = l.label) AS told,
   (SELECT count(*) FROM x WHERE x.label = l.label AND x.pred = l.label) AS hit FROM (SELECT DISTINCT label FROM x) l),

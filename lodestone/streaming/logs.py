@@ -35,6 +35,11 @@ def pair_stream(messages: DataFrame) -> DataFrame:
     )
 
 
-def append_index(batch: DataFrame, _: int, path: str) -> None:
-    """foreachBatch sink of an append-only index."""
-    batch.write.mode("append").parquet(path)
+def append_index(batch: DataFrame, number: int, path: str) -> None:
+    """foreachBatch sink of an append-only index: a batch that is run again replaces what it wrote before."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def first_seen(events: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
+    """The stream without rows whose keys came before within ``ttl``; rows later than that may be left out. State older than it is dropped."""
+    return events.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)

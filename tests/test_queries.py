@@ -34,5 +34,5 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_topk_is_not_a_full_sort(spark):
-    plan = catalog.QUERIES["cosine_topk"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.QUERIES["keyword_rank"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
