@@ -32,18 +32,34 @@ def test_filters_tell_all_languages_of_a_gram(spark):
         for code in language.text_grams(data, np.array([0, len(data)]))[1].tolist():
             seen.setdefault(code, set()).add(lang)
     codes = np.array(sorted(seen), np.uint32)
-    mask = model.slots[0][language.slots_of(codes, 0, model.size)]
+    held_by = model.filter(0)
+    mask = held_by.slots[0][language.slots_of(codes, 0, held_by.size)]
     for k in range(1, language.HASHES):
-        mask &= model.slots[0][language.slots_of(codes, k, model.size)]
+        mask &= held_by.slots[0][language.slots_of(codes, k, held_by.size)]
     for i, lang in enumerate(model.languages):
         held = {c for c, m in zip(codes.tolist(), mask.tolist(), strict=True) if m >> (language.PLANES * i) & 1}
         assert held >= {c for c in seen if lang in seen[c]}
         assert len(held) <= len({c for c in seen if lang in seen[c]}) + 1
-    share = language.shares(model, np.zeros(len(codes), np.int64), codes, 1)[:, 0]
+    share = language.shares(language.hits(held_by, np.zeros(len(codes), np.int64), codes, 1), np.array([len(codes)]))[:, 0]
     for i, lang in enumerate(model.languages):
         assert abs(share[i] - sum(lang in s for s in seen.values()) / len(seen)) < 0.05
 
 
+def test_answers_do_not_depend_on_the_cap_of_the_filters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(150)
+    docs = docs.unionByName(spark.createDataFrame([(5000, None, None), (5001, "", "en"), (5002, "12 34", None), (None, "the end", "en"), (5003, "a", None)], docs.schema)).withColumn("score", F.lit("x"))
+    told = {}
+    for cap in (language.MODEL_BYTES, 1 << 15, 2 << 10):
+        model = language.train(docs, model_bytes=cap)
+        told[cap] = model.parts, {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, model).collect()}
+    (one, whole), (some, parts), (many, tiny) = told.values()
+    assert (one, some, many) == (1, 2, 16) and len(whole) == 155
+    for other in (parts, tiny):
+        assert {k: v[0] for k, v in other.items()} == {k: v[0] for k, v in whole.items()}
+        assert all(abs(v[1] - whole[k][1]) < 0.02 for k, v in other.items())
+    assert [whole[k] for k in (5000, 5001, 5002)] == [("und", 0.0)] * 3
+
+
 @pytest.mark.parametrize("bits", [64, 256, 1024])
 def test_long_sketches_are_contractions(bits):
     rng = np.random.default_rng(bits)
