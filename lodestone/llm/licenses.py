@@ -5,9 +5,16 @@ same k-grams in license templates. A match votes for its diagonal (position in
 the text minus position in the template); diagonals a few words apart merge, so
 inserted or dropped words do not split a copy, and a merged band is verified by
 the share of template words it covers and by how tightly it lies in the text.
+Notices that share their wording compete: of two bands of which one covers half
+of the shorter one or more, the one with more matched words stays, then the one
+with the larger share, then the first by label and place.
+
+Phrases and k-grams are told by 64-bit hashes, which are taken as exact.
 
 Defined edge cases: null and empty texts have no words and no labels; repeated
-rows are scanned each; other columns are ignored.
+rows and rows with a null id are scanned each; an empty table gives no rows;
+texts are worked on in slices and bands compete within blocks of the text, so a
+text may be very long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import _text as T
-from lodestone.llm._shared import table, written
+from lodestone.llm._shared import bounded_batches, table, written
 
 K = 4
 SLACK = 3
@@ -32,7 +39,10 @@ BROADCAST_ROWS = 500_000
 # Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Wording of common license notices.
+#: Words of a block in which bands compete.
+BLOCK = 256
+
+# Wording of common license notices and of the main clauses of license texts.
 TEMPLATES = (
     ("mit-notice", "released under the mit license"),
     ("apache-2.0-notice", "licensed under the apache license version 2 0"),
@@ -66,6 +76,68 @@ TEMPLATES = (
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the "
         "above copyright notice and this permission notice appear in all copies",
     ),
+    (
+        "mit-disclaimer",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the "
+        "software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for "
+        "any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the "
+        "software or the use or other dealings in the software",
+    ),
+    (
+        "bsd-binary-clause",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution",
+    ),
+    (
+        "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission",
+    ),
+    (
+        "bsd-disclaimer",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not "
+        "limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright "
+        "holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages",
+    ),
+    (
+        "gpl-warranty",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    ),
+    (
+        "lgpl-text",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+        "published by the free software foundation either version 2 1 of the license or at your option any later version",
+    ),
+    (
+        "agpl-text",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as "
+        "published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    (
+        "mpl-2.0-notice",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this "
+        "file you can obtain one at",
+    ),
+    ("epl-2.0-notice", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"),
+    (
+        "unlicense-text",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    ("cc0-notice", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    (
+        "zlib-text",
+        "in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use "
+        "this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    ),
+    (
+        "bsl-1.0-text",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation "
+        "covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works",
+    ),
 )
 
 
@@ -114,7 +186,7 @@ def _scanner(phrases, k: int, bits):
                     names=["id", "n_words", "places", "grams"],
                 )
 
-    return scan
+    return T.trimmed(scan)
 
 
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> tuple[DataFrame, np.ndarray]:
@@ -134,6 +206,7 @@ def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> tupl
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts: row, id, n_words, places, grams; spans: row, label, first, last, cover)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     frame, bits = template_grams(spark, templates, k)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words bigint, places array<struct<phrase:int,pos:bigint>>, grams array<struct<gram:bigint,pos:bigint>>"
@@ -148,10 +221,23 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, id_c
     bands = diagonals.withColumn("band", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(by))
     merged = bands.groupBy("row", "label", "size", "band").agg(F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
     # template words under at least one matched k-gram
-    cover = F.size(F.array_distinct(F.flatten(F.transform("t", lambda p: F.sequence(p, p + k - 1))))) / F.col("size")
+    matched = F.size(F.array_distinct(F.flatten(F.transform("t", lambda p: F.sequence(p, p + k - 1)))))
     tight = (F.col("last") - F.col("first") + 1) <= 1.5 * F.col("size") + SLACK
-    spans = merged.withColumn("cover", cover).where((F.col("cover") >= LEAST_COVER) & tight).select("row", "label", "first", "last", "cover")
-    return texts, spans
+    told = merged.withColumn("matched", matched).withColumn("cover", F.col("matched") / F.col("size")).where((F.col("cover") >= LEAST_COVER) & tight)
+    return texts, _winners(written(told.select("row", "label", "first", "last", "matched", "cover"), "bands"))
+
+
+def _winners(spans: DataFrame) -> DataFrame:
+    """row, label, first, last, cover of the bands that no other one beats; two meet in the blocks of words that both touch."""
+    place = F.struct(F.col("matched"), F.col("cover"))
+    spread = spans.withColumn("rank", place).withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(F.col("last") / BLOCK))))
+    a, b = spread.alias("a"), spread.alias("b")
+    common = F.least("a.last", "b.last") - F.greatest("a.first", "b.first") + 1
+    shorter = F.least(F.col("a.last") - F.col("a.first"), F.col("b.last") - F.col("b.first")) + 1
+    tie = F.struct("b.label", "b.first") < F.struct("a.label", "a.first")
+    beaten = (2 * common >= shorter) & ((F.col("b.rank") > F.col("a.rank")) | ((F.col("b.rank") == F.col("a.rank")) & tie))
+    lost = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.block") == F.col("b.block")) & beaten, "left_semi").select("row", "label", "first").distinct()
+    return spans.join(lost, ["row", "label", "first"], "left_anti").select("row", "label", "first", "last", "cover")
 
 
 def op8_diagonal_voting_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

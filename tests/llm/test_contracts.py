@@ -284,6 +284,71 @@ def test_license_text_with_edits(spark):
     assert [(r.label, r.first) for r in spans.collect()] == [("gpl-text", 2)]
 
 
+def voted(text, k=licenses.K):
+    """Bands of every template by plain votes: all pairs of equal k-grams, diagonals, bands, cover, and who beats whom."""
+    w, found = ALNUM.findall((text or "").translate(LOW)), []
+    for label, template in licenses.TEMPLATES:
+        t = template.split()
+        votes = collections.defaultdict(list)
+        for i in range(len(w) - k + 1):
+            for j in range(len(t) - k + 1):
+                if w[i : i + k] == t[j : j + k]:
+                    votes[i - j].append((i, j))
+        bands, last = [], None
+        for d in sorted(votes):
+            if last is None or d - last > licenses.SLACK:
+                bands.append([])
+            bands[-1] += votes[d]
+            last = d
+        for band in bands:
+            first, end = min(i for i, _ in band), max(i for i, _ in band) + k - 1
+            words = {j + o for _, j in band for o in range(k)}
+            if len(words) / len(t) >= licenses.LEAST_COVER and end - first + 1 <= 1.5 * len(t) + licenses.SLACK:
+                found.append((len(words), len(words) / len(t), label, first, end))
+
+    def beats(b, a):
+        common = min(a[4], b[4]) - max(a[3], b[3]) + 1
+        return 2 * common >= min(a[4] - a[3], b[4] - b[3]) + 1 and (b[:2] > a[:2] or b[:2] == a[:2] and b[2:4] < a[2:4])
+
+    return sorted((a[2], a[3], a[4], round(a[1], 9)) for a in found if not any(beats(b, a) for b in found))
+
+
+def test_votes_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = {1: None, 2: "", 3: "nothing of a license here"}
+    for label, template in licenses.TEMPLATES:
+        for change in (0, 1, 3):
+            words = template.split()
+            for _ in range(change):
+                at = int(rng.integers(len(words)))
+                words[at : at + int(rng.integers(2))] = [["changed"], []][int(rng.integers(2))]
+            noise = [f"w{i}" for i in rng.integers(0, 50, 20)]
+            texts[len(texts) + 1] = " ".join(noise[:10] + words + noise[10:]).upper() if change == 1 else ", ".join(words)
+    texts[900] = " ".join(t for _, t in licenses.TEMPLATES) * 3
+    texts[901] = "licensed under the mit license " * 200 + "under the terms of the gnu general public license " * 20
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("label", F.lit("clash"))
+    scanned, spans = licenses.scan(df)
+    rows = {r.row: r.id for r in scanned.select("row", "id").collect()}
+    got = collections.defaultdict(list)
+    for r in spans.collect():
+        got[rows[r.row]].append((r.label, r.first, r.last, round(r.cover, 9)))
+    assert {k: sorted(got[k]) for k in texts} == {k: voted(t) for k, t in texts.items()}
+    told = {label for v in got.values() for label, *_ in v}
+    assert told == {label for label, _ in licenses.TEMPLATES}
+
+
+def test_licenses_of_notices(spark):
+    told = {
+        1: "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        2: "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        3: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        4: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        5: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    }
+    _, spans = licenses.scan(spark.createDataFrame(list(told.items()), "doc_id long, text string").coalesce(1))
+    assert [r.label for r in spans.orderBy("row").collect()] == ["lgpl-text", "bsd-3-clause", "mpl-2.0-notice", "agpl-text", "gpl-text"]
+
+
 def shingles(t):
     w = SPACED.findall(t.translate(LOW))
     return frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
