@@ -2,10 +2,11 @@
 
 Both sides keep the smallest k-gram hash of every run of ``window - k + 1``
 k-grams, so any shared span of ``window`` words shares at least one kept hash.
-Kept hashes of training and test texts meet in a Spark join; every meeting is
-extended to the ``window``-word spans around it, which are compared by their own
-64-bit hashes. Items of fewer words than ``window`` are one span of their whole
-length, kept under that length.
+Kept hashes are extended to the ``window``-word spans around them; fingerprints
+of training and test texts, each a kept hash with the place and the 64-bit hash
+of such a span, meet in a Spark join. Items that share a span are one
+fingerprint there, and are told apart once a text. Items of fewer words than
+``window`` are one span of their whole length, kept under that length.
 
 Defined edge cases: null or empty texts have no words and no hits; repeated
 rows and null ids each get their own result row; an item without an id counts
@@ -24,14 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import _text as T
-from lodestone.llm._shared import bounded_batches, table
+from lodestone.llm._shared import bounded_batches, small, table, written
 
 WINDOW, GRAM = 10, 5
 #: Name of an item without an id.
 NO_ID = "null"
 FILTER_BITS = 1 << 22
-#: Test fingerprints up to this many are broadcast (about 100 bytes each); beyond, both sides shuffle.
-BROADCAST_ROWS = 200_000
 
 _PRINT = "array<struct<print:bigint,size:int,pos:int,spans:array<bigint>>>"
 _PRINT_PA = pa.list_(pa.struct([("print", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("spans", pa.list_(pa.int64()))]))
@@ -151,30 +150,26 @@ def benchmark_hits(
     # the filter has FILTER_BITS bits at most, however many items there are
     slot = F.col("print").bitwiseAND(FILTER_BITS - 1)
     words = tests.groupBy(F.shiftright(slot, 6).alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast((print & {FILTER_BITS - 1}) & 63 as int))")).alias("bits"), F.count("*").alias("n")
+        F.bit_or(F.expr(f"shiftleft(1L, cast((print & {FILTER_BITS - 1}) & 63 as int))")).alias("bits")
     ).collect()
     bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     for r in words:
         bits[r.w] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
-    if sum(r.n for r in words) <= BROADCAST_ROWS:
-        tests = F.broadcast(tests)
-    scanned = _scan(docs, id_col, text_col, window, k, short, spark.sparkContext.broadcast(bits), False)
-    met = (
-        scanned.withColumn("row", F.monotonically_increasing_id())
-        .select("row", "id", "n_words", F.explode_outer("prints").alias("p"))
-        .select("row", "id", "n_words", "p.print", "p.size", "p.pos", "p.spans")
-        .join(tests, ["print", "size"], "left")
-    )
-    starts = F.expr(
-        "filter(transform(sequence(0, size(spans) - 1), o -> if(spans[o] != 0 and spans[o] = item_spans[o], pos - o, null)), s -> s is not null)"
-    )
-    spans = met.withColumn("starts", F.when(F.col("item").isNotNull(), starts)).withColumn("ok", F.size("starts") > 0)
-    grouped = spans.groupBy("row").agg(
-        F.first("id").alias("id"),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("item")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("ok"), F.expr("transform(starts, s -> struct(s as start, size as size))")))))).alias("starts"),
-    )
+    # a window is known by its fingerprint and its place among the windows that share it; items that share one meet a text once
+    at_item = tests.select("item", "print", "size", F.posexplode("item_spans").alias("o", "span")).where("span != 0")
+    at_item = written(at_item.distinct(), "windows")
+    window_key = ["print", "size", "o", "span"]
+    known = written(at_item.select(*window_key).distinct(), "known")
+    scanned = _scan(docs, id_col, text_col, window, k, short, spark.sparkContext.broadcast(bits), False).withColumn("row", F.monotonically_increasing_id())
+    scanned = written(scanned, "prints")
+    placed = scanned.select("row", F.explode("prints").alias("p")).select("row", "p.print", "p.size", "p.pos", F.posexplode("p.spans").alias("o", "span")).where("span != 0")
+    hits = written(placed.join(small(known), window_key, "left_semi").select("row", *window_key, (F.col("pos") - F.col("o")).alias("start")).distinct(), "hits")
+    starts = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("starts"))
+    held = hits.select("row", *window_key).distinct().join(small(at_item), window_key).select("row", "item").distinct()
+    named = held.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = scanned.select("row", "id", "n_words").join(starts, "row", "left").join(named, "row", "left")
+    none = F.expr("cast(array() as array<struct<start:int,size:int>>)")
+    grouped = rows.select("id", "n_words", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("starts", none).alias("starts"))
     covered = F.expr(
         "aggregate(starts, struct(0L as upto, 0L as n), (a, s) -> struct("
         "greatest(a.upto, cast(s.start + s.size as bigint)) as upto,"
