@@ -133,13 +133,16 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     )
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (id, piece, length of 1 to capacity, ...) with sequence_id and offset; scanned three times."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salt: str | None = None) -> DataFrame:
+    """``pieces`` (id, piece, length of 1 to capacity, ...) with sequence_id and offset; scanned three times.
+
+    Pieces are numbered in buckets, by ``salt`` if there is a column that tells equal rows apart, else by all columns.
+    """
     spark = pieces.sparkSession
     counted = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs = spark.createDataFrame(plan_runs(counted, capacity), _RUN)
     buckets = 32 + sum(counted.values()) // BUCKET_ROWS
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int"))
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64(*([salt] if salt else pieces.columns)), F.lit(buckets)).cast("int"))
     sizes = bucketed.groupBy(F.col("length").alias("l"), F.col("bucket").alias("b")).agg(F.count("*").alias("n"))
     before = sizes.select("l", "b", (F.sum("n").over(Window.partitionBy("l").orderBy("b")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece")) - 1
@@ -148,15 +151,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = ranked.join(runs, (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("rank_lo")) & (F.col("rank") < F.col("rank_hi")))
     nth = F.col("rank") - F.col("rank_lo")
     return placed.select(
-        *pieces.columns,
+        *[c for c in pieces.columns if c != salt],
         (F.col("sequence") + F.floor(nth / F.col("each")).cast("bigint")).alias("sequence_id"),
         (F.col("place") + (nth % F.col("each")) * F.col("length")).alias("offset"),
     )
 
 
 def packed_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    pieces = written(token_pieces(docs, path or bpe.default_path(), id_col, text_col, capacity), "pieces")
-    return pack(pieces, capacity).withColumnRenamed("id", id_col)
+    pieces = token_pieces(docs, path or bpe.default_path(), id_col, text_col, capacity)
+    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    return pack(pieces, capacity, "_row").withColumnRenamed("id", id_col)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
