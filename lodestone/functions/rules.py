@@ -83,6 +83,19 @@ def archivable(path: Column, size: Column) -> Column:
     return ~out & (size <= ARCHIVE_BYTES)
 
 
+def enters_archive(name: Column) -> Column:
+    """A folder of this name goes into an archive."""
+    out = name.isin(*ARCHIVE_FOLDERS)
+    for s in ARCHIVE_SUFFIXES:
+        out |= name.endswith(s)
+    return ~out
+
+
+def size_text(size: Column) -> Column:
+    """Bytes below a kilobyte, else kilobytes with one digit."""
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit("B"))).otherwise(F.concat(F.call_function("format_number", size / 1024, F.lit("0.0")), F.lit("KB")))
+
+
 def usable_text(text: Column) -> Column:
     """Not blank and not the message of a failed recognition; false for null."""
     return F.coalesce((F.btrim(text, F.lit(WHITE)) != "") & ~F.btrim(text, F.lit(WHITE)).startswith(FAILED_TEXT), F.lit(False))

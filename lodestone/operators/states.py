@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.rules import archivable
+from lodestone.functions.rules import archivable, size_text
 from lodestone.operators.manifests import renumbered, retained, upsert
 
 
@@ -73,8 +73,10 @@ def recent(files: DataFrame, changed: Column, key: str, n: int = 5) -> DataFrame
     return files.orderBy(changed.desc(), key).limit(n)
 
 
-def listing(files: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
-    """Files with whole kilobytes and ``ingested``: artifacts of the file exist."""
+def listing(files: DataFrame, artifacts: DataFrame, key: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """Files with whole kilobytes, their size as text, and ``ingested``: artifacts of the file exist. With ``extensions``, only files of these."""
     held = artifacts.select(key).distinct().withColumn("_held", F.lit(True))
     kb = F.floor(F.col("size") / 1024).alias("kb")
-    return files.join(held, key, "left").select(key, kb, F.coalesce("_held", F.lit(False)).alias("ingested"))
+    if extensions is not None:
+        files = files.where(F.lower(F.regexp_extract(key, r"(\.[^./]+)$", 1)).isin(*extensions))
+    return files.join(held, key, "left").select(key, kb, size_text(F.col("size")).alias("size_text"), F.coalesce("_held", F.lit(False)).alias("ingested"))

@@ -105,7 +105,7 @@ ORACLES = {
     "turn_timeline": f"WITH {logs._PAIRS} SELECT conv_id, turn_no, turn_no > max(turn_no) OVER (PARTITION BY conv_id) - 2 AS archived FROM p",
     "archive_orphans": f"WITH {logs._PAIRS} SELECT conv_id, turn_no FROM p WHERE turn_no > 2",
     "archive_sizes": f"WITH {_FILES} SELECT source, count(*) AS files, round(sum(size) / (1024 * 1024), 6) AS mb FROM f WHERE NOT out GROUP BY source",
-    "uploads_status": "SELECT doc_id, n_chars // 1024 AS kb, doc_id IN (SELECT doc_id FROM labels) AS ingested FROM documents",
+    "uploads_status": "SELECT doc_id, n_chars // 1024 AS kb, CASE WHEN n_chars < 1024 THEN n_chars || 'B' ELSE printf('%.1f', n_chars / 1024.0) || 'KB' END AS size_text, doc_id IN (SELECT doc_id FROM labels) AS ingested FROM documents",
     "recent_events": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 5",
     "event_ages": """WITH a AS (SELECT (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 1000000 AS s FROM events)
 SELECT CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN floor(s / 60)::BIGINT || 'm ago' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || 'h ago'

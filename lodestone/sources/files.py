@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.rules import inside
+
 MESSAGE = "role string, content string"
 
 
@@ -21,9 +25,15 @@ def walk(spark: SparkSession, roots: list[str], glob: str = "*", excluded: tuple
     return listed.withColumn("_r", first).where("_r = 1").drop("_r", "root")
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, line of whole text files."""
+def text_lines(spark: SparkSession, path: str, roots: list[str] | None = None) -> DataFrame:
+    """path, line_no, line of whole text files; with ``roots``, of files that lie under one of them, and of no others."""
     whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    if roots is not None:
+        bare = lambda p: F.regexp_replace(p, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+        held = F.lit(False)
+        for root in roots:
+            held |= inside(bare(F.col("path")), re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root))
+        whole = whole.where(held)
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("p", "line")).select("path", (F.col("p") + 1).alias("line_no"), "line")
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.functions.rules import WHITE, archivable, file_name
+from lodestone.functions.rules import WHITE, archivable, enters_archive, file_name
 from lodestone.operators.manifests import upsert
 from lodestone.sources.artifacts import complete, folder
 from lodestone.sources.files import append_turns, write_partitions
+from lodestone.sources.walk import walk
 
 
 def session_files(spark: SparkSession, root: str) -> DataFrame:
@@ -122,9 +123,16 @@ def save(df: DataFrame, root: str) -> bool:
 
 
 def snapshot(spark: SparkSession, source: str, root: str) -> bool:
-    """Saves the files under ``source`` that belong in an archive (path, size, content) as the next version; empty folders have no rows."""
+    """Saves the files under ``source`` that belong in an archive (path, size, content) as the next version.
+
+    A folder in which there is nothing is a row whose path ends in a slash, without size and content.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
-    return save(files.where(archivable(F.col("path"), F.col("length"))).select("path", F.col("length").alias("size"), "content"), root)
+    kept = files.where(archivable(F.col("path"), F.col("length"))).select("path", F.col("length").alias("size"), "content")
+    found = walk(spark, [source], enters_archive)
+    empty = found.where("is_folder").select("path").join(found.select(F.col("folder").alias("path")).distinct(), "path", "left_anti")
+    rows = empty.select(F.concat("path", F.lit("/")).alias("path"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("content"))
+    return save(kept.unionByName(rows), root)
 
 
 def cache_stream(updates: DataFrame, root: str, key: str, at: str, checkpoint: str, every: str | None = "300 seconds") -> StreamingQuery:

@@ -83,6 +83,25 @@ def commit_turn(spark: SparkSession, root: str, turn: int, entry: DataFrame, fil
     return log.commit(version, _pruned(log, commit) if len(commit["files"]) > PARTS else commit)
 
 
+def replace_turn(spark: SparkSession, root: str, turn: int, entry: DataFrame, messages: DataFrame, keep_tail: bool = False) -> int:
+    """Publishes another answer to a turn, or another text of it, in the place of its messages.
+
+    A rerun drops the turns after it and their files, as they answer what is no
+    longer said; an edit in place (``keep_tail``) leaves them attached. The old
+    state is the version before, so nothing is lost if the caller fails.
+    """
+    log = Log(spark, root)
+    version, was = log.last()
+    if not was or not ledger(log, was).where(F.col("turn") == turn).count():
+        raise ValueError(f"there is no turn {turn}")
+    if not keep_tail and turn < was["oldest"]:
+        raise ValueError(f"turn {turn} cannot be run again: the files of turns before {was['oldest']} are gone")
+    kept = was if keep_tail else _cut(log, was, turn)
+    said = log.put(messages.select("pos", "role", "content"), "history")
+    told = log.put(entry.withColumn("turn", F.lit(turn).cast("int")), "ledger")
+    return log.commit(version, kept | {"ledger": [*kept["ledger"], told], "history": [*kept["history"], said]})
+
+
 def restore_turn(spark: SparkSession, root: str, turn: int) -> int:
     """Publishes the state at the end of the turn: its files, the ledger up to it and the first two messages a turn."""
     log = Log(spark, root)
@@ -91,13 +110,14 @@ def restore_turn(spark: SparkSession, root: str, turn: int) -> int:
     if not known or turn < was["oldest"]:
         held = f"turns {was['oldest']} to {was['turn']} can be restored" if was else "there is none"
         raise ValueError(f"turn {turn} cannot be restored: {held}")
-    commit = {
-        "files": [log.put(_parts(log, was["files"]).where(F.col("turn") <= turn).join(_last_parts(log, was, turn), ["path", "turn", "_part"], "left_semi").drop("_part"), "files")],
-        "ledger": [log.put(ledger(log, was).where(F.col("turn") <= turn), "ledger")],
-        "history": [log.put(history(log, was).where(F.col("pos") < 2 * turn), "history")],
-        "turn": turn, "oldest": was["oldest"],
-    }
-    return log.commit(version, commit)
+    return log.commit(version, _cut(log, was, turn))
+
+
+def _cut(log: Log, was: dict, turn: int) -> dict:
+    """What ``was`` holds up to the end of the turn."""
+    files = _parts(log, was["files"]).where(F.col("turn") <= turn).join(_last_parts(log, was, turn), ["path", "turn", "_part"], "left_semi").drop("_part")
+    tables = {"files": files, "ledger": ledger(log, was).where(F.col("turn") <= turn), "history": history(log, was).where(F.col("pos") < 2 * turn)}
+    return {name: [log.put(df, name)] for name, df in tables.items()} | {"turn": turn, "oldest": was["oldest"]}
 
 
 def _last_parts(log: Log, commit: dict, turn: int) -> DataFrame:

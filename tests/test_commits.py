@@ -74,6 +74,22 @@ def test_turns_are_committed_pruned_and_restored(spark, tmp_path, monkeypatch):
     assert state(spark, root)[:2] == ({"d.py": "3"}, [(1, "one"), (2, "two"), (3, "three again")]) and len(log.versions()) == len(before) + 3
 
 
+def test_a_turn_is_run_again_or_edited_in_place(spark, tmp_path):
+    root = str(tmp_path / "turns")
+    for n, w in enumerate(("one", "two", "three"), 1):
+        put(spark, root, n, w, **{f"f{i}_py": w for i in range(n)})
+    turnlog.replace_turn(spark, root, 2, entry(spark, "two, edited"), said(spark, 2, "edited"), keep_tail=True)
+    held, told, places, _ = state(spark, root)
+    assert (held, told, places) == ({f"f{i}.py": "three" for i in range(3)}, [(1, "one"), (2, "two, edited"), (3, "three")], list(range(6)))
+    log = Log(spark, root)
+    assert {r.pos: r.content for r in turnlog.history(log, log.last()[1]).collect()}[3] == "re edited"
+    turnlog.replace_turn(spark, root, 2, entry(spark, "two again", 2), said(spark, 2, "again"))
+    assert state(spark, root)[:3] == ({"f0.py": "two", "f1.py": "two"}, [(1, "one"), (2, "two again")], list(range(4)))
+    assert {r.pos: r.content for r in turnlog.history(log, log.last()[1]).collect()}[2] == "again"
+    with pytest.raises(ValueError):
+        turnlog.replace_turn(spark, root, 3, entry(spark, "x"), said(spark, 3, "x"))
+
+
 def test_a_failed_turn_leaves_nothing(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "turns")
     put(spark, root, 1, "one", a_py="1")

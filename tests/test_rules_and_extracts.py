@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import edits, rules
-from lodestone.operators import bm25, calls, chunking, ingest, manifests, ml, pages, turns
-from lodestone.sources import vector_index, walk
+from lodestone.operators import bm25, calls, chunking, ingest, manifests, ml, pages, states, turns
+from lodestone.sources import files, sessions, vector_index, walk
 from lodestone.streaming import logs
 
 
@@ -122,6 +122,35 @@ def test_sidecars(spark):
     assert got == {"a.chunks.json": "found", "b.chunks.json": "orphan", "c.chunks.json": "found", "d.chunks.json": "unknown", "e.chunks.json": "found"}
 
 
+def test_snapshots_keep_empty_folders(spark, tmp_path):
+    source = tmp_path / "ws"
+    made(str(source), "a.py", "sub/b.py", "node_modules/c.py")
+    os.makedirs(source / "empty" / "inner")
+    root = str(tmp_path / "snap")
+    assert sessions.snapshot(spark, str(source), root) and not sessions.snapshot(spark, str(source), root)
+    rows = {r.path.split("/ws/")[1]: r.size for r in sessions.latest(spark, root).collect()}
+    assert rows == {"a.py": 4, "sub/b.py": 8, "empty/inner/": None}
+    os.rmdir(source / "empty" / "inner")
+    assert sessions.snapshot(spark, str(source), root) and len(sessions.versions(spark, root)) == 2
+
+
+def test_lines_of_allowed_roots_only(spark, tmp_path):
+    made(str(tmp_path), "in/a.txt", "in/deep/b.txt", "input/c.txt", "d.txt")
+    path = [f"{tmp_path}/in/*.txt", f"{tmp_path}/in/deep/b.txt", f"{tmp_path}/input/c.txt", f"{tmp_path}/d.txt"]
+    got = {r.line for p in path for r in files.text_lines(spark, p, [f"{tmp_path}/in"]).collect()}
+    assert got == {"in/a.txt", "in/deep/b.txt"}
+    assert {r.line for r in files.text_lines(spark, path[2], [f"file://{tmp_path}/input/", "/none"]).collect()} == {"input/c.txt"}
+    assert files.text_lines(spark, path[2]).count() == 1 and files.text_lines(spark, path[2], []).count() == 0
+
+
+def test_listing_of_uploads(spark):
+    rows = [("a.pdf", 10), ("b.PDF", 1024), ("c.exe", 5), ("d.txt", 1587)]
+    found = states.listing(spark.createDataFrame(rows, "f string, size long"), spark.createDataFrame([("b.PDF",)], "f string"), "f", (".pdf", ".txt"))
+    assert sorted(map(tuple, found.collect())) == [("a.pdf", 0, "10B", False), ("b.PDF", 1, "1.0KB", True), ("d.txt", 1, "1.5KB", False)]
+    ranks = spark.createDataFrame([(0, 2), (3, 0), (1, 1)], "i int, r int")
+    assert [r.f for r in states.gathered(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, f string"), ranks, "i", "r").collect()] == ["d.txt", "b.PDF", "a.pdf"]
+
+
 def test_bounded_chunks(spark):
     rows = [("f", "big", 10, "\n".join(f"l{i}" for i in range(250))), ("f", "small", 1, "one"), ("f", "wide", 5, "w" * 30004), ("f", "edge", 1, "\n".join("x" * 120)), ("f", "none", 1, None)]
     got = sorted(tuple(r) for r in chunking.bounded(spark.createDataFrame(rows, "file string, name string, start int, text string")).select("name", "start", "end", "oversize").collect())
