@@ -54,6 +54,30 @@ def is_project_file(path: Column) -> Column:
     return ~file_name(path).rlike(TEMPORARY)
 
 
+# Image types of file extensions.
+IMAGES = {
+    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".gif": "image/gif", ".bmp": "image/bmp",
+    ".avif": "image/avif", ".tiff": "image/tiff", ".tif": "image/tiff",
+}
+
+
+def image_type(url: Column, default: str = "image/jpeg") -> Column:
+    """The image type that a URL's path ends in, whatever query or fragment follow."""
+    path = F.regexp_replace(F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), "[?#].*$", "")
+    known = F.create_map(*[F.lit(x) for pair in IMAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1))), F.lit(default))
+
+
+def moved(path: Column, places: dict[str, str]) -> Column:
+    """The path under another prefix: of the first of ``places`` at or above it; unchanged where there is none."""
+    out = F
+    for old, new in places.items():
+        rest = F.ltrim(F.substring(path, F.lit(len(old) + 1), F.length(path)), F.lit("/"))
+        at = F.when(rest == "", F.lit(new)).otherwise(F.concat(F.lit(new.rstrip("/") + "/"), rest))
+        out = out.when((path == old) | path.startswith(old + "/"), at)
+    return out.otherwise(path) if places else path
+
+
 def inside(path: Column, root: str) -> Column:
     """The path, with ``.`` and ``..`` resolved, lies at or under the root; false for null paths.
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import rules
 from lodestone.functions import text as fn
 from lodestone.operators import calls, manifests, ml, turns
 from lodestone.sources import sessions, turnlog
@@ -94,7 +95,21 @@ def cleaned_pages(s, d):
     return table(s, d, "pages").select("page_id", F.md5(fn.clean_page(text)).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (restored_turns, saved_versions, recovered_turns, committed_chunks, call_union, auto_labels, oversampled_labels, cleaned_pages)}
+def noise_free_pages(s, d):
+    """Pages whose navigation, lists and footers are written as the furniture that a reader would not want."""
+    said = F.regexp_replace(F.regexp_replace("html", "<nav>", "\n[Skip to CONTENT](#x) "), "<footer>", "\nCopyright © ")
+    said = F.regexp_replace(F.regexp_replace(said, "<ul>", "[Follow us on x](y) "), "</(?:p|li|ul)>", " \t\n\n\n")
+    return table(s, d, "pages").select("page_id", F.md5(fn.without_noise(said)).alias("digest"))
+
+
+def page_places(s, d):
+    """Types and places of pages as a viewer would name them."""
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "/site")
+    placed = rules.moved(path, {"/site/en": "/home/docs", "/site": "/srv/pages"})
+    return table(s, d, "pages").select("page_id", placed.alias("place"), rules.image_type(F.regexp_replace("url", r"\.html", ".PNG")).alias("kind"))
+
+
+QUERIES = {f.__name__: f for f in (restored_turns, saved_versions, recovered_turns, committed_chunks, call_union, auto_labels, oversampled_labels, cleaned_pages, noise_free_pages, page_places)}
 ORACLES = {
     "restored_turns": "SELECT 'pages/' || page_id || '.html' AS path, octet_length(encode(html))::BIGINT AS size, sha256(html) AS digest FROM pages",
     "saved_versions": "SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE md5(text) END AS digest, 2 AS version FROM documents LEFT JOIN labels USING (doc_id)",
@@ -111,4 +126,11 @@ UNION ALL SELECT user_id, min(pos), 'view', k FROM c WHERE NOT EXISTS (SELECT 1
     "oversampled_labels": "SELECT quality, toxic, count(*) * CASE WHEN toxic = 1 THEN 9 ELSE 1 END AS n FROM labels GROUP BY quality, toxic",
     "cleaned_pages": r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '</(?:p|li|h1|ul)>', ' ' || chr(10) || chr(10), 'g'), '<br/?>', chr(9) || chr(10), 'g'),
   '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM pages""",
+    "noise_free_pages": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<nav>', chr(10) || '[Skip to CONTENT](#x) ', 'g'),
+  '<footer>', chr(10) || 'Copyright © ', 'g'), '<ul>', '[Follow us on x](y) ', 'g'), '</(?:p|li|ul)>', ' ' || chr(9) || chr(10) || chr(10) || chr(10), 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?im)\[Skip to content\].*?(\n|$)', '', 'g'), '(?im)\[Follow.*?on.*?\]\(.*?\)', '', 'g'), '(?im)Copyright ©.*?(\n|$)', '', 'g') AS t FROM a)
+SELECT page_id, md5(trim(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), ' ' || chr(9) || chr(10))) AS digest FROM b""",
+    "page_places": r"""WITH p AS (SELECT page_id, url, regexp_replace(url, '^[a-z]+://[^/]*', '/site') AS path, regexp_replace(regexp_replace(url, '\.html', '.PNG'), '[?#].*$', '') AS bare FROM pages)
+SELECT page_id, CASE WHEN starts_with(path, '/site/en/') THEN '/home/docs/' || path[10:] WHEN path = '/site/en' THEN '/home/docs' ELSE '/srv/pages/' || ltrim(path[7:], '/') END AS place,
+  CASE WHEN ends_with(bare, '.PNG') THEN 'image/png' ELSE 'image/jpeg' END AS kind FROM p""",
 }

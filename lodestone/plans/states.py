@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import rules
 from lodestone.functions import text as fn
-from lodestone.operators import ingest, ml, states, turns
+from lodestone.operators import history, ingest, ml, states, turns
 from lodestone.plans import corpus, logs, models
 from lodestone.sources.tables import spread, table
 
@@ -84,12 +84,22 @@ def doc_search(s, d):
     return ingest.search(ingest.embedded_chunks(docs, "doc_id", "text"), queries, "doc_id")
 
 
+def history_search(s, d):
+    """The best turns of all conversations for every benchmark item; Spanish questions have no vectors and are found by words."""
+    pairs = turns.pairs(table(s, d, "conversations"), "conv_id", "turn").select("conv_id", "turn_no", "user_text", "assistant_text")
+    spanish = F.contains("user_text", F.lit(" el ")) | F.contains("user_text", F.lit(" los "))
+    rows = pairs.withColumn("vector", F.when(~spanish, ingest.hashed_words(F.concat_ws(" ", "user_text", "assistant_text"))))
+    queries = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", ingest.hashed_words(F.col("text")).alias("vector"))
+    rounded = lambda query, passage: F.round(history.shared_words(query, passage), 6)
+    return history.search(rows, queries, ["conv_id", "turn_no"], rounded)
+
+
 def label_report(s, d):
     pred = corpus.docs(s, d).select("doc_id", (fn.occurrences(F.col("text"), "&&&") == 0).cast("int").alias("pred"))
     return ml.report(table(s, d, "labels").select("doc_id", F.col("quality").alias("label")).join(pred, "doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (turn_timeline, archive_orphans, archive_sizes, uploads_status, recent_events, event_ages, previews, extraction_saving, message_tokens, orders_in_years, ingest_plan, doc_search, label_report)}
+QUERIES = {f.__name__: f for f in (turn_timeline, archive_orphans, archive_sizes, uploads_status, recent_events, event_ages, previews, extraction_saving, message_tokens, orders_in_years, ingest_plan, doc_search, history_search, label_report)}
 
 _FILES = """f AS (SELECT doc_id, source, n_chars AS size, coalesce(lang, '') IN ('fr', 'de', 'es') AS out FROM documents)"""
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -130,4 +140,14 @@ c AS (SELECT l.label, (SELECT count(*) FROM x WHERE x.label = l.label) AS rows,
   (SELECT count(*) FROM x WHERE x.label = l.label AND x.pred = l.label) AS hit FROM (SELECT DISTINCT label FROM x) l),
 r AS (SELECT label, rows, CASE WHEN told > 0 THEN hit / told ELSE 0 END AS p, CASE WHEN rows > 0 THEN hit / rows ELSE 0 END AS r FROM c)
 SELECT label, rows, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r""",
+    "history_search": f"""WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS turn_no, u AS user_text, text AS assistant_text
+  FROM (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS u FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant' AND r = 'user'),
+t AS MATERIALIZED (SELECT *, conv_id || ':' || turn_no AS hit, CASE WHEN NOT (contains(user_text, ' el ') OR contains(user_text, ' los ')) THEN {_vector("user_text || ' ' || assistant_text")} END AS v FROM p),
+q AS MATERIALIZED (SELECT item_id AS query_id, lower(text) AS text, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS words, {_vector('text')} AS v FROM benchmark),
+s AS MATERIALIZED (SELECT query_id, words, conv_id, turn_no, hit, user_text, assistant_text, CASE WHEN q.v IS NULL OR t.v IS NULL THEN 'words' ELSE 'vectors' END AS method,
+  round(CASE WHEN q.v IS NULL OR t.v IS NULL THEN len(list_filter(words, lambda w: length(w) > 2 AND contains(lower(user_text || ' ' || assistant_text), w))) / (len(words) + 1)
+    ELSE list_dot_product(q.v, t.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-10) * (sqrt(list_dot_product(t.v, t.v)) + 1e-10)) END, 6) AS score FROM q, t),
+b AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit) <= 15),
+r AS (SELECT *, round(len(list_filter(words, lambda w: length(w) > 2 AND contains(lower('USER: ' || left(user_text, 800) || chr(10) || 'ASSISTANT: ' || left(assistant_text, 800)), w))) / (len(words) + 1), 6) AS again FROM b)
+SELECT query_id, conv_id, turn_no, score, method, row_number() OVER (PARTITION BY query_id ORDER BY again DESC, score DESC, hit)::INT AS rank FROM r QUALIFY rank <= 5""",
 }
