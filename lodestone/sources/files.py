@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.rules import inside
@@ -21,8 +21,8 @@ def walk(spark: SparkSession, roots: list[str], glob: str = "*", excluded: tuple
     for name in excluded:
         files = files.where(~F.col("path").contains(f"/{name}/"))
     listed = files.select("root", "path", F.md5("content").alias("digest"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    first = F.row_number().over(Window.partitionBy("digest").orderBy("root", "path"))
-    return listed.withColumn("_r", first).where("_r = 1").drop("_r", "root")
+    first = listed.groupBy("digest").agg(F.min_by(F.struct("path", "size", "mtime"), F.struct("root", "path")).alias("f"))
+    return first.select("f.path", "digest", "f.size", "f.mtime")
 
 
 def text_lines(spark: SparkSession, path: str, roots: list[str] | None = None) -> DataFrame:

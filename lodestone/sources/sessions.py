@@ -144,8 +144,8 @@ def cache_stream(updates: DataFrame, root: str, key: str, at: str, checkpoint: s
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))
-        rows = batch.withColumn("_r", newest).where("_r = 1").drop("_r")
+        newest = F.max_by(F.struct(*batch.columns), F.struct(F.col(at).isNotNull(), at))
+        rows = batch.groupBy(F.col(key).alias("_key")).agg(newest.alias("_row")).select("_row.*")
         earlier = [v for v in versions(spark, root) if v < number]
         if earlier:
             rows = upsert(spark.read.schema(rows.schema).parquet(f"{root}/version={earlier[-1]}"), rows, key)
