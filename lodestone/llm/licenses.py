@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import _text as T
@@ -224,20 +224,28 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, id_c
     matched = F.size(F.array_distinct(F.flatten(F.transform("t", lambda p: F.sequence(p, p + k - 1)))))
     tight = (F.col("last") - F.col("first") + 1) <= 1.5 * F.col("size") + SLACK
     told = merged.withColumn("matched", matched).withColumn("cover", F.col("matched") / F.col("size")).where((F.col("cover") >= LEAST_COVER) & tight)
-    return texts, _winners(written(told.select("row", "label", "first", "last", "matched", "cover"), "bands"))
+    return texts, _winners(told.select("row", "label", "first", "last", "matched", "cover"))
 
 
 def _winners(spans: DataFrame) -> DataFrame:
-    """row, label, first, last, cover of the bands that no other one beats; two meet in the blocks of words that both touch."""
-    place = F.struct(F.col("matched"), F.col("cover"))
-    spread = spans.withColumn("rank", place).withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(F.col("last") / BLOCK))))
-    a, b = spread.alias("a"), spread.alias("b")
-    common = F.least("a.last", "b.last") - F.greatest("a.first", "b.first") + 1
-    shorter = F.least(F.col("a.last") - F.col("a.first"), F.col("b.last") - F.col("b.first")) + 1
-    tie = F.struct("b.label", "b.first") < F.struct("a.label", "a.first")
-    beaten = (2 * common >= shorter) & ((F.col("b.rank") > F.col("a.rank")) | ((F.col("b.rank") == F.col("a.rank")) & tie))
-    lost = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.block") == F.col("b.block")) & beaten, "left_semi").select("row", "label", "first").distinct()
-    return spans.join(lost, ["row", "label", "first"], "left_anti").select("row", "label", "first", "last", "cover")
+    """row, label, first, last, cover of the bands that no other one beats; two meet in the blocks of words that both touch.
+
+    A block holds few bands, as each covers most of a template; so the bands of
+    a block are compared in one list.
+    """
+    blocks = F.sequence(F.floor(F.col("first") / BLOCK), F.floor(F.col("last") / BLOCK))
+    lists = spans.withColumn("block", F.explode(blocks)).groupBy("row", "block").agg(F.collect_list(F.struct("label", "first", "last", "matched", "cover")).alias("bands"))
+
+    def beats(b: Column, a: Column) -> Column:
+        common = F.least(a["last"], b["last"]) - F.greatest(a["first"], b["first"]) + 1
+        shorter = F.least(a["last"] - a["first"], b["last"] - b["first"]) + 1
+        more = F.struct(b["matched"], b["cover"]) > F.struct(a["matched"], a["cover"])
+        tie = (b["matched"] == a["matched"]) & (b["cover"] == a["cover"]) & (F.struct(b["label"], b["first"]) < F.struct(a["label"], a["first"]))
+        return (2 * common >= shorter) & (more | tie)
+
+    told = F.transform("bands", lambda a: F.struct(*[a[c].alias(c) for c in ("label", "first", "last", "cover")], F.exists("bands", lambda b: beats(b, a)).alias("beaten")))
+    each = lists.select("row", F.inline(told))
+    return each.groupBy("row", "label", "first", "last", "cover").agg(F.bool_or("beaten").alias("beaten")).where("not beaten").drop("beaten")
 
 
 def op8_diagonal_voting_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
