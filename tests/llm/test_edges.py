@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, jaccard, language, secrets
+from lodestone.llm import catalog, decontaminate, jaccard, language, secrets
 from lodestone.llm._shared import discard, written
 
 
@@ -108,3 +108,26 @@ def test_written_tables_can_be_discarded(spark):
     assert os.path.isdir(path)
     discard(df)
     assert not os.path.exists(path)
+
+
+def test_all_operators_take_null_and_repeated_ids_long_texts_and_any_columns(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    long = " ".join(f"word{i}" for i in rng.integers(0, 5000, 45_000)) + " MIT License password = 'abcdef12'"
+    rows = [(None, "the same text of two rows without an id", "en"), (None, "the same text of two rows without an id", "en"), (5, "one text", "en"), (5, "ein anderer Text und noch etwas", "de"), (5, "one text", None), (7, long, "en"), (8, None, None), (9, "", "de"), (10, long[:200_000], "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("source", "n_words", "score", "labels", "spans", "piece", "n_base", "row", "id", "kept", "lang_pred", "items", "key")})
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, " ".join(long.split()[100:115])), (1, "one text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = sorted((r[0] for r in rows), key=repr)
+    for name, query in catalog.QUERIES.items():
+        if name.startswith(("op11", "op12", "op13")):
+            continue
+        found = query(spark, str(tmp_path)).collect()
+        if name.startswith("op2_"):
+            ends = {(r.doc_id, r.piece) for r in found if r.piece == 0}
+            assert len([r for r in found if r.piece == 0]) == len(rows) and len(ends) == 6, name
+            used = sorted((r.sequence_id, r.offset, r.length) for r in found)
+            assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(used, used[1:], strict=False))
+        elif name.startswith("op5_"):  # a histogram
+            assert sum(r.n_docs for r in found) == len(rows)
+        else:
+            assert sorted((r.doc_id for r in found), key=repr) == ids, name
