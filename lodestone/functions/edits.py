@@ -30,6 +30,6 @@ def occurrence_lines(df: DataFrame, key: str, text: str, needle: str) -> DataFra
     pieces = F.split(text, "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
     breaks = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.regexp_count(p, F.lit("\n")))
     # the row's number comes before the rows of its pieces
-    counted = df.select(F.monotonically_increasing_id().alias("_row"), key, text).select("_row", key, F.posexplode(breaks).alias("nth", "_n"))
+    counted = df.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys((key, text))).select("_row", key, F.posexplode(breaks).alias("nth", "_n"))
     upto = F.sum("_n").over(Window.partitionBy("_row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
     return counted.select(key, "nth", (1 + upto + F.col("nth") * needle.count("\n")).cast("int").alias("line_no"))

@@ -134,4 +134,4 @@ def test_edits(spark):
     one = [tuple(r.e) for r in df.select(edits.edited(F.col("t"), "x.y", "p\nq").alias("e")).collect()]
     assert one == [("ambiguous", "one\nx.y\nx.y", 0, 0), ("ok", "p\nq", 1, 1), ("missing", "xay", 0, 0), ("missing", None, 0, 0)]
     assert tuple(df.select(edits.edited(F.col("t"), "x.y", "z", 0).alias("e")).first().e) == ("ok", "one\nz\nz", 2, 0)
-    assert [r[0] for r in df.select(edits.occurrence_lines(F.col("t"), "x.y")).collect()] == [[2, 3], [1], [], None]
+    assert sorted((r.t, r.nth, r.line_no) for r in edits.occurrence_lines(df, "t", "t", "x.y").collect()) == [("one\nx.y\nx.y", 0, 2), ("one\nx.y\nx.y", 1, 3), ("x.y", 0, 1)]
