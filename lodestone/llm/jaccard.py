@@ -17,17 +17,21 @@ linked sets of sizes p and q have D <= (p + q)(den - num)/(den + num).
    the sets, and give first components.
 4. The second round takes every region in which two components still meet;
    keys are computed anew for it, as all of them together outweigh the texts.
-   Regions above ``LEAF`` members are split again and again by pivots drawn
+   Of regions with the same members one is enough. Regions above ``LEAF`` members are split again and again by pivots drawn
    from them: a member goes to the Voronoi region of its nearest pivot, and to
    every region whose pivot is nearer than that plus twice the greatest D of a
    link. Distances are Hamming distances of parity sketches, a contraction of
    D, so no link is lost. What pivots cannot split is joined block by block.
 5. In a leaf, pairs across components whose sketches are near enough are
-   candidates. A spanning forest of them is verified; regions with a failed
-   edge are gone through again for candidates that still lie in different
-   components, so components are exact. Verifying means a parity sketch of a
-   bit an element first, which hardly any unlinked pair passes, and then the
-   sets themselves.
+   candidates; in the second round a sketch of a bit an element, of ``FOLD``
+   bits at most, must be near too. A spanning forest of them is verified, so a
+   leaf makes fewer edges than it has members; regions with a failed edge are
+   gone through again, with the new components and without the failed edges,
+   until no edge of a forest fails. So components are exact. Each time
+   ``WIDER`` times as many of the nearest other candidates come along, so a leaf
+   takes few rounds even where most of its pairs fail. Verifying means a parity
+   sketch of a bit an element first, which hardly any unlinked pair passes, and
+   then the sets themselves.
 
 Equal sets are one class from the start and one member of the join; classes
 are told in two steps, by shares of a class and then by class, so that a class
@@ -59,6 +63,12 @@ NUM, DEN = 90, 100
 GROWTH = 1.6
 SKETCH_BITS, SKETCH_WORDS = 256, 4
 LEAF = 512
+#: Bits of the sketches that go into leaves, at most; longer sets have a bit for several elements there.
+FOLD = 8192
+#: How much more candidates a leaf gives each time that its forest has failed.
+WIDER = 4
+#: Candidates of a bundle of leaves whose sketches are compared at once.
+PAIRS = 1 << 17
 #: Sub-universes of the first round.
 CLOSE = 1
 #: Shares in which a class of equal sets is told first.
@@ -68,13 +78,14 @@ PIVOTS, LEVELS = 8, 3
 WORTH = 2.0
 #: Bits of the filters of region keys; they only let rows through that cannot matter.
 FILTER_BITS = 1 << 25
-REGION_ROWS = 50_000
+REGION_ROWS, REGION_BYTES = 50_000, 8 << 20
 LEAST_BUNDLES = 256
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 _SKETCHES = ", ".join(f"{s} bigint" for s in _SKETCH)
-_ROWS = f"id bigint, n bigint, f1 bigint, f2 bigint, lead bigint, {_SKETCHES}, long binary, keys array<bigint>"
+_ROWS = f"id bigint, n bigint, f1 bigint, f2 bigint, lead bigint, {_SKETCHES}, long binary, fold binary, keys array<bigint>"
 _MEMBER = f"key bigint, id bigint, n bigint, component bigint, {_SKETCHES}"
-_COLUMNS = ("key", "id", "n", "component", *_SKETCH)
+_COLUMNS = ("key", "id", "n", "component", *_SKETCH, "fold")
+_EDGE = "key bigint, a bigint, b bigint"
 
 
 def reach(sizes, num: int = NUM, den: int = DEN):
@@ -155,10 +166,10 @@ def region_keys(grams: np.ndarray, first: np.ndarray, docs: np.ndarray, parents:
         yield from region_keys(grams, first, docs[poor], T.mix(parents[poor] + np.uint64(level + 1)), classes[poor], spare[poor], level + 1)
 
 
-def long_sketches(grams: np.ndarray, first: np.ndarray) -> pa.Array:
-    """A parity sketch of each set, of a power of two of bits, 64 or at least one an element."""
+def long_sketches(grams: np.ndarray, first: np.ndarray, most: int = 1 << 40) -> pa.Array:
+    """A parity sketch of each set, of a power of two of bits, 64 or at least one an element, but not over ``most``."""
     n = np.diff(first)
-    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    size = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 64, most)
     ends = np.cumsum(size)
     bit = (T.mix(grams + np.uint64(0x8EBC6AF09C88C6E3)) & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64)
     odd = np.bincount(np.repeat(ends - size, n) + bit, minlength=int(ends[-1]) if len(ends) else 0) & 1
@@ -178,6 +189,28 @@ def sketch_distances(x: pa.Array, y: pa.Array) -> np.ndarray:
     return out
 
 
+def fold_distances(column: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hamming distances of the pairs (i, j) of a column's sketches, the longer one folded to the shorter one's size."""
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    words, length = np.frombuffer(data, np.uint64, len(data) // 8), np.diff(starts)
+
+    def folded(rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((len(rows), size), np.uint64)
+        for own in np.unique(length[rows]).tolist():
+            at = np.flatnonzero(length[rows] == own)
+            out[at] = np.bitwise_xor.reduce(words[starts[rows[at], None] + np.arange(own)].reshape(-1, own // size, size), axis=1)
+        return out
+
+    out, short = np.zeros(len(i), np.int64), np.minimum(length[i], length[j])
+    for size in np.unique(short).tolist():
+        at = np.flatnonzero(short == size)
+        for lo in range(0, len(at), 1 << 14):
+            e = at[lo : lo + (1 << 14)]
+            out[e] = np.bitwise_count(folded(i[e], size) ^ folded(j[e], size)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 class _Rings:
     def __init__(self, num: int, den: int):
         self.low, self.classes, self.spare, self.guests = rings(num, den)
@@ -235,9 +268,9 @@ def _sketched(k: int, num: int, den: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids, pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(lead, mask=~live),
-                        *[pa.array(sketches[:, i]) for i in range(SKETCH_WORDS)], long_sketches(grams, first), pa.ListArray.from_arrays(listed.offsets, listed.values, mask=pa.array(~lone)),
+                        *[pa.array(sketches[:, i]) for i in range(SKETCH_WORDS)], long_sketches(grams, first), long_sketches(grams, first, FOLD), pa.ListArray.from_arrays(listed.offsets, listed.values, mask=pa.array(~lone)),
                     ],
-                    names=["id", "n", "f1", "f2", "lead", *_SKETCH, "long", "keys"],
+                    names=["id", "n", "f1", "f2", "lead", *_SKETCH, "long", "fold", "keys"],
                 )
 
     return T.trimmed(sketch)
@@ -268,7 +301,7 @@ def _regions(k: int, num: int, den: int, bits: int, filter_):
                 owner, keys = owner[ok], keys[ok]
                 sketches = parity_sketch(grams, np.repeat(np.arange(hi - lo), np.diff(first)), hi - lo)[owner]
                 columns = [keys.view(np.int64), ids[owner], np.diff(first)[owner].astype(np.int64), part[owner], *[sketches[:, i] for i in range(SKETCH_WORDS)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(_COLUMNS))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(_COLUMNS[:-1]))
 
     return T.trimmed(cut)
 
@@ -341,6 +374,21 @@ def _close_edges(members: DataFrame, num: int, den: int, bundles: int) -> DataFr
     return found.distinct()
 
 
+def _distinct_regions(members: DataFrame, kept: DataFrame) -> DataFrame:
+    """The members of regions in which components meet, one region of those with the same members, with the sketches for leaves.
+
+    Members are told by four sums of 32 hash bits each.
+    """
+    row = ["id", "n", *_SKETCH]
+    hashes = [F.xxhash64(*row), F.xxhash64(F.lit(1), *reversed(row))]
+    sums = [F.sum(half) for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    names = ["size", *[f"h{i}" for i in range(len(sums))]]
+    sets = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *[x.alias(name) for x, name in zip([F.count("*"), *sums], names, strict=True)])
+    one = written(sets.where("low != high").groupBy(*names).agg(F.min("key").alias("key")).select("key"), "regions")
+    # a row without a sketch is a copy of another member's set
+    return written(members.join(small(one), "key", "left_semi").join(kept.select(*row, "fold").distinct(), row).select(*_COLUMNS), "members")
+
+
 def _split_large(members: DataFrame, num: int, den: int) -> DataFrame:
     """Members of regions of LEAF or fewer; larger regions are split by pivots, and by blocks where pivots don't help."""
     # the greatest D of a link: the other set has at most n * den / num elements
@@ -388,9 +436,10 @@ def _near(n: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.nda
     return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
-def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, part: np.ndarray) -> list[int]:
-    """Indexes of the edges of a spanning forest of the parts, nearest pairs first."""
-    root = {p: p for p in part.tolist()}
+def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, part: np.ndarray, wider: int = 1) -> list[int]:
+    """Indexes of the edges of a spanning forest of the parts, nearest pairs first, then of ``wider`` - 1 times as many other edges as there are rows."""
+    ends = np.unique(np.concatenate([i, j]))
+    root = {p: p for p in part[ends].tolist()}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -398,49 +447,84 @@ def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, part: np.ndarray) ->
             x = root[x]
         return x
 
-    out = []
+    out, rest = [], []
     for e in np.lexsort((j, i, far)).tolist():
         a, b = find(int(part[i[e]])), find(int(part[j[e]]))
         if a != b:
             root[max(a, b)] = min(a, b)
             out.append(e)
-    return out
+        else:
+            rest.append(e)
+    return out + rest[: (wider - 1) * len(ends)]
 
 
-def _leaves(num: int, den: int, every: bool):
-    """Candidate edges of a bundle of leaves, across components: a forest of each, or all of them."""
+def _leaves(num: int, den: int, wider: int):
+    """Candidate edges of a bundle of leaves, across components: a forest of each and, if ``wider`` is over 1, more; ``tried`` ones are left out."""
 
-    def edges(key, rows):
+    def edges(rows: pa.Table, tried: pa.Table | None = None) -> pa.Table:
         rows = rows.sort_by([("key", "ascending"), ("id", "ascending")])
         keys, ids, n, part = (rows.column(c).to_numpy() for c in ("key", "id", "n", "component"))
         sketch = np.stack([rows.column(s).to_numpy() for s in _SKETCH], axis=1).view(np.uint64)  # bit counts need unsigned
+        fold = rows.column("fold").combine_chunks() if "fold" in rows.column_names and len(keys) else None
+        seen = set(zip(*(tried.column(c).to_pylist() for c in ("key", "a", "b")), strict=True)) if tried is not None else set()
         begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(keys)))
-        found = []
+        found, waiting, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [], 0
+
+        def settle() -> None:
+            """Forests of the candidates (first row of the leaf, i, j, distance) that wait."""
+            nonlocal waiting, held
+            leaf, i, j, far = (np.concatenate([w[k] for w in waiting]).astype(np.int64) for k in range(4))
+            waiting, held = [], 0
+            ok = np.ones(len(i), dtype=bool)
+            if fold is not None and len(i):
+                far = fold_distances(fold, i, j)
+                ok = far <= reach(n[i] + n[j], num, den)
+            if seen:
+                at = np.flatnonzero(ok)
+                ends = zip(keys[i[at]].tolist(), np.minimum(ids[i[at]], ids[j[at]]).tolist(), np.maximum(ids[i[at]], ids[j[at]]).tolist(), strict=True)
+                ok[at] = [e not in seen for e in ends]
+            leaf, i, j, far = leaf[ok], i[ok], j[ok], far[ok]
+            first = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])) if len(leaf) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(leaf)))
+            found.append((i[first[count == 1]], j[first[count == 1]]))
+            for s, c in zip(first[count > 1].tolist(), count[count > 1].tolist(), strict=True):
+                own = slice(s, s + c)
+                tree = _forest(i[own], j[own], far[own], part, wider)
+                found.append((i[own][tree], j[own][tree]))
+
+        def add(leaf: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
+            nonlocal held
+            differ = part[i] != part[j]
+            waiting.append((leaf[differ], i[differ], j[differ], far[differ]))
+            held += int(differ.sum())
+            if held > PAIRS:
+                settle()
+
         # regions of two in one go
         a = begin[size == 2]
         b = a + 1
-        near = (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= reach(n[a] + n[b], num, den)) & (part[a] != part[b])
-        found.append((a[near], b[near]))
+        far = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+        near = (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (far <= reach(n[a] + n[b], num, den))
+        add(a[near], a[near], b[near], far[near])
         for s, c in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = slice(s, s + c)
-            if (part[own] == part[s]).all():
-                continue
-            i, j, far = _near(n[own], sketch[own], num, den)
-            differ = part[own][i] != part[own][j]
-            i, j, far = i[differ], j[differ], far[differ]
-            if not every:
-                tree = _forest(i, j, far, part[own])
-                i, j = i[tree], j[tree]
-            found.append((s + i, s + j))
-        a, b = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
+            if not (part[own] == part[s]).all():
+                i, j, far = _near(n[own], sketch[own], num, den)
+                add(np.full(len(i), s), s + i, s + j, far)
+        if waiting:
+            settle()
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         return pa.table({"key": pa.array(keys[a]), "a": pa.array(np.minimum(ids[a], ids[b])), "b": pa.array(np.maximum(ids[a], ids[b]))})
 
     return edges
 
 
-def _forests(members: DataFrame, num: int, den: int, bundles: int, every: bool = False) -> DataFrame:
-    return members.groupBy(F.pmod(F.col("key"), F.lit(bundles)).alias("bundle")).applyInArrow(_leaves(num, den, every), "key bigint, a bigint, b bigint")
+def _forests(members: DataFrame, num: int, den: int, bundles: int, tried: DataFrame | None = None, wider: int = 1) -> DataFrame:
+    edges, bundle = _leaves(num, den, wider), F.pmod(F.col("key"), F.lit(bundles)).alias("bundle")
+    if tried is None:
+        return members.groupBy(bundle).applyInArrow(lambda rows: edges(rows), _EDGE)
+    return members.groupBy(bundle).cogroup(tried.groupBy(bundle)).applyInArrow(lambda rows, tried: edges(rows, tried), _EDGE)
 
 
 def _id_slots(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -593,21 +677,29 @@ def linked_components(
     mixed = spark.sparkContext.broadcast(_filter(shards.applyInArrow(_mixed, "word bigint, bits bigint"), FILTER_BITS))
     members = written(open_docs.mapInArrow(_regions(k, num, den, bits, mixed), _MEMBER), "members")
     mixed.unpersist()
-    bundles = max(LEAST_BUNDLES, members.count() // REGION_ROWS)
-    members = _split_large(members, num, den)
-    found = written(_forests(members, num, den, bundles), "forest")
-    if not found.isEmpty():
+    every, members = members, _distinct_regions(members, kept)
+    discard(every)
+    count, size = members.agg(F.count("*"), F.sum(F.octet_length("fold"))).first()
+    bundles = max(LEAST_BUNDLES, count // REGION_ROWS, (size or 0) // REGION_BYTES)
+    members, tried, wider = _split_large(members, num, den), None, 1
+    while True:
+        found = written(_forests(members, num, den, bundles, tried, wider), "forest")
+        if found.isEmpty():
+            break
         fresh = written(found.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
-        told = _verified(fresh, docs, kept, k, num, den)
-        part = _extended(part, told)
-        failed = checked.unionByName(told).where("not linked").select("a", "b")
-        again = written(found.join(failed, ["a", "b"], "left_semi").select("key").distinct(), "open")
-        if not again.isEmpty():
-            label = small(part.withColumnRenamed("component", "label"))
-            rest = members.join(small(again), "key", "left_semi").join(label, "id", "left").withColumn("component", F.coalesce("label", "id"))
-            more = _forests(rest, num, den, bundles, every=True).select("a", "b").distinct()
-            more = written(more.join(failed, ["a", "b"], "left_anti"), "more")
-            part = _extended(part, _verified(more, docs, kept, k, num, den))
+        if not fresh.isEmpty():
+            told = _verified(fresh, docs, kept, k, num, den)
+            part = _extended(part, told)
+            checked = checked.unionByName(told)
+        failed = written(found.join(checked.where("not linked"), ["a", "b"], "left_semi").select("key", "a", "b"), "failed")
+        if failed.isEmpty():
+            break
+        tried = failed if tried is None else tried.unionByName(failed)
+        label = small(part.withColumnRenamed("component", "label"))
+        again = small(written(failed.select("key").distinct(), "again"))
+        again = members.join(again, "key", "left_semi").join(label, "id", "left")
+        members = written(again.withColumn("component", F.coalesce("label", "id")).select(*_COLUMNS), "open")
+        wider *= WIDER
     return rows.select("id", "n").join(small(part), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
