@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lodestone.functions.rules import usable_text
 from lodestone.operators import bm25
@@ -14,16 +19,36 @@ from lodestone.operators.vectors import cosine_topk_each
 from lodestone.sources.artifacts import written
 
 LEAST_SCORE, MOST_RESULTS = 0.15, 10
-HEX = "0123456789abcdef"
+#: Words whose digests a worker holds.
+WORDS = 250_000
+
+
+class _Digits(dict):
+    """The first digit of the digest of each word met; cleared where it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        found = self[word] = hashlib.md5(word.encode()).digest()[0] >> 4
+        return found
+
+
+_DIGITS = _Digits()
+
+
+def _hashed(texts: pa.Array) -> pa.Array:
+    digit, word = _DIGITS.__getitem__, re.compile("[a-z0-9]+").findall
+    told = [bytes(map(digit, word(t.lower()))) if t else b"" for t in texts.to_pylist()]
+    sizes = np.fromiter(map(len, told), dtype=np.int64, count=len(told))
+    cells = np.repeat(np.arange(len(told)) * 16, sizes) + np.frombuffer(b"".join(told), dtype=np.uint8)
+    counts = np.bincount(cells, minlength=len(told) * 16).astype(np.float64).reshape(-1, 16)[sizes > 0]
+    ends = np.cumsum(np.where(sizes > 0, 16, 0))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(counts.ravel()), mask=pa.array(sizes == 0))
 
 
 def hashed_words(text: Column) -> Column:
     """A stand-in for an embedding: words counted by the first digit of their digests; null for texts without a word."""
-    digits = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.substring(F.md5(w), 1, 1))
-    # a count is what a deletion leaves out
-    joined = F.array_join(digits, "")
-    counts = F.array(*[(F.length(joined) - F.length(F.translate(joined, h, ""))).cast("double") for h in HEX])
-    return F.when(F.length(joined) > 0, counts)
+    return F.arrow_udf(_hashed, ArrayType(DoubleType()))(text)
 
 
 def plan(source: DataFrame, manifest: DataFrame, key: str, text: str) -> DataFrame:
