@@ -2,37 +2,92 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, IDFModel, Normalizer, VectorAssembler
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from lodestone.sources.artifacts import written
+from lodestone.sources.artifacts import bounded_batches, few_rows_a_batch, written
 
 VOCABULARY, THRESHOLD = 20_000, 0.65
+#: N-grams that a task counts before it passes them on, words (and their length) whose terms it holds, vectors it makes at a time.
+HELD_GRAMS, HELD_WORDS, LONG_WORD, VECTOR_ROWS = 200_000, 100_000, 40, 256
+#: Blocks that the solver keeps: larger ones have arrays for which a heap of small regions leaves as much unused as it holds.
+BLOCK_MB = 0.125
+_SPACE = re.compile("[ \\t\\n\\x0b\\f\\r]+").split
 
 
-def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
-    """Character n-grams within words padded by blanks."""
-    words = F.transform(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+def _words(text: str | None) -> list[str]:
+    """The lower-case words, padded by blanks."""
+    return [] if text is None else [f" {w} " for w in _SPACE(text.strip(" ").lower())]
 
-    def of(n: int) -> Column:
-        return F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+def _grams(word: str, low: int = 2, high: int = 5) -> Iterator[str]:
+    """Character n-grams within a padded word."""
+    return (word[i : i + n] for n in range(low, high + 1) for i in range(len(word) - n + 1))
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, n of the texts: each word of a batch is cut once, and what is held is bounded."""
+
+    def told(counts: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["gram", "n"])
+
+    counts: defaultdict[str, int] = defaultdict(int)
+    for batch in batches:
+        words = Counter(w for t in batch.column(0).to_pylist() for w in _words(t))
+        for word, times in words.items():
+            for gram in _grams(word):
+                counts[gram] += times
+                if len(counts) >= HELD_GRAMS:
+                    yield told(counts)
+                    counts.clear()
+    yield told(counts)
+
+
+class _Terms:
+    """Counts of a text's terms as (positions, counts) of a vocabulary; the terms of the words met are held."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.size, self.at, self.met = len(vocabulary), {g: i for i, g in enumerate(vocabulary)}, {}
+
+    def of(self, word: str) -> np.ndarray:
+        found = self.met.get(word)
+        if found is None:
+            found = np.array([i for i in map(self.at.get, _grams(word)) if i is not None], dtype=np.int32)
+            if len(word) <= LONG_WORD:
+                if len(self.met) >= HELD_WORDS:
+                    self.met.clear()
+                self.met[word] = found
+        return found
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = Counter(_words(text))
+        parts = [self.of(w) for w in words]
+        if not parts or not self.size:
+            return np.empty(0, dtype=np.int64), np.empty(0)
+        times = np.repeat(np.fromiter(words.values(), dtype=np.float64, count=len(parts)), [len(p) for p in parts])
+        counts = np.bincount(np.concatenate(parts), weights=times, minlength=self.size)
+        at = np.flatnonzero(counts)
+        return at, counts[at]
 
 
 def with_features(df: DataFrame, text: str) -> DataFrame:
+    """The rows with ``grams``, the text whose character n-grams are counted, and the features."""
     size = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: F.least(F.lit(1.0), F.regexp_count(text, F.lit(pattern)) / size)
     return df.select(
-        "*", char_ngrams(F.col(text)).alias("grams"), share(r"[<>]").alias("f_angle"), share(r"[{}\[\]]").alias("f_brace"), share(r"[!?]").alias("f_shout"),
+        "*", F.col(text).alias("grams"), share(r"[<>]").alias("f_angle"), share(r"[{}\[\]]").alias("f_brace"), share(r"[!?]").alias("f_shout"),
         share(r"[#*$%&|]").alias("f_symbol"), share("\n").alias("f_line"), F.least(F.lit(1.0), F.log1p(size) / 12).alias("f_size"),
     )
 
@@ -63,16 +118,6 @@ def split(df: DataFrame, key: str, label: str, share: float = 0.2) -> tuple[Data
     return out.where("not _held").select(*df.columns), out.where("_held").select(*df.columns)
 
 
-def weighted(df: DataFrame, tf: str, idf: np.ndarray, out: str) -> DataFrame:
-    """Term weights (1 + ln tf)(1 + idf) of sparse counts; idf is bounded by the vocabulary."""
-
-    @F.udf(VectorUDT(), useArrow=True)
-    def weigh(v):
-        return SparseVector(v.size, v.indices, (1.0 + np.log(v.values)) * (1.0 + idf[v.indices]))
-
-    return df.withColumn(out, weigh(tf))
-
-
 def oversampled(rows: DataFrame, real: DataFrame, times: int = 8) -> DataFrame:
     """The rows and each real one ``times`` times."""
     again = real.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_i")).drop("_i")
@@ -126,45 +171,109 @@ FEATURES = ("f_angle", "f_brace", "f_shout", "f_symbol", "f_line", "f_size")
 
 @dataclass(frozen=True)
 class Detector:
-    """A fitted classifier: vocabulary, idf of its terms, and the model over term weights and features."""
-
-    counts: CountVectorizerModel
-    idf: IDFModel
-    model: PipelineModel
+    """A fitted classifier: vocabulary, idf of its terms, names of the features, and the model over term weights and features."""
 
-    def vectors(self, df: DataFrame) -> DataFrame:
-        # written: stages look at a first row, for which a plan with all that is under them would be made and run again
-        return weighted(written(self.counts.transform(df).drop("grams"), "tf"), "tf", self.idf.idf.toArray(), "tfidf")
+    vocabulary: list[str]
+    idf: np.ndarray
+    features: tuple[str, ...]
+    model: LogisticRegressionModel
 
     def predict(self, df: DataFrame, *columns: str, threshold: float = THRESHOLD) -> DataFrame:
         """The columns, p and pred (p >= threshold) of rows with ``grams`` and features."""
         p = vector_to_array("probability")[1]
-        return self.model.transform(self.vectors(df.withColumn("weight", F.lit(1.0)))).select(*columns, p.alias("p"), (p >= threshold).cast("int").alias("pred"))
+        told = self.model.transform(vectors(df, self.vocabulary, self.idf, self.features))
+        return told.select(*columns, p.alias("p"), (p >= threshold).cast("int").alias("pred"))
 
     def save(self, path: str) -> None:
-        for name, part in (("counts", self.counts), ("idf", self.idf), ("model", self.model)):
-            part.write().overwrite().save(f"{path}/{name}")
+        spark = SparkSession.active()
+        terms = [(i, g, float(w)) for i, (g, w) in enumerate(zip(self.vocabulary, self.idf, strict=True))]
+        spark.createDataFrame(terms, "i int, gram string, idf double").coalesce(1).write.mode("overwrite").parquet(f"{path}/terms")
+        spark.createDataFrame(list(enumerate(self.features)), "i int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+        self.model.write().overwrite().save(f"{path}/model")
 
 
 def load(path: str) -> Detector:
-    return Detector(CountVectorizerModel.load(f"{path}/counts"), IDFModel.load(f"{path}/idf"), PipelineModel.load(f"{path}/model"))
+    spark = SparkSession.active()
+    terms = spark.read.parquet(f"{path}/terms").orderBy("i").collect()
+    features = tuple(r.name for r in spark.read.parquet(f"{path}/features").orderBy("i").collect())
+    return Detector([r.gram for r in terms], np.array([r.idf for r in terms]), features, LogisticRegressionModel.load(f"{path}/model"))
+
+
+def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> list[str]:
+    """The ``most`` frequent n-grams of ``grams``; of equal ones the smaller."""
+    bounded_batches(rows.sparkSession)
+    counts = rows.select("grams").mapInArrow(_gram_counts, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return [r.gram for r in counts.orderBy(F.desc("n"), "gram").limit(most).collect()]
+
+
+def inverse_frequencies(rows: DataFrame, terms: list[str]) -> np.ndarray:
+    """ln((rows + 1) / (rows with the term + 1)) of each term."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, n, among = _Terms(terms), np.zeros(len(terms), dtype=np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n[of.count(text)[0]] += 1
+                among += 1
+        # the last row is the number of texts
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(n) + 1), pa.int32()), pa.array([*n.tolist(), among], pa.int64())], names=["i", "n"])
+
+    bounded_batches(rows.sparkSession)
+    found = np.zeros(len(terms) + 1)
+    for r in rows.select("grams").mapInArrow(held, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        found[r.i] = r.n
+    return np.log((found[-1] + 1) / (found[:-1] + 1))
+
+
+def vectors(df: DataFrame, terms: list[str], idf: np.ndarray, features: tuple[str, ...]) -> DataFrame:
+    """The rows without ``grams``, with ``features``: term weights (1 + ln tf)(1 + idf) of length 1, then the features.
+
+    Vectors are made in Arrow batches as the columns that a sparse vector is
+    stored in, and written, so no object stands for an element.
+    """
+    bounded_batches(df.sparkSession)
+    kept = [c for c in df.columns if c != "grams"]
+    stored = StructType([*(df.schema[c] for c in kept), StructField("features", VectorUDT.sqlType())])
+    kinds = to_arrow_schema(stored)
+    size = len(terms) + len(features)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, own = _Terms(terms), np.arange(len(terms), size)
+        for whole in batches:
+            for start in range(0, whole.num_rows, VECTOR_ROWS):
+                batch = whole.slice(start, VECTOR_ROWS)
+                marks = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in features] or [np.empty((batch.num_rows, 0))])
+                at, values = [], []
+                for text, mark in zip(batch.column("grams").to_pylist(), marks, strict=True):
+                    i, tf = of.count(text)
+                    weight = (1.0 + np.log(tf)) * (1.0 + idf[i])
+                    norm = np.sqrt((weight * weight).sum())
+                    at.append(np.concatenate([i, own]))
+                    values.append(np.concatenate([weight / norm if norm else weight, mark]))
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in at])]), pa.int32())
+                kind = kinds.field("features").type
+                parts = [pa.array(np.zeros(len(at)), pa.int8()), pa.array(np.full(len(at), size), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(at), pa.int32())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values), pa.float64()))]
+                vector = pa.StructArray.from_arrays([p.cast(f.type) for p, f in zip(parts, kind, strict=True)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), vector], schema=kinds)
+
+    read = StructType([*(df.schema[c] for c in kept), StructField("features", VectorUDT())])
+    return written(df.select(*kept, "grams").mapInArrow(weigh, stored), "vectors", read)
 
 
 def train(rows: DataFrame, features: tuple[str, ...] = FEATURES, c: float = 2.0) -> Detector:
     """A detector from rows with ``label`` (0 or 1), ``grams`` and the features."""
-    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=VOCABULARY).fit(rows)
-    told = written(counts.transform(rows).drop("grams"), "tf")
-    idf = IDF(inputCol="tf", outputCol="_").fit(told)
+    terms = vocabulary(rows)
+    idf = inverse_frequencies(rows, terms)
+    told = vectors(rows.select("label", "grams", *features), terms, idf, features)
     labelled = balanced(told).withColumn("y", F.col("label").cast("double"))
-    stages = [
-        Normalizer(inputCol="tfidf", outputCol="unit"),
-        VectorAssembler(inputCols=["unit", *features], outputCol="features"),
-        LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (c * max(rows.count(), 1)), maxIter=50, standardization=False, probabilityCol="probability"),
-    ]
-    return Detector(counts, idf, Pipeline(stages=stages).fit(weighted(labelled, "tf", idf.idf.toArray(), "tfidf")))
+    model = LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (c * max(told.count(), 1)), maxIter=50, standardization=False, probabilityCol="probability", maxBlockSizeInMB=BLOCK_MB)
+    with few_rows_a_batch(rows.sparkSession):
+        return Detector(terms, idf, features, model.fit(labelled))
 
 
 def train_and_predict(labelled: DataFrame, key: str, text: str, c: float = 2.0) -> DataFrame:
     """key, label, p, pred (p >= THRESHOLD) of the held-out rows."""
-    rows, test = split(with_features(labelled, text), key, "label")
+    # written: it is read once for the terms, once for their frequencies and once for the vectors
+    told = written(with_features(labelled, text).drop(text), "labelled")
+    rows, test = split(told, key, "label")
     return train(rows, c=c).predict(test, key, "label")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, ml
+from lodestone.sources.artifacts import few
 from lodestone.sources.tables import table
 
 
@@ -30,7 +31,8 @@ def bounded_chunks(s, d):
 
 
 def quality_classifier(s, d):
-    labelled = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
+    labels = table(s, d, "labels").select("doc_id", "quality")
+    labelled = table(s, d, "documents").join(few(labels, labels.count()), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
     return ml.train_and_predict(labelled, "doc_id", "text").select("doc_id", "label", "pred")
 
 

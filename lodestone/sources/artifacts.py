@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
@@ -82,6 +85,18 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+@contextlib.contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Meanwhile the jobs of the session read tables so many rows at a time: rows of 30 KB make batches of 100 MB else."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    had = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had)
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """A write to the path has ended."""
     return folder(spark, f"{path}/_SUCCESS").exists()
@@ -96,8 +111,8 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= FEW else df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder and read back."""
+def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """The rows, written once to the shared folder and read back, as ``schema`` if their types are stored in the same way."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

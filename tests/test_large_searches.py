@@ -2,12 +2,13 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunking, ingest, vectors
+from lodestone.operators import chunking, ingest, ml, vectors
 
 
 def plan(df):
@@ -50,3 +51,21 @@ def test_blocks_do_not_multiply_rows(spark):
     found = vectors.cosine_topk_each(rows, asked, "id", "vector", 2)
     assert vectors._blocks(asked, vectors.QUERY_BLOCK, vectors.QUERY_BLOCK) == 1
     assert found.where("rank = 1").count() == 9000
+
+
+def test_terms_of_texts_equal_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(ml, "HELD_GRAMS", 7)
+    texts = ["Ab  ab\nc", "", None, " x\t", "日本 ab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    rows = ml.with_features(df, "t")
+    # n-grams were arrays of rows, thousands of strings a text, and their vectors objects in Python workers
+    assert dict(rows.dtypes)["grams"] == "string"
+    counts = [Counter(p[i : i + n] for w in re.split(r"\s+", t.strip(" ").lower()) for p in [f" {w} "] for n in range(2, 6) for i in range(len(p) - n + 1)) if t is not None else Counter() for t in texts]
+    whole = sum(counts, Counter())
+    terms = ml.vocabulary(rows, 9)
+    assert terms == sorted(whole, key=lambda g: (-whole[g], g))[:9]
+    idf = ml.inverse_frequencies(rows, terms)
+    assert np.allclose(idf, [np.log(6 / (sum(g in c for c in counts) + 1)) for g in terms])
+    for r in ml.vectors(rows, terms, idf, ml.FEATURES).collect():
+        weights = np.array([(1 + np.log(counts[r.k][g])) * (1 + w) if g in counts[r.k] else 0 for g, w in zip(terms, idf, strict=True)])
+        assert np.allclose(r.features.toArray(), [*(weights / (np.linalg.norm(weights) or 1)), *(r[f] for f in ml.FEATURES)])
