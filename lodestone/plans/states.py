@@ -88,7 +88,7 @@ def history_search(s, d):
     """The best turns of all conversations for every benchmark item; Spanish questions have no vectors and are found by words."""
     pairs = turns.pairs(table(s, d, "conversations"), "conv_id", "turn").select("conv_id", "turn_no", "user_text", "assistant_text")
     spanish = F.contains("user_text", F.lit(" el ")) | F.contains("user_text", F.lit(" los "))
-    rows = pairs.withColumn("vector", F.when(~spanish, ingest.hashed_words(F.concat_ws(" ", "user_text", "assistant_text"))))
+    rows = pairs.withColumn("vector", ingest.hashed_words(F.when(~spanish, F.concat_ws(" ", "user_text", "assistant_text"))))
     queries = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", ingest.hashed_words(F.col("text")).alias("vector"))
     rounded = lambda query, passage: F.round(history.shared_words(query, passage), 6)
     return history.search(rows, queries, ["conv_id", "turn_no"], rounded)

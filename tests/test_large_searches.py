@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25, chunking, ingest, ml, vectors
+from lodestone.operators import bm25, chunking, history, ingest, ml, vectors
 
 
 def plan(df):
@@ -89,3 +89,24 @@ def test_documents_are_scored_without_their_postings(spark, monkeypatch, tmp_pat
     got = {(r.query_id, r["rank"]): (r.k, r.score) for r in found.collect()}
     want = {(q, n): (r.k, r.score) for q, terms in asked.items() for n, r in enumerate(bm25.search(index, "k", terms, 3, least).collect(), 1)}
     assert got == want and len(want) > 20
+
+
+def test_turns_meet_the_words_of_all_queries_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(history, "ASKED", 3)  # several passes
+    monkeypatch.setattr(history, "TURNS", 4)
+    words = ["pear", "apple", "fig", "of", "Plum", "ÉCLAIR"]
+    rng = np.random.default_rng(9)
+    turns = [("s", n, " ".join(rng.choice(words, size=n % 5)), None if n % 6 == 0 else "ends", None) for n in range(30)]
+    df = spark.createDataFrame(turns, "s string, n int, user_text string, assistant_text string, vector array<double>")
+    texts = {1: "apple apple pie", 2: "plum\tof\nit", 3: "  éclair", 4: "", 5: None, 6: "fig pear ends", 7: "lum"}
+    asked = spark.createDataFrame([(i, t, None) for i, t in texts.items()], "query_id int, text string, vector array<double>")
+    found = history.search(df, asked, ["s", "n"], None, pool=6, k=4)
+    # every turn was joined with every query, and lower-cased for each of its words
+    assert "NestedLoop" not in plan(found)
+    got = [(r.query_id, r.n, r.score, r["rank"]) for r in found.orderBy("query_id", "rank").collect()]
+    want = []
+    for i, text in texts.items():
+        own = (text or "").lower().split()
+        scored = sorted((-round(sum(len(w) > 2 and w in f"{u} {a or ''}".lower() for w in own) / (len(own) + 1), 6), f"s:{n}", n) for _, n, u, a, _ in turns)
+        want += [(i, n, -score, rank) for rank, (score, _, n) in enumerate([r for r in scored if r[0] < 0][:4], 1)]
+    assert got == want and len(want) > 12
