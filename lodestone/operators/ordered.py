@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lodestone.sources.artifacts import written
 
 
+def _merged(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the rows, by sorting: Spark would broadcast a written one if its files are small,
+    and millions of rows of repeated groups and near numbers are a few megabytes on disk."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def running_totals(rows: DataFrame, group: str, order: list[str], totals: dict[str, str]) -> DataFrame:
     """The rows with, for each name in ``totals``, the sum of its column over the group's rows up to this one.
 
@@ -65,15 +71,15 @@ def chained(rows: DataFrame, group: str, at: str, following: str, out: str = "li
     takes as many rounds as its walk's length has bits. Each round is written.
     """
     rows = written(rows.select(F.struct(group).alias("g"), F.col(at).alias("at"), F.col(following).alias("to")), "steps")
-    jumps = written(rows.join(rows.select("g", F.col("at").alias("to")), ["g", "to"], "left_semi").select("g", "at", "to"), "jumps")
+    jumps = written(_merged(rows, rows.select("g", F.col("at").alias("to")), ["g", "to"], "left_semi").select("g", "at", "to"), "jumps")
     met = written(rows.where("at = 1").select("g", "at", F.lit(0).cast("bigint").alias(out)), "met")
     step = 1
     while True:
-        ahead = written(met.join(jumps, ["g", "at"]).select("g", F.col("to").alias("at"), (F.col(out) + step).alias(out)), "ahead")
+        ahead = written(_merged(met, jumps, ["g", "at"]).select("g", F.col("to").alias("at"), (F.col(out) + step).alias(out)), "ahead")
         if ahead.isEmpty():
             return met.select(f"g.{group}", F.col("at").alias(at), out)
         met = written(met.unionByName(ahead), "met")
-        jumps = written(jumps.join(jumps.select("g", F.col("at").alias("to"), F.col("to").alias("beyond")), ["g", "to"]).select("g", "at", F.col("beyond").alias("to")), "jumps")
+        jumps = written(_merged(jumps, jumps.select("g", F.col("at").alias("to"), F.col("to").alias("beyond")), ["g", "to"]).select("g", "at", F.col("beyond").alias("to")), "jumps")
         step *= 2
 
 
@@ -98,7 +104,7 @@ def greedy_batches(rows: DataFrame, group: str, order: list[str], size: str, mos
     asked = placed.select(F.struct(group).alias("g"), (F.col("_upto") - F.col("_size") + most_size).alias("at"), F.col("_nth").alias("nth"))
     ends = as_of(asked, marks, "g", "at", ("nth",)).select("g", "nth", F.greatest(F.col("nth"), F.least(F.coalesce("found.nth", "nth"), F.col("nth") + most_items - 1)).alias("last"))
     ends = ends.select(F.col("g").alias("_g"), F.col("nth").alias("_nth"), (F.col("last") + 1).alias("_next"))
-    return _parts(placed.withColumn("_g", F.struct(group)).join(ends, ["_g", "_nth"]), "_g", "_nth", "_next", out).select(*rows.columns, out)
+    return _parts(_merged(placed.withColumn("_g", F.struct(group)), ends, ["_g", "_nth"]), "_g", "_nth", "_next", out).select(*rows.columns, out)
 
 
 def spaced(rows: DataFrame, group: str, at: str, order: list[str], least: int) -> DataFrame:
@@ -115,7 +121,7 @@ def spaced(rows: DataFrame, group: str, at: str, order: list[str], least: int) -
     asked = marks.withColumn("at", F.col("at") + least - 1)
     ends = as_of(asked, marks, "g", "at", ("nth",)).select("g", "nth", (F.greatest(F.col("nth"), F.col("found.nth")) + 1).alias("_next"))
     stay = chained(ends, "g", "nth", "_next").select(F.col("g").alias("_g"), F.col("nth").alias("_nth"))
-    return placed.withColumn("_g", F.struct(group)).join(stay, ["_g", "_nth"], "left_semi").select(*rows.columns)
+    return _merged(placed.withColumn("_g", F.struct(group)), stay, ["_g", "_nth"], "left_semi").select(*rows.columns)
 
 
 def joined_texts(rows: DataFrame, group: str, order: list[str], text: Column, separator: str = "\n\n", piece: int = 1 << 20) -> DataFrame:

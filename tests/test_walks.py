@@ -128,3 +128,12 @@ def test_walks_of_small_tables(spark, count):
     assert [r.batch for r in ordered.greedy_batches(df, "g", ["i"], "n").collect()] == [0] * count
     assert ordered.spaced(df, "g", "n", ["i"], 3).count() == count
     assert ordered.as_of(df, df, "g", "n").where("found is null").count() == 0
+
+
+def test_walks_broadcast_no_table_of_their_rows(spark):
+    # the files of these rows are small, their rows in a driver's memory are not
+    rows = spark.range(40_000).selectExpr("concat('g', id div 4) as g", "cast(id % 4 as int) as at", "id")
+    kept = ordered.spaced(rows, "g", "at", ["id"], 2)
+    joins = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joins and "BroadcastHashJoin" not in joins
+    assert kept.count() == 20_000
